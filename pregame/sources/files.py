@@ -33,15 +33,15 @@ def scan_game_files(spark: SparkSession, path: str, columns: list[str]) -> DataF
     with :func:`write_table` once.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return (
+    raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("recursiveFileLookup", True)
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
         .csv(path)
         .withColumn("file", F.col("_metadata.file_path"))
     )
+    # The reader gives NULL for a blank cell; in these files a blank is a value.
+    return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns], "file")
 
 
 def with_season_from_path(df: DataFrame, file: str = "file") -> DataFrame:

@@ -167,9 +167,10 @@ def modal_by_group(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
     Counts per (key, value) first, then the best count per key, so no key's values are held at once.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(*keys).agg(F.min_by(F.struct(col, "n"), F.struct((-F.col("n")).alias("o"), col)).alias("b"))
-    return best.select(*keys, F.col(f"b.{col}").alias(f"modal_{col}"), F.col("b.n").alias("modal_count"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct((-F.col("_n")).alias("_o"), F.col(col).alias("_v"))
+    best = counts.groupBy(*keys).agg(F.min_by(F.struct(F.col(col).alias("_v"), "_n"), order).alias("_b"))
+    return best.select(*keys, F.col("_b._v").alias(f"modal_{col}"), F.col("_b._n").alias("modal_count"))
 
 
 def first_seasons(tg: DataFrame, keys: list[str]) -> DataFrame:

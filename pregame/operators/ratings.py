@@ -330,12 +330,12 @@ def season_end_ratings(states: DataFrame, scope: list[str]) -> DataFrame:
 
 def expansion_offset(states: DataFrame, newcomers: DataFrame, scope: list[str], draws: int, seed: int = 7) -> DataFrame:
     """Newcomers' rating at the end of their first season: mean, 95 % interval, offset 0 if it spans 0."""
-    from pregame.operators.stats import bootstrap_mean
+    from pregame.operators.stats import bootstrap_mean, stable_id
 
     ends = season_end_ratings(states, scope).join(
         newcomers.select(*scope, "team", F.col("first_season").alias("season")), [*scope, "team", "season"]
     )
-    shown = ends.select((F.col("end_rating") - BASE).alias("x"), F.xxhash64(*scope, "team").alias("row_id"))
+    shown = ends.select((F.col("end_rating") - BASE).alias("x"), stable_id(*scope, "team").alias("row_id"))
     out = bootstrap_mean(shown, "x", draws, seed)
     spans = (F.col("lo") <= 0) & (F.col("hi") >= 0)
     return out.withColumns({"spans_zero": spans, "offset": F.when(spans, F.lit(0.0)).otherwise(F.col("mean"))})

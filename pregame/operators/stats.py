@@ -183,6 +183,12 @@ def hashed_uniform(row_id: Column, draw: Column, seed: int) -> Column:
     return c / F.lit(float(PRIME))
 
 
+def stable_id(*cols: str) -> Column:
+    """A row id from text keys: the first 32 bits of an MD5, the same in any engine."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def poisson_weight(u: Column) -> Column:
     out: Column = F.lit(0)
     for cut in POISSON_CDF:

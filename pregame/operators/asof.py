@@ -106,7 +106,7 @@ def live_availability(report: DataFrame, weights: DataFrame, keys: list[str]) ->
 def latest_report(reports: DataFrame, as_of: dt.datetime, key: list[str], at: str = "ts", hours: int = 12, grid_minutes: int = 15) -> DataFrame:
     """Newest report per key not after ``as_of`` and at most ``hours`` old, on the publication grid."""
     step = grid_minutes * 60
-    slot = (F.floor(F.unix_seconds(F.col(at)) / step) * step).cast("timestamp")
+    slot = (F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / step) * step).cast("timestamp")
     inside = reports.withColumn("slot", slot).filter(
         (F.col("slot") <= F.lit(as_of)) & (F.col("slot") >= F.lit(as_of - dt.timedelta(hours=hours)))
     )

@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.functions.scalar import log_odds
@@ -126,7 +126,7 @@ def apply_isotonic(model, df: DataFrame, p: str, out: str = "calibrated", eps: f
 # ---- baselines ----------------------------------------------------------------------------------
 
 
-def naive_prediction(gm: DataFrame, train: Column, y: str, stat: str) -> DataFrame:
+def naive_prediction(gm: DataFrame, train: str, y: str, stat: str) -> DataFrame:
     """No-skill prediction from the training rows: ``rate``/``mean`` or ``median`` of ``y``. One row joined."""
     agg = F.percentile(y, F.lit(0.5)) if stat == "median" else F.avg(F.col(y).cast("double"))
     one = gm.filter(train).agg(agg.alias("naive"))
@@ -214,7 +214,7 @@ class Arm:
 
 
 def ablation(
-    gm: DataFrame, arms: list[Arm], y: str, train: Column, test: Column,
+    gm: DataFrame, arms: list[Arm], y: str, train: str, test: str,
     fit: Callable[[DataFrame, list[str], str], PipelineModel], classification: bool,
 ) -> DataFrame:
     """Each arm fitted and scored on identical rows: those every arm can use. One row per arm."""
@@ -232,7 +232,7 @@ def ablation(
 
 
 def tune(
-    df: DataFrame, grid: list[dict], fit: Callable[[DataFrame, dict], PipelineModel], y: str, train: Column, validation: Column,
+    df: DataFrame, grid: list[dict], fit: Callable[[DataFrame, dict], PipelineModel], y: str, train: str, validation: str,
     classification: bool,
 ) -> DataFrame:
     """Validation loss per parameter set and the first best in grid order. The split is by time, never random."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pregame.operators.ratings import BASE, EloParams
 from pregame.session import shared_dir
 
+WHOLE_SLICE = 1_000_000  # files: a slice is read in one micro-batch
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,28 +32,38 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, name: st
     )
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", stateful: bool = False) -> DataFrame:
-    """Process everything available, commit it to a table folder and read that table back."""
+def run_to_table(stream: DataFrame, mode: str = "append", stateful: bool = False, base: str | None = None) -> DataFrame:
+    """Process everything available, commit it to a table folder and read that table back.
+
+    With the ``base`` of an earlier run the query continues from its checkpoint.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if stateful:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        q = writer.format("parquet").outputMode("append").start(f"{base}/table")
-    else:
-        # Update mode rows go to a folder per batch, so a repeated batch replaces its own rows only.
-        def save(batch: DataFrame, epoch: int) -> None:
-            batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/table/batch={epoch}")
-
-        q = writer.outputMode(mode).foreachBatch(save).start()
+    q = writer.format("parquet").outputMode(mode).start(f"{base}/table")
     q.awaitTermination()
-    return spark.read.schema(_plain(stream.schema, mode)).parquet(f"{base}/table")
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in stream.schema.fields])
+    return spark.read.schema(schema).parquet(f"{base}/table")
+
 
+def run_in_slices(
+    slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], stateful: bool = False
+) -> DataFrame:
+    """Append each slice to a source folder and run the query on what is new, as a scheduled job would.
 
-def _plain(schema: T.StructType, mode: str) -> T.StructType:
-    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    return out if mode == "append" else out.add("epoch", "int")
+    One slice is one micro-batch; state and progress live in the checkpoint between the runs. Slices are
+    time ranges, which is what bounds the rows a stateful operator sees for a key at once.
+    """
+    spark = slices[0].sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = None
+    for part in slices:
+        part.write.mode("append").parquet(f"{base}/source")
+        stream = file_stream(spark, f"{base}/source", part.schema, files_per_batch=WHOLE_SLICE)
+        out = run_to_table(build(stream), stateful=stateful, base=base)
+    return out
 
 
 def dedupe_results(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
@@ -92,28 +103,27 @@ def pair_streams(a: DataFrame, b: DataFrame, keys: list[str], ts: str, tolerance
     return left.join(right, cond, "leftOuter")
 
 
-def upsert_batches(spark: SparkSession, stream: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+def upsert_batches(stream: DataFrame, keys: list[str], fields: list[str], newest: str) -> DataFrame:
     """Idempotent upsert: each batch is merged with the latest version into a new version folder.
 
-    A version is written whole before the next reads it; a repeated batch rewrites its own version.
+    The row with the greatest ``newest`` (one of ``fields``) wins, in whichever order rows arrive. A
+    version is written whole before the next reads it, and a repeated batch rewrites its own version.
     """
+    spark = stream.sparkSession
     base = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    schema = T.StructType([f for f in stream.schema.fields if f.name in (*keys, *fields)])
+    schema = T.StructType([stream.schema[c] for c in (*keys, *fields)])
+    order = [newest, *[f for f in fields if f != newest]]
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        s = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct(*rest)).alias("n"))
-        old = (
-            s.read.schema(schema).parquet(f"{base}/v{epoch - 1}") if epoch > 0 else s.createDataFrame([], schema)
-        )
-        o = old.select(*keys, F.struct(*fields).alias("o"))
-        merged = o.join(new, keys, "full").select(*keys, F.coalesce("n", "o").alias("v")).select(*keys, "v.*")
-        merged.write.mode("overwrite").parquet(f"{base}/v{epoch}")
+        rows = batch.select(*keys, *fields)
+        if epoch > 0:
+            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{base}/v{epoch - 1}"))
+        best = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("r")).select(*keys, "r.*")
+        best.select(*keys, *fields).write.mode("overwrite").parquet(f"{base}/v{epoch}")
 
     q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    last = max((p["batchId"] for p in q.recentProgress), default=0)
     return spark.read.schema(schema).parquet(f"{base}/v{last}")
 
 

@@ -171,16 +171,20 @@ POISSON_CDF = [
 ]
 
 
-def hashed_uniform(row_id: Column, draw: Column, seed: int) -> Column:
-    """A number in [0, 1) fixed by (row, draw, seed): integer arithmetic any SQL engine repeats.
+def with_uniform(df: DataFrame, row_id: Column, draw: str, seed: int, out: str) -> DataFrame:
+    """``out``: a number in [0, 1) fixed by (row, draw, seed), from integer arithmetic any SQL engine repeats.
 
-    Recomputing a lost task gives the same draws, so results never depend on retries or partitioning.
+    Recomputing a lost task gives the same draws, so results never depend on retries or partitioning. Each
+    squaring is a column of its own: as one expression every square would double the generated code.
     """
-    row = F.pmod(row_id.cast("bigint"), F.lit(PRIME))
-    a = (row * 48271 + draw.cast("bigint") * 40692 + F.lit(seed * 69621)) % PRIME
-    b = (a * a + draw.cast("bigint")) % PRIME
-    c = (b * b + row) % PRIME
-    return c / F.lit(float(PRIME))
+    d = F.col(draw).cast("bigint")
+    return (
+        df.withColumn("_row", F.pmod(row_id.cast("bigint"), F.lit(PRIME)))
+        .withColumn("_a", (F.col("_row") * 48271 + d * 40692 + F.lit(seed * 69621)) % PRIME)
+        .withColumn("_b", (F.col("_a") * F.col("_a") + d) % PRIME)
+        .withColumn(out, ((F.col("_b") * F.col("_b") + F.col("_row")) % PRIME) / F.lit(float(PRIME)))
+        .drop("_row", "_a", "_b")
+    )
 
 
 def stable_id(*cols: str) -> Column:
@@ -196,10 +200,14 @@ def poisson_weight(u: Column) -> Column:
     return out
 
 
-def _draws(df: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Rows times draws with a Poisson(1) weight; rows of weight 0 are gone before the aggregate."""
+def _draws(df: DataFrame, draws: int, seed: int, row_id: Column | None = None) -> DataFrame:
+    """Rows times draws with a Poisson(1) weight ``w``. A weight of 0 adds nothing to the sums it enters.
+
+    Rows are not filtered on the weight: the filter would be pushed below it and repeat its expression.
+    """
     d = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    return d.withColumn("w", poisson_weight(hashed_uniform(F.col("row_id"), F.col("draw"), seed))).filter("w > 0")
+    d = with_uniform(d, F.col("row_id") if row_id is None else row_id, "draw", seed, "_u")
+    return d.withColumn("w", poisson_weight(F.col("_u"))).drop("_u")
 
 
 def _interval(per_draw: DataFrame, value: str) -> DataFrame:
@@ -238,12 +246,9 @@ def redrawn_intervals(losses: DataFrame, model: str, baseline: str, draws: int,
     """The same interval under each seed, in one job: the seed is one more group key."""
     d = losses.select("row_id", (F.col(model) - F.col(baseline)).alias("_d"))
     d = d.select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    d = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    # The seed enters through the row id, which hashed_uniform mixes non-linearly.
-    u = hashed_uniform(F.col("row_id") + F.col("seed") * 1000003, F.col("draw"), 7)
-    per = d.withColumn("w", poisson_weight(u)).filter("w > 0").groupBy("seed", "draw").agg(
-        (F.sum(F.col("w") * F.col("_d")) / F.sum("w")).alias("m")
-    )
+    # The seed enters through the row id, which the hash mixes non-linearly.
+    weighted = _draws(d, draws, 7, F.col("row_id") + F.col("seed") * 1000003)
+    per = weighted.groupBy("seed", "draw").agg((F.sum(F.col("w") * F.col("_d")) / F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return per.groupBy("seed").agg(q.alias("_q")).select(
         "seed", F.element_at("_q", 1).alias("lo"), F.element_at("_q", 2).alias("hi")
@@ -288,9 +293,9 @@ def null_ece(df: DataFrame, p: str, draws: int, n: int = 10, seed: int = 11) ->
     d = df.select("row_id", F.col(p).alias("_p"), bins.alias("bin")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
     )
-    hit = (hashed_uniform(F.col("row_id"), F.col("draw"), seed) < F.col("_p")).cast("int")
+    d = with_uniform(d, F.col("row_id"), "draw", seed, "_u")
     per = d.groupBy("draw", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_p").alias("sp"), F.sum(hit).alias("sy")
+        F.count(F.lit(1)).alias("n"), F.sum("_p").alias("sp"), F.sum((F.col("_u") < F.col("_p")).cast("int")).alias("sy")
     )
     e = per.groupBy("draw").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n")).alias("ece"))
     q = F.percentile("ece", F.array(F.lit(0.5), F.lit(0.95)))

@@ -195,7 +195,7 @@ POISSON_SQL = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INT)" for c in __import__(
 
 
 def uniform_sql(row: str, draw: str, seed: int) -> str:
-    """The hashed uniform number of ``stats.hashed_uniform`` (three integer steps)."""
+    """The hashed uniform number of ``stats.with_uniform`` (three integer steps)."""
     p = 2147483647
     rw = f"(({row}) % {p})"
     a = f"(({rw} * 48271 + {draw}::BIGINT * 40692 + {seed * 69621}) % {p})"

@@ -75,8 +75,13 @@ def _thin(gm: DataFrame, scope: list[str], newcomers: DataFrame | None) -> DataF
 
 
 def _ordered_groups(thin: DataFrame, scope: list[str]):
-    """Groups whose rows reach Python in (date, id) order."""
-    return thin.repartition(*scope).sortWithinPartitions(*scope, "game_date", "game_id").groupBy(*scope)
+    """Groups whose rows reach Python in (date, id) order.
+
+    The partition count is stated, so that adaptive execution does not merge small groups into one task:
+    the bytes are few but the fold is work for a core.
+    """
+    parts = int(thin.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return thin.repartition(parts, *scope).sortWithinPartitions(*scope, "game_date", "game_id").groupBy(*scope)
 
 
 class _Ledger:

@@ -58,10 +58,11 @@ def scan_columns(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their file and a position that orders lines within a file.
 
-    Files are read whole per split (no split inside a file), so the position is the reading order.
+    A big file is read in several splits; the split's offset comes first, the reading order within it second.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    pos = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), pos.alias("pos"))
 
 
 def scan_failure_log(spark: SparkSession, path: str) -> DataFrame:

@@ -313,3 +313,79 @@ def _isotonic(spark, sf_dir):
     return M.apply_isotonic(model, df.filter(TEST), "p").select("row_id", F.round("calibrated", 6).alias("calibrated"))
 
 
+
+
+# ---- fits whose defining equations SQL can check -------------------------------------------------
+
+
+@query(
+    "logistic_score_equations",
+    "M-04",
+    sql("SELECT COUNT(*) AS n, ROUND(AVG(y), 4) AS mean_p, ROUND(AVG(p * y), 4) AS mean_xp FROM scored WHERE season < 1998"),
+)
+def _logistic_equations(spark, sf_dir):
+    """An unpenalised fit reproduces the mean outcome and the mean of feature times outcome."""
+    df = scored(spark, sf_dir).filter(TRAIN)
+    out = M.predict(M.fit_logistic(df, ["p"], "y"), df, "fitted")
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("fitted"), 4).alias("mean_p"), F.round(F.avg(F.col("p") * F.col("fitted")), 4).alias("mean_xp")
+    )
+
+
+@query("boosted_mean_equation", "M-05", sql("SELECT COUNT(*) AS n, ROUND(AVG(margin), 6) AS mean_fitted FROM scored WHERE season < 1998"))
+def _gbt_equation(spark, sf_dir):
+    """Every tree of a squared-loss fit leaves residuals of mean zero."""
+    df = scored(spark, sf_dir).filter(TRAIN)
+    model = M.fit_gbt(df, ["p", "q"], "margin", False, depth=2, trees=3)
+    return M.predict(model, df, "fitted").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fitted"), "mean_fitted"))
+
+
+@query("isotonic_mean_equation", "ST-06", sql("SELECT COUNT(*) AS n, ROUND(AVG(y), 5) AS mean_calibrated FROM scored WHERE season < 1998"))
+def _isotonic_equation(spark, sf_dir):
+    """Pooling adjacent violators keeps the weighted mean."""
+    df = scored(spark, sf_dir).filter(TRAIN)
+    out = M.apply_isotonic(M.fit_isotonic(df, "p", "y"), df, "p")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 5).alias("mean_calibrated"))
+
+
+_LINE_SQL = """f AS (SELECT regr_slope(margin, p) AS bp, regr_intercept(margin, p) AS ap, regr_slope(margin, q) AS bq, regr_intercept(margin, q) AS aq FROM scored WHERE season < 1998)"""
+
+
+@query(
+    "linear_ablation",
+    "M-13",
+    sql(f""", {_LINE_SQL} SELECT 'difference' AS arm, COUNT(*) AS n, ROUND(AVG(ABS(margin - ap - bp * p)), 4) AS loss FROM scored, f WHERE season IN (1999, 2000)
+    UNION ALL SELECT 'home', COUNT(*), ROUND(AVG(ABS(margin - aq - bq * q)), 4) FROM scored, f WHERE season IN (1999, 2000)"""),
+)
+def _linear_ablation(spark, sf_dir):
+    arms = [M.Arm("difference", ["p"]), M.Arm("home", ["q"])]
+    out = M.ablation(scored(spark, sf_dir), arms, "margin", TRAIN, TEST, lambda rows, cols, y: M.fit_linear(rows, cols, y), False)
+    return out.withColumn("loss", F.round("loss", 4))
+
+
+@query(
+    "feature_set_search",
+    "M-06",
+    sql(f""", {_LINE_SQL}, l AS (SELECT 0 AS cell, AVG(ABS(margin - ap - bp * p)) AS loss FROM scored, f WHERE season = 1998
+    UNION ALL SELECT 1, AVG(ABS(margin - aq - bq * q)) FROM scored, f WHERE season = 1998)
+    SELECT cell, ROUND(loss, 4) AS loss, ROW_NUMBER() OVER (ORDER BY loss, cell) = 1 AS best FROM l"""),
+)
+def _feature_search(spark, sf_dir):
+    grid = [{"cols": ["p"]}, {"cols": ["q"]}]
+    out = M.tune(scored(spark, sf_dir), grid, lambda rows, g: M.fit_linear(rows, g["cols"], "margin"), "margin", TRAIN, VALID, False)
+    return out.select("cell", F.round("loss", 4).alias("loss"), "best")
+
+
+@query(
+    "routed_linear_rows",
+    "M-08 P-15",
+    sql(f""", {_LINE_SQL}, t AS (SELECT row_id, row_id % 4 = 0 AS trees, ap + bp * p AS lin FROM scored, f WHERE season IN (1999, 2000))
+    SELECT row_id, CASE WHEN trees THEN 'trees' ELSE 'linear' END AS route, ROUND(CASE WHEN NOT trees THEN lin END, 4) AS predicted FROM t"""),
+)
+def _routed_linear(spark, sf_dir):
+    df = scored(spark, sf_dir).withColumn("form", F.when(F.col("row_id") % 4 != 0, F.col("p")))
+    df = projections.with_route(df, ["form"])
+    linear = M.fit_linear(df.filter(TRAIN), ["p"], "margin")
+    trees = M.fit_gbt(df.filter(TRAIN), ["q"], "margin", False, depth=1, trees=2)
+    out = M.route_predict(df.filter(TEST), linear, trees)
+    return out.select("row_id", "route", F.when(F.col("route") == "linear", F.round("prediction_value", 4)).alias("predicted"))

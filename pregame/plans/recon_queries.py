@@ -20,13 +20,49 @@ from pregame.sources import views
 SEASON = ["league", "season"]
 
 
-@query("copy_pairing", "J-14 F-25", None)
+def pairing_sql(scope: str) -> str:
+    """The pairing as a recursion over the days of each pair of teams."""
+    keys = f"{scope}, pair"
+    on = " AND ".join(f"d.{c} = f.{c}" for c in [x.strip() for x in keys.split(",")])
+    dk = ", ".join(f"d.{c.strip()}" for c in keys.split(","))
+    return f"""c AS (SELECT *, LEAST(home_team, away_team) || '|' || GREATEST(home_team, away_team) AS pair, CAST(copy_date - DATE '1970-01-01' AS INT) AS d FROM copies),
+    d AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER w AS n, d - LAG(d) OVER w AS gap, CASE WHEN LEAD(d) OVER w = d + 1 THEN LEAD(a) OVER w ELSE 0 END AS na,
+        CASE WHEN LEAD(d) OVER w = d + 1 THEN LEAD(b) OVER w ELSE 0 END AS nb
+        FROM (SELECT {keys}, d, COUNT(*) FILTER (copy = 'A') AS a, COUNT(*) FILTER (copy = 'B') AS b FROM c GROUP BY {keys}, d) WINDOW w AS (PARTITION BY {keys} ORDER BY d)),
+    f AS (SELECT {keys}, d, n, a, b, na, nb, 0::BIGINT AS carry, a - b AS lft FROM d WHERE n = 1
+        UNION ALL SELECT {dk}, d.d, d.n, d.a, d.b, d.na, d.nb, CASE WHEN gap = 1 THEN lft ELSE 0 END,
+        d.a - LEAST(GREATEST(-CASE WHEN gap = 1 THEN lft ELSE 0 END, 0), d.a) - (d.b - LEAST(GREATEST(CASE WHEN gap = 1 THEN lft ELSE 0 END, 0), d.b))
+        FROM d JOIN f ON {on} AND d.n = f.n + 1),
+    k AS (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY {', '.join('c.' + x.strip() for x in keys.split(','))}, c.d, copy ORDER BY game_id) AS r,
+        CASE copy WHEN 'A' THEN a ELSE b END AS own, CASE copy WHEN 'A' THEN b ELSE a END AS oth, CASE copy WHEN 'A' THEN nb ELSE na END AS nxt,
+        CASE copy WHEN 'A' THEN -carry ELSE carry END AS cr FROM c JOIN f USING ({keys}, d)),
+    s AS (SELECT *, LEAST(GREATEST(cr, 0), own) AS uo, oth - LEAST(GREATEST(-cr, 0), oth) AS ol FROM k),
+    paired AS (SELECT *, CASE WHEN r <= uo THEN (d - 1) || ':next:' || r WHEN r - uo <= LEAST(own - uo, ol) THEN d || ':same:' || (r - uo)
+        WHEN r - uo - LEAST(own - uo, ol) <= nxt THEN d || ':next:' || (r - uo - LEAST(own - uo, ol)) END AS slot FROM s)"""
+
+
+@query(
+    "copy_pairing",
+    "J-14 F-25",
+    oracle("copies", f", {pairing_sql('league')} SELECT league, pair, game_id, copy, copy_date, slot FROM paired", recursive=True),
+)
 def _pairing(spark, sf_dir):
     out = recon.pair_copies(views.copies(spark, sf_dir), ["league"])
     return out.select("league", "pair", "game_id", "copy", "copy_date", "slot")
 
 
-@query("copy_quarantine", "Q-38 J-14", None)
+@query(
+    "copy_quarantine",
+    "Q-38 J-14",
+    oracle(
+        "copies",
+        f""", {pairing_sql('league, season')}, g AS (SELECT league, season, pair, COALESCE(slot, 'single:' || copy || ':' || game_id) AS slot, COUNT(*) AS copies,
+        MAX(copy_away) FILTER (copy = 'A') AS a_copy_away, MAX(copy_date) FILTER (copy = 'A') AS a_copy_date, MAX(copy_away) FILTER (copy = 'B') AS b_copy_away,
+        MAX(copy_date) FILTER (copy = 'B') AS b_copy_date FROM paired GROUP BY ALL)
+        SELECT *, CASE WHEN copies < 2 THEN 'single' WHEN a_copy_away = b_copy_away THEN 'agreed' WHEN season >= 2000 THEN 'quarantined' ELSE 'fatal' END AS verdict FROM g""",
+        recursive=True,
+    ),
+)
 def _quarantine(spark, sf_dir):
     pairs = recon.paired_games(recon.pair_copies(views.copies(spark, sf_dir), SEASON), SEASON, ["copy_away", "copy_date"])
     return recon.copy_agreement(pairs, ["copy_away"], F.col("season") >= 2000)

@@ -13,7 +13,7 @@ from pregame.sources import views
 
 @query(
     "season_rules",
-    "F-01 F-02 F-03",
+    "F-01 F-02 F-03 V-04",
     oracle(
         "games",
         """, i AS (SELECT *, LPAD(CAST(20000000 + (season % 100) * 100000 + CASE WHEN game_id % 41 = 0 THEN 100000 ELSE 0 END + game_id % 100000 AS VARCHAR), 10, '0') AS raw_id,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pregame.operators.skew import small_or_plain
 
 GAME_TEAM = ["game_id", "team"]
 
@@ -100,7 +99,7 @@ def shot_quality(shots: DataFrame, baseline: DataFrame, keys: list[str]) -> Data
     """Expected and actual value per attempt and their difference; a zone without a rate is fatal."""
     from pregame.operators.projections import map_strict
 
-    rates = small_or_plain(baseline.select(F.col("zone").alias("_z"), F.col("rate").alias("_r")))
+    rates = baseline.select(F.col("zone").alias("_z"), F.col("rate").alias("_r"))
     # Attempts are first counted per zone and type, so the join meets groups, not shots.
     per = shots.groupBy(*keys, "zone", "shot_type").agg(F.count(F.lit(1)).alias("n"), F.sum("made").alias("m"))
     j = per.join(rates, F.col("zone") == F.col("_z"), "left")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pregame.functions.scalar import pair_key
-from pregame.operators.skew import small_or_plain
 
 
 def duplicate_keys(df: DataFrame, on: list[str]) -> DataFrame:
@@ -117,7 +116,7 @@ def attach_game_date(df: DataFrame, games: DataFrame, game: str = "game_id") ->
 
 def identity_as_of(df: DataFrame, identity: DataFrame, key: str = "team", season: str = "season") -> DataFrame:
     """Name valid in the row's season; NULL bounds are open. Equi-join on the key, range as residual."""
-    ident = small_or_plain(identity.withColumnRenamed(key, "_key"))
+    ident = identity.withColumnRenamed(key, "_key")
     cond = (
         (F.col(key) == F.col("_key"))
         & (F.coalesce(F.col("first_season"), F.lit(-9999)) <= F.col(season))
@@ -159,7 +158,7 @@ def common_rows(df: DataFrame, candidates: dict[str, list[str]], target: str) ->
 
 def enrich_fixtures(fx: DataFrame, teams: DataFrame) -> DataFrame:
     """Names of both sides in one pass."""
-    t = small_or_plain(teams.select("team", "name"))
+    t = teams.select("team", "name")
     h = t.select(F.col("team").alias("_h"), F.col("name").alias("home_name"))
     a = t.select(F.col("team").alias("_a"), F.col("name").alias("away_name"))
     return (
@@ -263,7 +262,7 @@ def resolve_aliases(df: DataFrame, label: str, exact: DataFrame, aliases: DataFr
         cols = [F.col("label").alias(f"_l{i}"), F.col("franchise_id").alias(f"_f{i}")]
         if i == 2:
             cols.append(F.col("note"))
-        out = out.join(small_or_plain(t.select(*cols)), F.col(label) == F.col(f"_l{i}"), "left")
+        out = out.join(t.select(*cols), F.col(label) == F.col(f"_l{i}"), "left")
     found = F.coalesce("_f0", "_f1", "_f2")
     fid = F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown label "), F.col(label)))).otherwise(found)
     how = F.when(F.col("_f0").isNotNull(), "name").when(F.col("_f1").isNotNull(), "alias").otherwise("malformed")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pregame.functions.scalar import day_end_utc, is_home_matchup, type_digit
-from pregame.operators.skew import small_or_plain
 
 
 def with_is_home(df: DataFrame, matchup: str = "matchup") -> DataFrame:
@@ -135,7 +134,7 @@ def current_weeks(fx: DataFrame, keys: list[str], week: str = "week") -> DataFra
 
 def with_division_game(gm: DataFrame, divisions: DataFrame) -> DataFrame:
     """Both sides in one division; a team outside the membership table is fatal."""
-    d = small_or_plain(divisions.select("team", "division"))
+    d = divisions.select("team", "division")
     h = d.select(F.col("team").alias("_ht"), F.col("division").alias("_hd"))
     a = d.select(F.col("team").alias("_at"), F.col("division").alias("_ad"))
     out = gm.join(h, F.col("home_team") == F.col("_ht"), "left").join(a, F.col("away_team") == F.col("_at"), "left")

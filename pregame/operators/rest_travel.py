@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pregame.functions.scalar import haversine_km, utc_offset_hours
 from pregame.operators.rolling import DAY, TIE
-from pregame.operators.skew import day_scope, row_scope, running_last, running_sums, small_or_plain
+from pregame.operators.skew import day_scope, has_hot_group, inherit, row_scope, running_last, running_sums
 
 
 def _previous(df: DataFrame, keys: list[str], cols: dict[str, str]) -> DataFrame:
@@ -93,7 +93,7 @@ def attach_venue(df: DataFrame) -> DataFrame:
 
 def attach_arena(df: DataFrame, arenas: DataFrame, venue: str = "venue") -> DataFrame:
     """Coordinates and zone of the venue; an unknown venue is fatal."""
-    a = small_or_plain(arenas.withColumnRenamed("team", "_arena_team"))
+    a = arenas.withColumnRenamed("team", "_arena_team")
     out = df.join(a, F.col(venue) == F.col("_arena_team"), "left")
     known = F.when(
         F.col("_arena_team").isNull(), F.raise_error(F.concat(F.lit("unknown venue "), F.col(venue).cast("string")))
@@ -106,9 +106,10 @@ def travel(df: DataFrame, keys: list[str], arenas: DataFrame) -> DataFrame:
 
     Coordinates are attached once, before the window, so the previous venue's come from ``lag``.
     """
+    has_hot_group(df, keys)  # before the arena join, which keeps the rows
     placed = attach_arena(attach_venue(df), arenas)
     placed = placed.withColumn("offset_h", utc_offset_hours(F.col(DAY), F.col("zone")))
-    out = _previous(placed, keys, {"_lat": "lat", "_lon": "lon", "_zone": "zone", "prev_venue": "venue"})
+    out = _previous(inherit(placed, df), keys, {"_lat": "lat", "_lon": "lon", "_zone": "zone", "prev_venue": "venue"})
     km = F.when(
         F.col("prev_venue") == F.col("venue"), F.lit(0.0)
     ).otherwise(haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
@@ -132,7 +133,7 @@ def road_trip(df: DataFrame, keys: list[str]) -> DataFrame:
     )
     # Away games up to here minus those up to the latest home game.
     mark = counted.withColumn("_at_home", F.when(F.col("is_home"), F.col("_away")))
-    filled = running_last(mark, keys, DAY, TIE, ["_at_home"])
+    filled = running_last(inherit(mark, counted), keys, DAY, TIE, ["_at_home"])
     trip: Column = F.when(F.col("is_home"), F.lit(0)).otherwise(
         F.col("_away") - F.coalesce(F.col("_at_home"), F.lit(0))
     )

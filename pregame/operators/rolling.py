@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pregame.operators.skew import row_scope, running_last, running_sums
+from pregame.operators.skew import has_hot_group, inherit, row_scope, running_last, running_sums
 
 TIE = ["game_id"]
 DAY = "game_date"
@@ -58,6 +58,7 @@ def trailing_appearance_mean(
     ``played`` is the boolean appearance column. Appearances are windowed on their own (the flag is
     a window key, so one shuffle serves), then the latest value is carried within the player-season.
     """
+    has_hot_group(df, keys)  # the coarser keys first: the finer ones below need no check of their own then
     scope = row_scope(df, [*keys, played], day, tie, w)
     new = [F.when(F.col(played), full_mean(m, scope, w)).alias(f"roll{w}_{m}") for m in metrics]
     rolled = scope.finish(scope.df.select("*", *new))
@@ -76,7 +77,7 @@ def team_window(df: DataFrame, keys: list[str], windows: list[int], prefix: str)
             "win_rate": value,
         }
     )
-    out = add_rolling(ready, keys, ["pf", "pa", "margin", "win_rate"], windows, prefix)
+    out = add_rolling(inherit(ready, df), keys, ["pf", "pa", "margin", "win_rate"], windows, prefix)
     return out.drop("pf", "pa", "margin", "win_rate")
 
 
@@ -115,9 +116,10 @@ def on_off(df: DataFrame, keys: list[str], margin: str, absent: str, min_on: int
         "_n_off": F.when(F.col(absent), 1).otherwise(0),
     }
     out = running_sums(df, keys, DAY, TIE, sums)
+    checked = out
     usable = (F.col("_n_on") >= min_on) & (F.col("_n_off") >= min_off)
     value = F.when(usable, F.col("_on") / F.col("_n_on") - F.col("_off") / F.col("_n_off"))
-    return out.withColumn("on_off", value).drop(*sums)
+    return inherit(out.withColumn("on_off", value).drop(*sums), checked)
 
 
 def absence_weights(df: DataFrame, min_minutes: float = 1.0) -> DataFrame:
@@ -175,7 +177,7 @@ def running_record(df: DataFrame, keys: list[str], stated: dict[str, str], reanc
     if not reanchor:
         return out.withColumn("diverges", F.coalesce(F.col("_gap") != zero, F.lit(False))).drop("_gap")
     # The previous stated gap: carry the latest non-null gap, then look one row back.
-    carried = running_last(out.withColumn("_seen", F.col("_gap")), keys, DAY, TIE, ["_seen"])
+    carried = running_last(inherit(out.withColumn("_seen", F.col("_gap")), df), keys, DAY, TIE, ["_seen"])
     scope = row_scope(carried, keys, DAY, TIE, 1)
     before = F.coalesce(F.lag("_seen").over(scope.window()), zero)
     done = scope.finish(scope.df.withColumn("_before", before))

@@ -24,15 +24,31 @@ def max_group_rows(df: DataFrame) -> int:
 
 
 def has_hot_group(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """True when some key holds more than ``limit`` rows (one partial aggregate, one row back)."""
+    """True when some key holds more than ``limit`` rows (one partial aggregate, one row back).
+
+    The answer is remembered: for equal plans, and on frames that operators derive row by row from a
+    checked one (:func:`inherit`). Keys that refine keys known not to be hot are not hot either.
+    """
     limit = limit or max_group_rows(df)
+    known = getattr(df, "_known_groups", {})
+    for (seen_keys, seen_limit), hot in known.items():
+        if seen_limit == limit and (seen_keys == frozenset(keys) or (not hot and seen_keys <= frozenset(keys))):
+            return hot
     memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
     if memo not in _seen:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         _seen[memo] = len(counts.filter(F.col("n") > limit).take(1)) > 0
+    known = {**known, (frozenset(keys), limit): _seen[memo]}
+    df._known_groups = known
     return _seen[memo]
 
 
+def inherit(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``new`` has the rows of ``old`` (or fewer): what is known about group sizes still holds."""
+    new._known_groups = getattr(old, "_known_groups", {})
+    return new
+
+
 @dataclass
 class Scope:
     """Rows ready for a look-back window, with the keys to partition by."""
@@ -42,6 +58,7 @@ class Scope:
     order: list[str]
     halo: bool = False
     helpers: list[str] = field(default_factory=list)
+    source: DataFrame | None = None
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -53,7 +70,8 @@ class Scope:
         """Drop copied rows and helper columns once the window columns exist."""
         if self.halo:
             df = df.filter(~F.col("_halo"))
-        return df.drop(*self.helpers)
+        out = df.drop(*self.helpers)
+        return out if self.source is None else inherit(out, self.source)
 
 
 def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
@@ -86,7 +104,7 @@ def row_scope(df: DataFrame, keys: list[str], day: str, tie: list[str], reach: i
     """Scope for frames of at most ``reach`` rows back."""
     limit = max_group_rows(df)
     if not has_hot_group(df, keys, limit):
-        return Scope(df, keys, [day, *tie])
+        return Scope(df, keys, [day, *tie], source=df)
     size = max(limit, reach)
     numbered = number_rows(df, keys, day, tie)
     block = F.floor(F.col("_pos") / size)
@@ -99,14 +117,16 @@ def row_scope(df: DataFrame, keys: list[str], day: str, tie: list[str], reach: i
         )
         .withColumn("_halo", F.col("_blk") > F.col("_own"))
     )
-    return Scope(cut, [*keys, "_blk"], [day, *tie], True, ["_blk", "_own", "_halo", "_pos"])
+    return Scope(cut, [*keys, "_blk"], [day, *tie], True, ["_blk", "_own", "_halo", "_pos"], df)
 
 
 def day_scope(df: DataFrame, keys: list[str], day: str, tie: list[str], days: int, span: int = 64) -> Scope:
     """Scope for range frames over ``_day`` (days since the epoch) reaching ``days`` back."""
+    source = df
+    hot = has_hot_group(source, keys)
     df = df.withColumn("_day", F.unix_date(F.col(day)))
-    if not has_hot_group(df, keys):
-        return Scope(df, keys, ["_day"], False, ["_day"])
+    if not hot:
+        return Scope(df, keys, ["_day"], False, ["_day"], source)
     span = max(span, days)
     block = F.floor(F.col("_day") / span)
     tail = F.pmod(F.col("_day"), F.lit(span)) >= span - days
@@ -118,7 +138,7 @@ def day_scope(df: DataFrame, keys: list[str], day: str, tie: list[str], days: in
         )
         .withColumn("_halo", F.col("_blk") > F.col("_own"))
     )
-    return Scope(cut, [*keys, "_blk"], ["_day"], True, ["_day", "_blk", "_own", "_halo"])
+    return Scope(cut, [*keys, "_blk"], ["_day"], True, ["_day", "_blk", "_own", "_halo"], source)
 
 
 def running_sums(
@@ -131,7 +151,7 @@ def running_sums(
     end = 0 if inclusive else -1
     if not has_hot_group(df, keys):
         w = Window.partitionBy(*keys).orderBy(day, *tie).rowsBetween(Window.unboundedPreceding, end)
-        return df.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in sums.items()])
+        return inherit(df.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in sums.items()]), df)
     numbered = number_rows(df, keys, day, tie).withColumn("_blk", F.floor(F.col("_pos") / max_group_rows(df)))
     w = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, end)
     inner = numbered.select("*", *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias("_r_" + n) for n, e in sums.items()])
@@ -142,7 +162,7 @@ def running_sums(
         *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_o_" + n) for n in sums],
     )
     out = inner.join(offsets, _same(inner, offsets, [*keys, "_blk"]), "inner")
-    return out.select(*df.columns, *[(F.col("_r_" + n) + F.col("_o_" + n)).alias(n) for n in sums])
+    return inherit(out.select(*df.columns, *[(F.col("_r_" + n) + F.col("_o_" + n)).alias(n) for n in sums]), df)
 
 
 def running_last(df: DataFrame, keys: list[str], day: str, tie: list[str], values: list[str]) -> DataFrame:
@@ -150,7 +170,7 @@ def running_last(df: DataFrame, keys: list[str], day: str, tie: list[str], value
     if not has_hot_group(df, keys):
         w = Window.partitionBy(*keys).orderBy(day, *tie).rowsBetween(Window.unboundedPreceding, 0)
         keep = [c for c in df.columns if c not in values]
-        return df.select(*keep, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
+        return inherit(df.select(*keep, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values]), df)
     numbered = number_rows(df, keys, day, tie).withColumn("_blk", F.floor(F.col("_pos") / max_group_rows(df)))
     w = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     inner = numbered.select("*", *[F.last(v, ignorenulls=True).over(w).alias("_r_" + v) for v in values])
@@ -164,11 +184,4 @@ def running_last(df: DataFrame, keys: list[str], day: str, tie: list[str], value
     )
     out = inner.join(carried, _same(inner, carried, [*keys, "_blk"]), "inner")
     keep = [c for c in df.columns if c not in values]
-    return out.select(*keep, *[F.coalesce(F.col("_r_" + v), F.col("_o_" + v)).alias(v) for v in values])
-
-
-def small_or_plain(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast hint only for a side counted to be within ``max_rows``; otherwise leave it to Spark."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return inherit(out.select(*keep, *[F.coalesce(F.col("_r_" + v), F.col("_o_" + v)).alias(v) for v in values]), df)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.operators import joins, projections, rest_travel, rolling
+from pregame.operators.skew import has_hot_group, inherit
 from pregame.plans.oracle import oracle
 from pregame.plans.registry import query
 from pregame.plans.util import TEAM, TEAM_SEASON, WEEK_SQL, r6, with_week
@@ -28,6 +29,7 @@ FORM = ["roll5_pts", "roll5_opp_pts", "roll10_pts", "roll10_opp_pts"]
 
 def side_features(tg: DataFrame) -> DataFrame:
     """Rolling form and rest per team-game; both windows share one shuffle per key set."""
+    has_hot_group(tg, TEAM)  # one check serves both windows
     rolled = rolling.add_rolling(tg, TEAM_SEASON, ["pts", "opp_pts"], [5, 10])
     return rest_travel.rest_days(rolled, TEAM)
 
@@ -379,7 +381,7 @@ def weighted_players(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"pra": F.col("pts") + F.col("reb") + F.col("ast"), "played": ~F.col("is_absent")}
     )
     rolled = rolling.trailing_appearance_mean(p, PLAYER_SEASON, "played", ["mins", "pra"], 5)
-    rolled = rolled.withColumnsRenamed({"roll5_mins": "roll_mins", "roll5_pra": "roll_pra"})
+    rolled = inherit(rolled.withColumnsRenamed({"roll5_mins": "roll_mins", "roll5_pra": "roll_pra"}), rolled)
     return rolling.absence_weights(rolling.on_off(rolled, PLAYER_TEAM, "team_margin", "is_absent"))
 
 

@@ -242,14 +242,20 @@ def group_copies(rows: DataFrame, keys: list[str]) -> DataFrame:
 def match_boxes(games: DataFrame, boxes: DataFrame, block: list[str], game_name: str, box_name: str) -> DataFrame:
     """Boxes to games of the same block whose name ends with the box's short name.
 
-    The block is an equi-join key; only pairs inside a block are compared.
+    Every suffix of a game's name becomes a row, so the match is an equality on block and suffix: a busy
+    block costs its names' letters, not the pairs of its games and boxes. A blank short name matches nothing.
     """
-    g = games.alias("g")
-    b = boxes.select(*[F.col(c).alias("_b_" + c) for c in block], *[c for c in boxes.columns if c not in block])
-    cond = F.col(game_name).endswith(F.col(box_name))
+    n = F.length(game_name)
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(game_name), i, n))
+    g = games.withColumn("_suffix", F.explode(F.when(n > 0, suffixes)))
+    named = F.col(box_name) != ""
+    b = boxes.filter(named).select(
+        *[F.col(c).alias("_b_" + c) for c in block], F.col(box_name).alias("_short"), *[c for c in boxes.columns if c not in block]
+    )
+    cond = F.col("_suffix") == F.col("_short")
     for c in block:
         cond = cond & (F.col(c) == F.col("_b_" + c))
-    return g.join(b, cond).drop(*["_b_" + c for c in block])
+    return g.join(b, cond).drop("_suffix", "_short", *["_b_" + c for c in block])
 
 
 def resolve_aliases(df: DataFrame, label: str, exact: DataFrame, aliases: DataFrame, malformed: DataFrame) -> DataFrame:

@@ -144,30 +144,34 @@ class EloProcessor(StatefulProcessor):
         self.ratings = handle.getMapState("ratings", "team int", "rating double, season int")
         self.newest = handle.getValueState("newest", "day date, game_id bigint")
 
-    def _enter(self, team: int, season: int) -> float:
-        if not self.ratings.containsKey((team,)):
-            return BASE
-        rating, last = self.ratings.getValue((team,))
+    def _enter(self, team: int, season: int, local: dict) -> float:
+        """Rating a team takes into a game; stored state is read once per team and batch."""
+        if team not in local:
+            local[team] = self.ratings.getValue((team,)) if self.ratings.containsKey((team,)) else (BASE, season)
+        rating, last = local[team]
         return rating if last == season else BASE + self.params.keep * (rating - BASE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["game_date", "game_id"])
         newest = self.newest.get() if self.newest.exists() else None
-        out = []
+        out, local, played = [], {}, set()
         for r in batch.itertuples(index=False):
             at = (r.game_date, int(r.game_id))
             if newest is not None and at <= (newest[0], int(newest[1])):
                 out.append((key[0], int(r.game_id), None, None, True))
                 continue
             season = int(r.season)
-            h, a = self._enter(int(r.home_team), season), self._enter(int(r.away_team), season)
+            home, away = int(r.home_team), int(r.away_team)
+            h, a = self._enter(home, season, local), self._enter(away, season, local)
             out.append((key[0], int(r.game_id), h, a, False))
             expected = 1.0 / (1.0 + 10.0 ** (-(h + self.params.home - a) / 400.0))
             actual = 1.0 if r.home_pts > r.away_pts else 0.0 if r.home_pts < r.away_pts else 0.5
             change = self.params.k * (actual - expected)
-            self.ratings.updateValue((int(r.home_team),), (h + change, season))
-            self.ratings.updateValue((int(r.away_team),), (a - change, season))
+            local[home], local[away] = (h + change, season), (a - change, season)
+            played |= {home, away}
             newest = at
+        for team in played:
+            self.ratings.updateValue((team,), local[team])
         if newest is not None:
             self.newest.update(newest)
         yield pd.DataFrame(out, columns=["league", "game_id", "home_elo", "away_elo", "late"])

@@ -132,7 +132,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by class: one row per class with its shared shingles in the global order, cut into pieces."""
+    """Rows sorted by class, its size first and then its segments: one row for each class that shares enough of its
+    set to link, with its shared shingles in the global order, cut into pieces."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("pieces", pa.list_(pa.list_(pa.int64())))])
 
     def close(key: int, n: int, segs: list[tuple[bytes, bytes]]) -> tuple:
@@ -149,18 +150,21 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     done: list[tuple] = []
     now, size, segs = None, 0, []
+    def end() -> None:
+        if segs and 4 * sum(len(s[0]) for s in segs) >= 3 * 8 * size:
+            done.append(close(now, size, segs))
+
     for batch in batches:
         for key, n, value, freq in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "values", "freqs")), strict=True):
-            if key != now:
-                if segs:
-                    done.append(close(now, size, segs))
+            if n is not None:
+                end()
                 now, size, segs = key, n, []
-            segs.append((value, freq))
+            else:
+                segs.append((value, freq))
             if len(done) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
                 done = []
-    if segs:
-        done.append(close(now, size, segs))
+    end()
     if done:
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 
@@ -198,13 +202,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         base.mapInArrow(_emit(fragments, size), _EMIT).repartition(fragments, "frag").mapInArrow(_count, _SHARED), "shingles"
     )
     rows = found.filter("shared IS NULL").select("doc_id", "n", "key")
-    segments = found.filter("shared IS NOT NULL").select("key", "shared", "values", "freqs")
+    segments = found.filter("shared IS NOT NULL").select("key", "values", "freqs")
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"))
-    able = (
-        segments.groupBy("key").agg(F.sum("shared").alias("shared")).join(classes, "key").filter("4 * shared >= 3 * n").select("key", "n")
+    joined = classes.select("key", "n", F.lit(None).cast("binary").alias("values"), F.lit(None).cast("binary").alias("freqs")).unionByName(
+        segments.select("key", F.lit(None).cast("long").alias("n"), "values", "freqs")
     )
     sets = materialise(
-        segments.join(able, "key").select("key", "n", "values", "freqs").repartition("key").sortWithinPartitions("key")
+        joined.repartition("key").sortWithinPartitions("key", F.col("n").desc_nulls_last())
         .mapInArrow(_ordered, "key long, n long, shared long, prefix array<long>, parts array<long>, pieces array<array<long>>"),
         "sets",
     )

@@ -44,7 +44,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             yield k, at // 4, len(part) // 4, zlib.crc32(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = T.Parts(path, lambda e: np.array(e.ids, dtype="<u4").tobytes())
+        parts = T.WordParts(path)
         for batch in batches:
             text = batch.column(1).cast(pa.large_string()).fill_null("")
             owner: list[int] = []
@@ -67,7 +67,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 if not T.plain(t):
                     close(i, np.array(parts.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
                     continue
-                held.append((i, t.split()))
+                held.append((i, T.words(t)))
                 chars += len(t)
                 if chars > GROUP_CHARS:
                     flush()

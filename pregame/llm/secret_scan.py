@@ -155,9 +155,11 @@ def redact(docs: DataFrame, forest, threshold: float = 0.5, mark: str = "[SECRET
         return F.concat(F.get(pieces, i), F.when(forest(f) >= threshold, F.lit(mark)).otherwise(c))
 
     whole = F.concat(F.array_join(F.transform(found, part), ""), F.element_at(pieces, -1))
-    out = docs.withColumn(text_col, F.when(F.rlike(text, F.lit(CANDIDATE)), whole).otherwise(text))
+    was = "secret_scan_length_before"
+    out = docs.withColumn(was, F.char_length(text)).withColumn(text_col, F.when(F.rlike(text, F.lit(CANDIDATE)), whole).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.char_length(text_col) != F.char_length(docs[text_col]), F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]))
+        now = F.char_length(text_col).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(now != F.col(was), now).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

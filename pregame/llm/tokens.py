@@ -19,7 +19,7 @@ import regex
 PLAIN = regex.compile(r"[\t-\r -~¡-¬®-įı-ſ]*+")
 #: The split pattern of the byte-level file, and its special string.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-KEPT = 700_000
+KEPT = 1_500_000
 LONG = 60
 
 
@@ -92,8 +92,12 @@ class WordParts(Parts):
 
 #: A full stop or comma behind a letter or digit and before white space is a part of its own either way.
 MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
+CLUSTER = re.compile(r"[^\w\s][.,]|_[.,]")
 
 
 def words(text: str) -> list[str]:
     """Parts of a plain text for ``WordParts``."""
-    return MARK.sub(r" \1", text.lower()).split()
+    text = text.lower()
+    if CLUSTER.search(text) is None:
+        return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").split()
+    return MARK.sub(r" \1", text).split()

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pregame.llm.decontaminate import op8_decontamination
 from pregame.llm.jaccard_join import op1_jaccard_join
 from pregame.llm.packing import op7_best_fit_packing
+from pregame.llm.pii import op6_pii
 from pregame.llm.quality import op10_quality
 from pregame.llm.secret_scan import op5_secret_scan
 from pregame.llm.token_counts import op3_token_counts
+from pregame.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op5_secret_scan": op5_secret_scan,
+    "op6_pii": op6_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 

@@ -63,6 +63,7 @@ class Slice:
     ends: np.ndarray
     doc: np.ndarray
     counts: np.ndarray
+    sizes: np.ndarray
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
@@ -90,21 +91,25 @@ def cut(first: int, data: np.ndarray, at: np.ndarray) -> Slice:
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
     doc = np.searchsorted(at, starts, side="right") - 1
     # an empty document shares its offset with the next one; side="right" gives the one that holds bytes
-    return Slice(first, n, data, starts, ends, doc, np.bincount(doc, minlength=n)[:n])
+    return Slice(first, n, data, starts, ends, doc, np.bincount(doc, minlength=n)[:n], np.diff(at))
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit value of each byte range."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_LOWERED if lower else _VALUE)[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+class Spans:
+    """64-bit values of byte ranges of one slice, from one running sum."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.up, self.down = _power(len(data))
+        self.total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_LOWERED[data] * self.up[: len(data)], out=self.total[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hash(s: Slice) -> np.ndarray:
-    return span_hash(s.data, s.starts, s.ends)
+    return Spans(s.data).of(s.starts, s.ends)
 
 
 def shingles(s: Slice, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

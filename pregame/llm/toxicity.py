@@ -4,8 +4,8 @@ Labels mark documents; the tagger needs labelled tokens. Words and word beginnin
 often than in clean ones (by documents, each text once) label the words of toxic texts; words of clean texts are
 all clean. The field has two states, weights for the word, its beginnings, its ending and its neighbours, and
 transition weights; it is fitted by gradient steps over forward-backward marginals on a bounded sample of labelled
-rows. Every text is then tagged whole: the marginals of its words give the expected number of toxic words, which
-a logistic curve, fitted on sample rows kept apart, turns into the score; words with a marginal of a half or more
+rows. Every text is then tagged whole: the marginals of its words add up to the document's evidence, which a logistic
+curve, fitted on sample rows kept apart, turns into the score; words with a marginal of a half or more
 are the offending spans.
 
 The sample holds at most about ``TOXIC`` and ``CLEAN`` rows, chosen by a hash of the id. Several labels of an id count by
@@ -199,18 +199,20 @@ def _learn(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 
 def _per_doc(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(-np.log1p(-np.minimum(p, 1 - 1e-9)), np.flatnonzero(first)) if len(p) else np.zeros(0)
+    """Evidence of each document: -log of the chance that no word is toxic, each word weighed by its own marginal, so
+    that the many faint marginals of a long clean text add up to nothing."""
+    return np.add.reduceat(-np.log1p(-np.minimum(p, 1 - 1e-9)) * p, np.flatnonzero(first)) if len(p) else np.zeros(0)
 
 
 def _curve(parts: list, weights: np.ndarray, moves: np.ndarray, rate: float) -> tuple[float, float]:
-    """Logistic curve over the log of the expected toxic words, moved to the labels' own rate."""
+    """Logistic curve over the log of the evidence, moved to the labels' own rate."""
     if not parts:
         return 4.0, 1.0
     mass, y = [], []
     for ids, mine, first in parts:
         mass.append(_per_doc(marginals(weights[ids].sum(axis=1), first, moves)[0], first))
         y.append(mine[first])
-    z, y = np.log(np.concatenate(mass) + 1e-4), np.concatenate(y).astype(float)
+    z, y = np.log(np.concatenate(mass) + 1e-3), np.concatenate(y).astype(float)
     if y.min() == y.max():
         return 4.0, 1.0
     b = np.zeros(2)
@@ -238,7 +240,7 @@ def _score(shared, threshold: float):
                 p, _, _ = marginals(unary, first, moves)
                 mass = np.zeros(s.n)
                 mass[s.doc[first]] = _per_doc(p, first)
-                score = 1 / (1 + np.exp(-np.clip(bias + slope * np.log(mass + 1e-4), -30, 30)))
+                score = 1 / (1 + np.exp(-np.clip(bias + slope * np.log(mass + 1e-3), -30, 30)))
                 spans: list[list[str]] = [[] for _ in range(s.n)]
                 hit = np.flatnonzero(p >= 0.5)
                 if len(hit):

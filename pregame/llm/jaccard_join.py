@@ -7,10 +7,10 @@
 3. Two sets link at ``intersection >= 3/7 * (size a + size b)`` (Jaccard 0.75), so a class with less than
    0.75 of its set shared links with nothing and leaves.
 4. The global order is frequency, then value. Under it linked sets share a shingle of their prefixes. Each prefix
-   shingle proposes its purest class (smallest unshared part) as partner of the others: a star, not all pairs.
+   shingle proposes the class with most of its set behind it as partner of the others: a star, not all pairs.
 5. The order is cut into frequency octaves. A pair's partial overlaps are counted per octave and summed. Verified links give components.
-6. Pairs of *different* components that still share a prefix shingle and pass the size bounds are counted the
-   same way. Pairs inside a component are not needed: they change no component. So no link is lost, and
+6. Pairs of *different* components that still share a prefix shingle and pass the bound at it (what follows it on either
+   side must be enough for a link) are counted the same way. Pairs inside a component are not needed: they change no component. So no link is lost, and
    groups of copies are never expanded into pairs.
 
 Nulls, empty texts and texts without words have set size 0, link with nothing and are their own component.
@@ -169,9 +169,12 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 
 
-def _possible(n_a, m_a, n_b, m_b):
-    """The overlap that a link needs is at most what each side shares with anybody."""
-    return F.least(m_a, m_b) * 7 >= (n_a + n_b) * 3
+def _possible(n_a, rest_a, n_b, rest_b):
+    """Whether two classes that meet at a shingle can link: the overlap is at most what follows it on either side.
+
+    Holds at the first shingle two linked classes share in the global order, so no link is lost by asking it everywhere.
+    """
+    return F.least(rest_a, rest_b) * 7 >= (n_a + n_b) * 3
 
 
 def _verified(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -213,13 +216,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "sets",
     )
     pieces = sets.select("key", F.explode(F.arrays_zip("parts", "pieces")).alias("x")).select("key", F.col("x.parts").alias("part"), F.col("x.pieces").alias("grams"))
-    prefix = sets.select("key", "n", "shared", F.explode("prefix").alias("gram"))
+    prefix = sets.select("key", "n", "shared", F.posexplode("prefix").alias("place", "gram")).select(
+        "key", "n", "gram", (F.col("shared") - F.col("place")).alias("rest")
+    )
 
-    purest = F.min(F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("rest"), (-F.col("n")).alias("size"), "key", "n", "shared")).alias("c")
+    purest = F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), F.col("n").alias("size"), "key", "n", "rest")).alias("c")
     star = (
         prefix.join(prefix.groupBy("gram").agg(purest), "gram")
         .filter(F.col("key") != F.col("c.key"))
-        .filter(_possible(F.col("n"), F.col("shared"), F.col("c.n"), F.col("c.shared")))
+        .filter(_possible(F.col("n"), F.col("rest"), F.col("c.n"), F.col("c.rest")))
         .select(
             F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b"),
             F.when(F.col("key") < F.col("c.key"), F.col("n")).otherwise(F.col("c.n")).alias("n_a"),
@@ -236,15 +241,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("component", F.coalesce("component", "key"))
     )
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).filter("lo <> hi")
-    open_ = placed.join(mixed.select("gram", "least"), "gram").filter(F.col("shared") * 7 >= (F.col("n") + F.col("least")) * 3)
-    left = open_.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("m_a"), F.col("component").alias("c_a"))
-    right = open_.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("m_b"), F.col("component").alias("c_b"))
+    open_ = placed.join(mixed.select("gram", "least"), "gram").filter(F.col("rest") * 7 >= (F.col("n") + F.col("least")) * 3)
+    left = open_.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("component").alias("c_a"))
+    right = open_.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("component").alias("c_b"))
     across = (
         left.join(right, (left.gram == right.gram) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                  & _possible(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b")))
+                  & _possible(F.col("n_a"), F.col("rest_a"), F.col("n_b"), F.col("rest_b")))
         .select("a", "b", "n_a", "n_b").distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
+    across = materialise(across, "across").join(tested.select("a", "b"), ["a", "b"], "left_anti")
     links = first.unionByName(materialise(_verified(across, pieces), "links"))
     labels = components(links)
 

@@ -66,16 +66,30 @@ class Slice:
     sizes: np.ndarray
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+@dataclass
+class Part:
+    """Consecutive texts ``first .. first + n`` as bytes, each from ``at[i]`` to ``at[i + 1]``."""
+
+    first: int
+    n: int
+    data: np.ndarray
+    at: np.ndarray
+
+
+def parts(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Part]:
     data, offsets = text_buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
-        at = offsets[i : j + 1] - offsets[i]
-        yield cut(i, data[offsets[i] : offsets[j]], at)
+        yield Part(i, j - i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 
 
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+    for p in parts(column, limit):
+        yield cut(p.first, p.data, p.at)
+
+
 def cut(first: int, data: np.ndarray, at: np.ndarray) -> Slice:
     n = len(at) - 1
     word = ~_SPACE[data]

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from pregame.llm.common import materialise, table
 
-K = 14
-TREES, LEAF = 4, 120
+K = 28
+TREES, LEAF = 4, 150
 ROUNDS, SETTLED = 8, 0.02
-BEAM, WIDTH, STEPS, ENTRIES = 40, 20, 12, 64
+BEAM, WIDTH, STEPS, ENTRIES = 64, 12, 16, 64
 SEED = 11
 
 
@@ -39,9 +39,21 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    rows = [np.frombuffer(b, np.float16) for b in column.to_pylist()]
-    return np.stack(rows).astype(np.float32) if rows else np.zeros((0, 1), np.float32)
+def _packed(unit: np.ndarray) -> pa.Array:
+    """Unit vectors as one signed byte per component and a scale, for graph and beam."""
+    scale = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    rows = np.concatenate([np.round(unit / scale).astype(np.int8).view(np.uint8), scale.view(np.uint8).reshape(len(unit), 4)], axis=1)
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of ``_packed``."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 1), np.float32)
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return rows[:, :-4].view(np.int8).astype(np.float32) * np.ascontiguousarray(rows[:, -4:]).view(np.float32)
 
 
 def _leaves(planes: int):
@@ -51,7 +63,7 @@ def _leaves(planes: int):
                 continue
             x = _matrix(batch.column("vec"), np.float64)
             unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            packed = pa.array([r.tobytes() for r in unit.astype(np.float16)], pa.binary())
+            packed = _packed(unit)
             for tree in range(TREES):
                 normals = np.random.default_rng([SEED, tree]).normal(size=(x.shape[1], planes))
                 code = ((unit @ normals > 0) @ (1 << np.arange(planes))).astype(np.int64)
@@ -122,7 +134,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, at = np.unique(group.column("node").to_numpy(), return_index=True)
         if len(node) < 2:
             continue
-        x = _bytes(group.column("unit").combine_chunks())[at]
+        x = _bytes(group.column("unit"))[at]
         new = group.column("new").to_numpy()[at]
         worst = group.column("worst").to_numpy()[at]
         sims = x @ x.T
@@ -161,7 +173,7 @@ def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 
 def neighbour_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges src, dst, sim of every node's ``K`` best, and node, unit (half-precision bytes)."""
+    """Edges src, dst, sim of every node's ``K`` best, and node, unit (one byte per component)."""
     count = nodes.count()
     planes = int(np.clip(np.ceil(np.log2(max(count, 1) / LEAF)), 0, 40))
     coded = materialise(nodes.mapInArrow(_leaves(planes), "node long, unit binary, tree int, code long"), "leaves")
@@ -188,47 +200,68 @@ def neighbour_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return graph.select("src", "dst", "sim"), units
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sim = (_bytes(batch.column("query_unit")) * _bytes(batch.column("unit"))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array(sim.astype(np.float32))], names=["query_id", "node", "score"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = (_matrix(batch.column(c), np.float64) for c in ("query_vec", "vec"))
         sim = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
         yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array(sim, pa.float64())], names=["query_id", "node", "score"])
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """``queries``: query_id, query_vec, start (a node or null). Returns query_id, node, score of each query's beam."""
+def _query_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _matrix(batch.column("query_vec"), np.float64)
+        if len(batch):
+            unit = _packed(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("start"), unit], names=["query_id", "start", "query_unit"])
+
+
+def search(nodes: DataFrame, units: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
+    """``queries``: query_id, query_vec, start (a node or null). Returns query_id, node, score of each query's beam.
+
+    The beam runs on the packed vectors; its last state is scored exactly.
+    """
     both = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.xxhash64("dst", "src")))
-    links = materialise(both.withColumn("rank", rank).filter(F.col("rank") <= 3 * K).select("src", "dst"), "links")
+    links = materialise(both.withColumn("rank", rank).filter(F.col("rank") <= 3 * K // 2).select("src", "dst"), "links")
     entries = [r.node for r in nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
+    asked = materialise(queries.mapInArrow(_query_units, "query_id long, start long, query_unit binary"), "asked")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(nodes, "node").join(queries.select("query_id", "query_vec"), "query_id")
-        return full.select("query_id", "node", "query_vec", "vec").mapInArrow(_score, "query_id long, node long, score double")
+        full = pairs.join(units, "node").join(asked.select("query_id", "query_unit"), "query_id")
+        return full.select("query_id", "node", "query_unit", "unit").mapInArrow(_near, "query_id long, node long, score float")
 
-    begin = queries.select("query_id", F.explode(F.when(F.col("start").isNotNull(), F.array("start")).otherwise(F.array(*map(F.lit, entries)).cast("array<bigint>"))).alias("node"))
+    begin = asked.select("query_id", F.explode(F.when(F.col("start").isNotNull(), F.array("start")).otherwise(F.array(*map(F.lit, entries)).cast("array<bigint>"))).alias("node"))
     pool = materialise(scored(begin).withColumn("open", F.lit(True)), "beam")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
-    turn = F.sum(F.col("open").cast("int")).over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node").rowsBetween(Window.unboundedPreceding, 0))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
+    turn = F.sum(F.col("open").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     for _ in range(STEPS):
         marked = pool.withColumn("turn", turn).withColumn("widen", F.col("open") & (F.col("turn") <= WIDTH))
-        seen = pool.select("query_id", "node")
-        fresh = marked.filter("widen").join(links, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node")).distinct().join(seen, ["query_id", "node"], "left_anti")
+        fresh = (
+            marked.filter("widen").join(links, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node")).distinct()
+            .join(pool.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        )
         grown = marked.select("query_id", "node", "score", (F.col("open") & ~F.col("widen")).alias("open")).unionByName(scored(fresh).withColumn("open", F.lit(True)))
-        pool = materialise(grown.withColumn("rank", best).filter(F.col("rank") <= BEAM).drop("rank"), "beam")
+        pool = materialise(grown.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= BEAM).drop("rank"), "beam")
         if not pool.filter("open").limit(1).count():
             break
-    return pool.select("query_id", "node", "score")
+    last = pool.select("query_id", "node").join(nodes, "node").join(queries.select("query_id", "query_vec"), "query_id")
+    return last.select("query_id", "node", "query_vec", "vec").mapInArrow(_exact, "query_id long, node long, score double")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose id satisfies ``is_query`` (id -> Column)."""
     nodes, rows = nodes_of(vectors, id_col, vector_col, top + 1)
-    graph, _ = neighbour_graph(nodes)
+    graph, units = neighbour_graph(nodes)
     every = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("query_vec")).filter(is_query(F.col("query_id")))
     # nodes hold only vectors that take part, so the join also drops queries that do not
     queries = materialise(every.join(nodes.select(F.col("vec").alias("query_vec"), F.col("node").alias("start")), "query_vec").distinct(), "queries")
-    found = search(nodes, graph, queries)
+    found = search(nodes, units, graph, queries)
     near = found.join(rows, "node").filter(F.col("member") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "member"))
     return near.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= top).select("query_id", "rank", F.col("member").alias("vec_id"), "score")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pregame.llm.decontaminate import op8_decontamination
 from pregame.llm.jaccard_join import op1_jaccard_join
+from pregame.llm.language_id import op4_language_id
+from pregame.llm.neighbours import op2_nearest_neighbours
 from pregame.llm.packing import op7_best_fit_packing
 from pregame.llm.pii import op6_pii
 from pregame.llm.quality import op10_quality
@@ -17,7 +19,9 @@ from pregame.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_pii": op6_pii,
     "op7_best_fit_packing": op7_best_fit_packing,

@@ -88,15 +88,19 @@ def _context(text: Column) -> Column:
     around = F.split(text, TOKEN, -1)
     plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]", "")
 
-    def near(s: Column, i: Column) -> Column:
-        left = F.filter(F.split(F.right(F.get(around, i), F.lit(80)), r"\s+"), lambda w: w != "")
-        right = F.filter(F.split(F.left(F.get(around, i + 1), F.lit(40)), r"\s+"), lambda w: w != "")
+    def near(s: Column, w: Column) -> Column:
+        left = F.filter(F.split(F.right(w["l"], F.lit(80)), r"\s+"), lambda x: x != "")
+        right = F.filter(F.split(F.left(w["r"], F.lit(40)), r"\s+"), lambda x: x != "")
         one = plain(F.coalesce(F.get(left, F.size(left) - 1), F.lit("")))
         two = plain(F.coalesce(F.get(left, F.size(left) - 2), F.lit("")))
         after = plain(F.coalesce(F.get(right, F.lit(0)), F.lit("")))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["value"], r"^[^\w+@]+|[^\w@]+$", "").alias("value"), one.alias("one"), two.alias("two"), after.alias("after"))
 
-    return F.when(F.rlike(text, F.lit("[0-9@]")), F.transform(_cuts(text, TOKEN), near)).otherwise(F.transform(F.array().cast(SPAN), near))
+    # the pieces go in as an argument: inside the function they would be cut anew for every token
+    count = F.size(around) - 1
+    sides = F.zip_with(F.slice(around, F.lit(1), count), F.slice(around, F.lit(2), count), lambda l, r: F.struct(l.alias("l"), r.alias("r")))
+    none = F.zip_with(F.array().cast(SPAN), F.array().cast("array<struct<l:string,r:string>>"), near)
+    return F.when(F.rlike(text, F.lit("[0-9@]")), F.zip_with(_cuts(text, TOKEN), sides, near)).otherwise(none)
 
 
 def trusted_patterns(instances: DataFrame) -> DataFrame:

@@ -150,11 +150,14 @@ def redact(docs: DataFrame, forest, threshold: float = 0.5, mark: str = "[SECRET
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     found, pieces = _found(text)
 
-    def part(c: Column, i: Column) -> Column:
-        f = features(c, F.right(F.get(pieces, i), F.lit(BEFORE)), F.left(F.get(pieces, i + 1), F.lit(AFTER)), path)
-        return F.concat(F.get(pieces, i), F.when(forest(f) >= threshold, F.lit(mark)).otherwise(c))
-
-    whole = F.concat(F.array_join(F.transform(found, part), ""), F.element_at(pieces, -1))
+    def part(c: Column, w: Column) -> Column:
+        f = features(c, F.right(w["l"], F.lit(BEFORE)), F.left(w["r"], F.lit(AFTER)), path)
+        return F.concat(w["l"], F.when(forest(f) >= threshold, F.lit(mark)).otherwise(c))
+
+    # the pieces go in as an argument: inside the function they would be cut anew for every candidate
+    count = F.size(found)
+    sides = F.zip_with(F.slice(pieces, F.lit(1), count), F.slice(pieces, F.lit(2), count), lambda l, r: F.struct(l.alias("l"), r.alias("r")))
+    whole = F.concat(F.array_join(F.zip_with(found, sides, part), ""), F.element_at(pieces, -1))
     was = "secret_scan_length_before"
     out = docs.withColumn(was, F.char_length(text)).withColumn(text_col, F.when(F.rlike(text, F.lit(CANDIDATE)), whole).otherwise(text))
     if "n_chars" in docs.columns:

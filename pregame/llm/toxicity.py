@@ -9,7 +9,7 @@ curve, fitted on sample rows kept apart, turns into the score; words with a marg
 are the offending spans.
 
 The sample holds at most about ``TOXIC`` and ``CLEAN`` rows, chosen by a hash of the id. Several labels of an id count by
-their mean, null labels and null ids are not learned from. Without labels of both classes every score is the share of
+their mean, null labels and null ids are not learned from. Without labelled texts of both classes every score is the share of
 toxic labels (0 without labels). Null, empty and wordless texts get the curve's value for no toxic word.
 Repeated rows are scored alike.
 """
@@ -56,7 +56,7 @@ def lookups(s: W.Slice, lexical: list[np.ndarray]) -> np.ndarray:
     after = np.where(same[1:], np.roll(word, -1), np.uint64(2))
     columns = [*lexical, before, after]
     shift = np.uint64(64 - BITS)
-    return np.stack([W.mix(c + np.uint64(7 + k) * np.uint64(W.BASE)) >> shift for k, c in enumerate(columns)], axis=1).astype(np.int32)
+    return np.stack([W.mix(c + np.uint64((7 + k) * W.BASE & 0xFFFFFFFFFFFFFFFF)) >> shift for k, c in enumerate(columns)], axis=1).astype(np.int32)
 
 
 def _chain(x: np.ndarray, reset: np.ndarray, start: float, a: np.ndarray, right: bool) -> np.ndarray:
@@ -256,23 +256,30 @@ def _score(shared, threshold: float):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, score, predicted, spans (code points, start:end of offending words) per row of ``docs``.
 
-    Only ``labelled`` (id, text, label) is learned from.
+    ``labels`` (id, label) names the rows to learn from. The sample is drawn from it first, so what is joined to the
+    texts has at most about ``TOXIC`` + ``CLEAN`` rows and is broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("double").alias("label")).dropna(subset=["doc_id", "label"])
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).dropna()
+    known = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     bad, good = counts.get(1.0, 0), counts.get(0.0, 0)
     rate = bad / (bad + good) if bad + good else 0.0
+    flat = rows.select("doc_id", F.lit(rate).alias("score"), F.lit(int(rate >= threshold)).alias("predicted"), F.lit("").alias("spans"))
     if not bad or not good:
-        return rows.select("doc_id", F.lit(rate).alias("score"), F.lit(int(rate >= threshold)).alias("predicted"), F.lit("").alias("spans"))
+        return flat
     share = F.when(F.col("label") == 1, TOXIC / bad).otherwise(CLEAN / good)
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    sample = materialise(picked.mapInArrow(_sample, "doc_id long, text string, label double, seq long").dropDuplicates(["seq", "label"]), "toxic")
+    picked = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000))
+    sample = materialise(
+        rows.join(picked, "doc_id").select("doc_id", "text", "label").mapInArrow(_sample, "doc_id long, text string, label double, seq long").dropDuplicates(["seq", "label"]), "toxic"
+    )
     bad, good = (sample.filter(F.col("label") == k).count() for k in (1, 0))
+    if not bad or not good:
+        return flat
     odds = F.log((F.col("toxic") + 0.1) / (bad + 0.2)) - F.log((F.col("clean") + 0.1) / (good + 0.2))
     lexicon = (
         sample.mapInArrow(_associations, "value long, toxic long, clean long").groupBy("value").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -286,8 +293,6 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    marks = labels.dropna().groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    marks = marks.filter(remainder("doc_id", 4) != 2)
-    scored = toxicity_scores(docs, docs.join(marks, "doc_id"))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity_scores(docs, labels.filter(remainder("doc_id", 4) != 2))
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "spans")

@@ -1,0 +1,241 @@
+"""Token counts, language, personal data, secrets, toxicity, quality and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from pregame.llm import language_id, pii, quality, secret_scan, token_counts, tokens, toxicity
+from pregame.llm import words as W
+from tests.llm.conftest import frame
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SF = "/root/testdata/sf0.01"
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def test_plain_code_points_split_as_the_library_does():
+    for path in (BYTE, WORD):
+        tokenizer = tokens.load(path)
+        chars = [chr(c) for c in range(0x180) if tokens.plain(chr(c))]
+        texts = [f"a{c}1 {c}{c} .{c}b" for c in chars] + ["".join(random.Random(k).choices(chars, k=60)) for k in range(300)]
+        for t in texts:
+            want = tokenizer.encode(t, add_special_tokens=False).ids
+            if path == BYTE:
+                parts = tokens.BYTE_PATTERN.findall(t)
+                assert sum(len(tokenizer.encode(p, add_special_tokens=False).ids) for p in parts) == len(want)
+            else:
+                table = tokens.WordParts(path)
+                known = table.learn(set(tokens.words(t)))
+                assert b"".join(known[p] for p in tokens.words(t)) == np.array(want, dtype="<u4").tobytes(), t
+
+
+def test_token_counts(odd, none):
+    tokenizer = tokens.load(BYTE)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(odd, BYTE).collect()), key=repr)
+    want = []
+    for r in odd.collect():
+        n = len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+        want.append((r.doc_id, len((r.text or "").encode()), n, n > 1024))
+    assert got == sorted(want, key=repr)
+    assert token_counts.token_counts(none, BYTE).count() == 0
+
+
+def test_languages(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    got = language_id.identify_languages(docs, docs.filter(~held)).join(docs.filter(held).select("doc_id", "lang"), "doc_id")
+    right, total = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right >= 0.97 * total and got.filter("score < 0 OR score > 1").count() == 0
+    scored = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_languages(odd, docs).collect()}
+    assert len(scored) == 15 and all(scored[i] == ("und", 0.0) for i in (1, 2, 3, 11, 13)) and scored[8][0] in ("en", "de", "fr", "es")
+    assert {r.lang_pred for r in language_id.identify_languages(odd, none).collect()} == {"und"}
+    assert language_id.identify_languages(none, docs).count() == 0
+    one = language_id.identify_languages(odd, docs.filter("lang = 'fr'"))
+    assert {r.lang_pred for r in one.collect()} == {"fr", "und"}
+
+
+def test_trigrams_of_each_text():
+    import pyarrow as pa
+
+    texts = ["ab  c", "", "Zz9", "ééé", None, "  x"]
+    (p,) = W.parts(pa.array(texts))
+    bucket, starts = language_id.trigrams(p.data, p.at)
+    for t, part in zip(texts, np.split(bucket, starts[1:]), strict=True):
+        (own,) = W.parts(pa.array([t]))
+        assert part.tolist() == language_id.trigrams(own.data, own.at)[0].tolist()
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    def ok(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in v.split("."))
+        return (13 <= len(d) <= 19 and luhn(d)) if kind == "card" else 9 <= len(d) <= 15 if kind == "phone" else True
+
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text or "") if ok(k, m.group())]
+
+
+def test_pii_base_spans(spark, none):
+    rng = random.Random(4)
+    alphabet = "a@.-+ 0123456789()é%_"
+    texts = [(i, "".join(rng.choices(alphabet, k=rng.choice([0, 5, 30, 120])))) for i in range(1500)]
+    texts += [(9000, None), (9001, "4111 1111-1111 1111 x 4111  1111 1111 1111 a@b.c_d@e.f.g 1.2.3.4.5.6.7.8 +1 (545) 555-9193"), (9002, "7 " * 3_000), (9003, "a" * 90_000), (9004, "x@" + "b." * 20_000 + "c"), (9001, "1.2.3.4")]
+    got = sorted(((r.doc_id, r.spans.split(",id:")[0].split("id:")[0] if r.spans.startswith("id:") else r.spans.split(",id:")[0], r.base_sha256) for r in pii.find_pii(frame(spark, texts)).collect()), key=repr)
+    want = []
+    for i, t in texts:
+        s = ",".join(base_spans(t))
+        want.append((i, s, hashlib.sha256(s.encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    assert pii.find_pii(none).count() == 0
+
+
+def test_contexts_discover_identifiers(spark):
+    """Seeds share a context with identifiers of another shape; a decoy context is seen with other values mostly."""
+    mails = [(i, f"reach contact person user{i}@mail.example.org today") for i in range(30)]
+    unseen = [(100 + i, f"reach contact person ZX-{7000 + i}-Q today") for i in range(3)]
+    decoys = [(200 + i, f"built with version {1000 + i}-99 today") for i in range(30)] + [(300, "built with version a@b.org today")]
+    got = {r.doc_id: r.n_id for r in pii.find_pii(frame(spark, mails + unseen + decoys)).collect()}
+    assert all(got[100 + i] == 1 for i in range(3)) and not any(got[200 + i] for i in range(30))
+
+
+def test_secrets_and_redaction(spark, none):
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    texts, planted = [], {}
+    for i in range(120):
+        kind = i % 4
+        k = key() if kind < 2 else "".join(rng.choices("0123456789", k=16)) if kind == 2 else f"example-sample-key-{i}"
+        texts.append((i, f'Wörter davor token = "{k}" danach' if kind == 0 else f"nummer {k} hier" if kind < 3 else f'token = "{k}"'))
+        planted[i] = kind == 0
+    texts += [(900, None), (901, ""), (902, "b1" * 30_000), (0, texts[0][1])]
+    docs = frame(spark, texts)
+    found = secret_scan.candidates(docs)
+    forest = secret_scan.train_forest(secret_scan.rule_labels(found))
+    text = dict(texts)
+    rows = secret_scan.scan_secrets(found, forest).collect()
+    assert {r.doc_id for r in rows if r.secret} == {i for i, p in planted.items() if p}
+    assert all(re.fullmatch("[A-Za-z0-9+/_=-]{16,}", text[r.doc_id][r.start : r.end]) for r in rows)
+    assert Counter(r.doc_id for r in rows)[0] == 2
+    out = {r.doc_id: r for r in secret_scan.redact(docs, forest).collect()}
+    assert out[0].text == 'Wörter davor token = "[SECRET]" danach' and out[0].n_chars == len(out[0].text)
+    assert all(out[i].text == text[i] for i in (1, 2, 3, 901, 902)) and out[900].text is None
+    assert secret_scan.candidates(none).count() == 0
+    assert secret_scan.redact(docs, secret_scan.train_forest(secret_scan.rule_labels(found).limit(0))).filter("text LIKE '%[SECRET]%'").count() == 0
+
+
+def slow_marginals(u, first, moves):
+    a, out = np.array([[0, moves[1]], [moves[2], moves[3]]]), []
+    for part in np.split(np.arange(len(u)), np.flatnonzero(first)[1:]):
+        e = np.stack([np.zeros(len(part)), u[part]], axis=1)
+        f, b = np.zeros_like(e), np.zeros_like(e)
+        f[0] = e[0] + [0, moves[0]]
+        for t in range(1, len(part)):
+            f[t] = e[t] + np.logaddexp(f[t - 1, 0] + a[0], f[t - 1, 1] + a[1])
+        for t in range(len(part) - 2, -1, -1):
+            b[t] = np.logaddexp(a[:, 0] + e[t + 1, 0] + b[t + 1, 0], a[:, 1] + e[t + 1, 1] + b[t + 1, 1])
+        out += (1 / (1 + np.exp((f + b)[:, 0] - (f + b)[:, 1]))).tolist()
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [1, 5, 256, 257, 3000])
+def test_marginals_equal_the_plain_recursion(n):
+    rng = np.random.default_rng(n)
+    u, first, moves = rng.normal(size=n) * 4, rng.random(n) < 0.02, rng.normal(size=4)
+    first[0] = True
+    assert np.abs(toxicity.marginals(u, first, moves)[0] - slow_marginals(u, first, moves)).max() < 1e-9
+
+
+def test_toxicity_finds_words(spark, odd, none):
+    rng = random.Random(2)
+    bad = ["mistkerl", "Idiot!", "drecksau"]
+    texts = []
+    for i in range(400):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 40, 200]))]
+        if i % 4 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        texts.append((i, " ".join(words)))
+    docs = frame(spark, texts)
+    labelled = docs.filter("doc_id % 5 <> 0").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labelled).collect()}
+    wrong = [i for i in range(0, 400, 5) if got[i].predicted != (i % 4 == 0)]
+    assert len(wrong) <= 4
+    text = dict(texts)
+    found = {text[i][int(a):int(b)] for i in range(400) for a, b in (s.split(":") for s in got[i].spans.split(",") if s)}
+    assert {"mistkerl", "Idiot", "drecksau"} <= found
+    rest = toxicity.toxicity_scores(odd, labelled).collect()
+    assert len(rest) == 16 and all(0 <= r.score <= 1 for r in rest)
+    assert toxicity.toxicity_scores(none, labelled).count() == 0
+    assert {r.score for r in toxicity.toxicity_scores(odd, labelled.limit(0)).collect()} == {0.0}
+
+
+def test_quality_scores(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scores = quality.quality_scores(docs, labels)
+    right, n = scores.join(labels, "doc_id").agg(F.sum((F.col("keep") == (F.col("quality") == 1)).cast("int")), F.count("*")).first()
+    assert right >= 0.95 * n and scores.count() == docs.count()
+    assert quality.quality_scores(odd, labels).count() == 16 and quality.quality_scores(none, labels).count() == 0
+    flat = quality.quality_scores(odd, labels.limit(0)).collect()
+    assert {round(r.score, 9) for r in flat} == {0.5}
+    kept = quality.keep_good(odd, quality.quality_scores(odd, labels))
+    assert kept.columns == odd.columns and None in {r.doc_id for r in kept.collect()}
+
+
+def test_sparse_sites_shrink_to_their_prior(spark):
+    """One bad label hardly moves a path; a hundred do."""
+    rows = [(i, "eins zwei drei", "p", "big") for i in range(300)] + [(1000, "eins zwei drei", "rare", "big"), (2000, "eins zwei drei", "p", "new")]
+    rows += [(3000 + i, "eins zwei drei", "p", "bad") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(300)] + [(1000, 0)] + [(3000 + i, int(i % 10 == 0)) for i in range(100)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    assert got[3000].path_rate < 0.3 < got[1000].path_rate < got[0].path_rate
+    assert got[3000].host_rate < got[2000].host_rate < got[0].host_rate
+
+
+def test_figures_of_a_text_do_not_depend_on_its_slice(spark):
+    import pyarrow as pa
+
+    texts = ["Ab, cd! x|y\nzz 12", "", "the the the", None, "a b c d e f g"]
+    (s,) = W.slices(pa.array(texts))
+    whole = quality.figures(s)
+    for k, t in enumerate(texts):
+        (one,) = W.slices(pa.array([t]))
+        assert np.allclose(whole[k], quality.figures(one)[0])
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = corpus_pipeline.materialise(stage(spark, docs, SF), "stage")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == before.columns
+            now = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert now <= ids and len(now) > 0.7 * len(ids)
+            ids = now
+    assert {r.doc_id for r in docs.collect()} == ids
+
+
+def test_queries_are_registered():
+    import __spark_entry__
+
+    found = __spark_entry__.queries()
+    assert "pipeline" in found and all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 11))

@@ -73,6 +73,7 @@ def figures(s: W.Slice) -> np.ndarray:
         out[d, 6], out[d, 7] = len(runs) / len(mine), runs.max() / len(mine)
         three = np.sort(trigram[first[d] : max(first[d] + 1, first[d + 1] - 2)])
         out[d, 10] = (1 + np.count_nonzero(three[1:] != three[:-1])) / len(three)
+    out[~full] = 0
     return out
 
 

@@ -32,6 +32,18 @@ def remainder(column: str | Column, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose id is in ``ids`` (column doc_id). Texts are shuffled only where the ids, counted first,
+    are too many to be broadcast. All columns stay; rows with a null id stay."""
+    gone = materialise(ids.select(F.col("doc_id").cast("long").alias("gone_id")).dropna().distinct(), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("gone_id"), "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest id reachable from each end of ``edges`` (columns a, b): id, component.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import table
+from pregame.llm.common import table, without_ids
 
 BINS = 64
 #: Shingles of items in one block: about 16 MB on the driver and in a task.
@@ -137,7 +137,7 @@ def contained_items(
 
 def without_leaks(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id has a hit; all columns stay."""
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, hits)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import components, materialise, partitions
+from pregame.llm.common import components, materialise, partitions, without_ids
 
 FRAGMENT_BYTES = 16_000_000
 _EMIT = "frag int, doc_id long, n long, key long, keys binary, counts binary, values binary"
@@ -261,9 +261,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_per_component(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id names its component; a row without an id stays."""
-    keep = joined.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    """``docs`` less the rows whose id is not the one its component is named by; a row without an id stays."""
+    other = joined.groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("other")).filter("other")
+    return without_ids(docs, other)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

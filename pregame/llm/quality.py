@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import materialise, table
+from pregame.llm.common import materialise, table, without_ids
 
 SAMPLE = 50_000
 FIGURES = [
@@ -147,7 +147,7 @@ def quality_scores(
 
 def keep_good(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id is rejected; all columns stay, rows without an id too."""
-    return docs.join(scores.filter("NOT keep").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, scores.filter("NOT keep"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

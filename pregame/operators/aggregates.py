@@ -140,10 +140,13 @@ STANDING_FIELDS = ["win", "loss", "otl", "gf", "ga"]
 
 
 def standings_diff(computed: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
-    """Computed minus stated per field; ``fields`` lists only those that differ. Equal teams are left out."""
+    """Computed minus stated per field; ``fields`` lists only those that differ. Equal teams are left out.
+
+    A stated team without computed games counts as zeros; a field that is not stated does not differ.
+    """
     s = stated.select(*keys, *[F.col(f).alias(f"_{f}") for f in STANDING_FIELDS])
-    j = computed.join(s, keys)
-    d = {f: F.col(f) - F.col(f"_{f}") for f in STANDING_FIELDS}
+    j = computed.join(s, keys, "right")
+    d = {f: F.coalesce(F.col(f), F.lit(0)) - F.col(f"_{f}") for f in STANDING_FIELDS}
     parts = [F.when(v != 0, F.struct(F.lit(f).alias("field"), v.alias("delta"))) for f, v in d.items()]
     out = j.select(*keys, *[v.alias(f"d_{f}") for f, v in d.items()], F.array_compact(F.array(*parts)).alias("fields"))
     return out.filter(F.size("fields") > 0)

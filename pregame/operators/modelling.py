@@ -293,6 +293,7 @@ def promotion_gate(losses: DataFrame, tolerance_pct: float, draws: int = 200, se
 
     Passes when the change against production is within the tolerance and, where production measurably
     beats no skill (low end of its 95 % band above 0), the candidate keeps at least ``fraction`` of that edge.
+    An unknown no-skill loss is an error, not a pass.
     Markets are a handful of names; every market is its own small aggregation.
     """
     from pregame.operators.sets import union_all
@@ -314,6 +315,11 @@ def promotion_gate(losses: DataFrame, tolerance_pct: float, draws: int = 200, se
     g = union_all(parts)
     gain, kept = F.col("naive") - F.col("production"), F.col("naive") - F.col("candidate")
     informative = (gain > 0) & (F.col("edge_low") > 0)
-    guard = F.when(informative, kept >= fraction * gain).otherwise(True)
+    unknown = F.col("naive").isNull() | F.isnan("naive")
+    guard = (
+        F.when(unknown, F.raise_error(F.concat(F.lit("no-skill loss unknown for market "), F.col("market"))).cast("boolean"))
+        .when(informative, kept >= fraction * gain)
+        .otherwise(True)
+    )
     within = F.col("change_pct") <= tolerance_pct
     return g.withColumns({"informative": informative, "within_tolerance": within, "passed": within & guard})

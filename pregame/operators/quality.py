@@ -173,19 +173,22 @@ def irreconcilable_games(tg: DataFrame) -> DataFrame:
 def mirror_violations(tg: DataFrame) -> DataFrame:
     """Games whose two rows do not mirror each other: teams, scores, home flags.
 
-    Each row becomes a signed pair, so a mirrored game sums to zero; no self join.
+    The home row's values stand beside the away row's by conditional aggregates; no self join. Sums are reported only.
     """
+    home, away = F.col("is_home"), ~F.col("is_home")
+    values = ["team", "opp", "pts", "opp_pts"]
     per = tg.groupBy(GAME).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("pts") - F.col("opp_pts")).alias("margin_sum"),
         F.sum(F.col("team") - F.col("opp")).alias("team_sum"),
         F.count_if("is_home").alias("home_rows"),
-        (F.sum(F.col("pts") * F.col("pts")) - F.sum(F.col("opp_pts") * F.col("opp_pts"))).alias("square_sum"),
+        *(F.max(F.when(home, F.col(c))).alias(f"_h_{c}") for c in values),
+        *(F.max(F.when(away, F.col(c))).alias(f"_a_{c}") for c in values),
     )
-    return per.filter(
-        (F.col("rows") != 2) | (F.col("margin_sum") != 0) | (F.col("team_sum") != 0) | (F.col("home_rows") != 1)
-        | (F.col("square_sum") != 0)
-    ).select(GAME, "rows", "margin_sum", "team_sum", "home_rows")
+    mirrored = F.lit(True)
+    for h, a in (("team", "opp"), ("opp", "team"), ("pts", "opp_pts"), ("opp_pts", "pts")):
+        mirrored = mirrored & F.col(f"_h_{h}").eqNullSafe(F.col(f"_a_{a}"))
+    return per.filter((F.col("rows") != 2) | (F.col("home_rows") != 1) | ~mirrored).select(GAME, "rows", "margin_sum", "team_sum", "home_rows")
 
 
 def end_type_violations(df: DataFrame, result: str = "result") -> DataFrame:

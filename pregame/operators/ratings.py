@@ -202,8 +202,8 @@ def rating_states(gm: DataFrame, replay: DataFrame, scope: list[str]) -> DataFra
 def elo_as_of(fixture_sides: DataFrame, states: DataFrame, params: EloParams, scope: list[str]) -> DataFrame:
     """Rating each side takes into a fixture; the season boundary is applied on read.
 
-    A team without history has the baseline. With boundary ``base`` every elapsed season pulls once;
-    ``league_mean`` pulls toward the mean of the teams' latest ratings.
+    A team without history has the baseline plus the newcomers' offset. With boundary ``base`` every elapsed season
+    pulls once; ``league_mean`` pulls toward the mean of the ratings with which the teams ended earlier seasons.
     """
     from pregame.operators.asof import asof_before
 
@@ -211,15 +211,17 @@ def elo_as_of(fixture_sides: DataFrame, states: DataFrame, params: EloParams, sc
     got = asof_before(fixture_sides, states, [*scope, "team"], ["rating", "state_season"])
     moved = F.col("state_season") != F.col("season")
     if params.boundary == "league_mean":
-        latest = states.groupBy(*scope, "team").agg(F.max_by("rating", F.struct("game_date", "game_id")).alias("_r"))
-        mean = latest.groupBy(*scope).agg(F.avg("_r").alias("_mean"))
-        got = got.join(mean, scope, "left")
+        ends = states.groupBy(*scope, "team", "state_season").agg(F.max_by("rating", F.struct("game_date", "game_id")).alias("_r"))
+        asked = fixture_sides.select(*scope, "season").distinct()
+        latest = ends.join(asked, scope).filter("state_season < season").groupBy(*scope, "season", "team").agg(F.max_by("_r", "state_season").alias("_r"))
+        mean = latest.groupBy(*scope, "season").agg(F.avg("_r").alias("_mean"))
+        got = got.join(mean, [*scope, "season"], "left")
         center, power = F.col("_mean"), F.lit(1)
     else:
         center = F.lit(BASE)
         power = F.col("season") - F.col("state_season") if params.boundary == "base" else F.lit(1)
     pulled = center + F.pow(F.lit(params.keep), power) * (F.col("rating") - center)
-    entering = F.when(F.col("rating").isNull(), F.lit(BASE)).when(moved, pulled).otherwise(F.col("rating"))
+    entering = F.when(F.col("rating").isNull(), F.lit(BASE + (params.newcomer_offset or 0.0))).when(moved, pulled).otherwise(F.col("rating"))
     return got.withColumn("elo_entering", entering).drop("_mean", "rating", "state_season")
 
 

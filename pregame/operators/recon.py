@@ -204,7 +204,7 @@ def localise_label(shapes: DataFrame, games: DataFrame, scope: list[str]) -> Dat
 # ---- repair -------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, scope: list[str], max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, team, label): teams joined by edges share the least team of their component.
 
     Labels shrink to the neighbours' minimum and then jump to the label of their label, until no label
@@ -213,7 +213,7 @@ def components(edges: DataFrame, scope: list[str], max_rounds: int = 50) -> Data
     both = edges.select(*scope, F.col("home_team").alias("u"), F.col("away_team").alias("v"))
     both = cut_lineage(both.unionByName(both.select(*scope, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut_lineage(both.groupBy(*scope, F.col("u").alias("team")).agg(F.least(F.first("u"), F.min("v")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.select(*scope, F.col("team").alias("v"), F.col("label").alias("_l")), [*scope, "v"])
             .groupBy(*scope, F.col("u").alias("team"))
@@ -229,7 +229,6 @@ def components(edges: DataFrame, scope: list[str], max_rounds: int = 50) -> Data
         labels = step.select(*scope, "team", F.col("new").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def _effect(home: Column, away: Column, end: Column) -> tuple[Column, Column]:
@@ -254,7 +253,8 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
 
     The search runs one suspect per round for all components at once. A state is what each team of the
     component still needs; equal states merge (their counts add up), and a team whose last suspect has
-    been decided must need nothing. There is no limit on a component's size: large ones take more rounds.
+    been decided must need nothing. A field that is not stated (null), or a team that is not listed, asks for nothing.
+    There is no limit on a component's size: large ones take more rounds.
     """
     labels = components(suspects, scope)
     comp = suspects.join(labels.withColumnRenamed("team", "home_team"), [*scope, "home_team"])
@@ -274,7 +274,7 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
     # What each team needs from its suspects, and the round after which it must need nothing.
     touched = numbered.select(*ckeys, "i", F.explode(F.array("home_team", "away_team")).alias("team"))
     last = touched.groupBy(*ckeys, "team").agg(F.max("i").alias("last"))
-    need = [(F.coalesce(F.col(f"s.{f}"), F.lit(0)) - F.coalesce(F.col(f"b.{f}"), F.lit(0))).cast("int") for f in STANDING_FIELDS]
+    need = [(F.col(f"s.{f}") - F.coalesce(F.col(f"b.{f}"), F.lit(0))).cast("int") for f in STANDING_FIELDS]
     needs = last.alias("l")
     for name, df in (("s", stated), ("b", base)):
         cond = F.lit(True)
@@ -307,7 +307,7 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
             "ways",
             F.concat("picks", F.coalesce(F.col("o.pick"), F.lit(""))).alias("picks"),
         )
-        open_ = F.exists("state", lambda x: (x["last"] <= i) & F.exists(x["need"], lambda v: v != 0))
+        open_ = F.exists("state", lambda x: (x["last"] <= i) & F.exists(x["need"], lambda v: F.coalesce(v != 0, F.lit(False))))
         merged = moved.filter(~open_).groupBy(*ckeys, "state").agg(F.sum("ways").alias("ways"), F.min("picks").alias("picks"))
         states = cut_lineage(merged) if i % 4 == 0 else merged
     solved = states.groupBy(*ckeys).agg(F.sum("ways").alias("solutions"), F.min("picks").alias("picks"))

@@ -129,12 +129,14 @@ def _as_of_query(variant: str, pull: str):
     sql = oracle(
         "decided fixture_sides",
         f""", {elo_ctes(p, 'decided')}, {STATES_SQL.format(s='decided')},
-        mean AS (SELECT league, AVG(rating) AS mu FROM (SELECT league, team, MAX_BY(rating, (game_date, game_id)) AS rating FROM states GROUP BY ALL) GROUP BY league),
+        ends AS (SELECT league, team, season AS ss, MAX_BY(rating, (game_date, game_id)) AS last FROM states GROUP BY ALL),
+        mean AS (SELECT league, season, AVG(last) AS mu FROM (SELECT f.league, f.season, e.team, MAX_BY(e.last, e.ss) AS last
+        FROM (SELECT DISTINCT league, season FROM fixture_sides) f JOIN ends e ON e.league = f.league AND e.ss < f.season GROUP BY ALL) GROUP BY ALL),
         hit AS (SELECT f.league, f.game_id, f.team, f.season, s.rating, s.season AS ss FROM fixture_sides f LEFT JOIN states s
         ON s.league = f.league AND s.team = f.team AND s.game_date < f.game_date
         QUALIFY ROW_NUMBER() OVER (PARTITION BY f.league, f.game_id, f.team ORDER BY s.game_date DESC, s.game_id DESC) = 1)
-        SELECT league, game_id, team, ROUND(CASE WHEN rating IS NULL THEN 1500 WHEN ss <> season THEN {pull} ELSE rating END, 6) AS elo_entering
-        FROM hit JOIN mean USING (league)""",
+        SELECT league, game_id, team, ROUND(CASE WHEN rating IS NULL THEN {1500 + p.newcomer_offset} WHEN ss <> season THEN {pull} ELSE rating END, 6) AS elo_entering
+        FROM hit LEFT JOIN mean USING (league, season)""",
         recursive=True,
     )
 
@@ -148,6 +150,7 @@ def _as_of_query(variant: str, pull: str):
 
 _as_of_query("nba", f"1500 + {R.VARIANTS['nba'].keep!r}::DOUBLE * (rating - 1500)")
 _as_of_query("nhl", f"1500 + POW({R.VARIANTS['nhl'].keep!r}::DOUBLE, season - ss) * (rating - 1500)")
+_as_of_query("gleague", f"mu + {R.VARIANTS['gleague'].keep!r}::DOUBLE * (rating - mu)")
 
 CELLS = R.grid_cells(R.EloParams(), [10.0, 20.0, 40.0], [0.5, 0.75], [0.0, 50.0])
 _CELL_ROWS = ", ".join(f"({i}, {c.k!r}::DOUBLE, {c.keep!r}::DOUBLE, {c.home!r}::DOUBLE)" for i, c in enumerate(CELLS))

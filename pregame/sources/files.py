@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 def scan_seasons(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All season files as one table with their file name; the schema is declared, never inferred.
 
-    A row that does not fit the schema fails the read.
+    A row that does not fit the schema fails the read, and so does a file whose header is not the declared one.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .option("recursiveFileLookup", True)
         .csv(path)
@@ -29,6 +30,7 @@ def scan_seasons(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def scan_game_files(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Many small per-game files kept lossless: every column text, blank stays blank.
 
+    A row with a cell more or less, or another header, fails the read.
     Spark packs small files into one task by ``spark.sql.files.openCostInBytes``; compact the result
     with :func:`write_table` once.
     """
@@ -36,6 +38,8 @@ def scan_game_files(spark: SparkSession, path: str, columns: list[str]) -> DataF
     raw = (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .option("recursiveFileLookup", True)
         .csv(path)
         .withColumn("file", F.col("_metadata.file_path"))

@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 from conftest import SMALL, rows
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -302,3 +303,44 @@ def test_flagship(spark):
     df = game_features(spark, SMALL)
     assert df.count() == views.played(spark, SMALL).count()
     assert side_features(views.team_games(spark, SMALL)).count() == 2 * df.count()
+
+
+def test_mirror_check_compares_values(spark):
+    """Two level rows of different teams cancel in every sum."""
+    rows = [("1", 1, 2, 10.0, 10.0, True), ("1", 4, 3, 20.0, 20.0, False), ("2", 1, 2, 7.0, 9.0, True), ("2", 2, 1, 9.0, 7.0, False)]
+    df = spark.createDataFrame(rows, "game_id string, team int, opp int, pts double, opp_pts double, is_home boolean").withColumn("league", F.lit("x"))
+    assert [r["game_id"] for r in quality.mirror_violations(df).collect()] == ["1"]
+
+
+def test_stated_team_without_games_differs(spark):
+    from pregame.operators import aggregates
+
+    fields = ", ".join(f"{f} int" for f in aggregates.STANDING_FIELDS)
+    computed = spark.createDataFrame([(1, 1, 0, 0, 3, 2)], f"team int, {fields}")
+    stated = spark.createDataFrame([(1, 1, 0, 0, 3, None), (2, 1, 0, 0, 4, 1)], f"team int, {fields}")
+    got = {r["team"]: [(x["field"], x["delta"]) for x in r["fields"]] for r in aggregates.standings_diff(computed, stated, ["team"]).collect()}
+    assert got == {2: [("win", -1), ("gf", -4), ("ga", -1)]}
+
+
+def test_gate_refuses_an_unknown_baseline(spark):
+
+    rows = [("m", i, 0.5, 0.5, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "market string, row_id long, candidate double, production double, naive double")
+    with pytest.raises(PySparkException, match="no-skill loss unknown"):
+        modelling.promotion_gate(df, 2.0, 20).collect()
+
+
+def test_scans_check_header_and_width(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(c, T.StringType() if c == "game_id" else T.DoubleType()) for c in ("game_id", "pts", "opp")])
+    for name, text in {"good": "game_id,pts,opp\n1,2,3\n", "swapped": "game_id,opp,pts\n1,2,3\n", "wide": "game_id,pts,opp\n1,2,3,4\n", "short": "game_id,pts,opp\n1,2\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text(text)
+    assert files.scan_seasons(spark, str(tmp_path / "good"), schema).count() == 1
+    assert files.scan_game_files(spark, str(tmp_path / "good"), ["game_id", "pts", "opp"]).first()["opp"] == "3"
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        files.scan_seasons(spark, str(tmp_path / "swapped"), schema).collect()
+    for name in ("swapped", "wide", "short"):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            files.scan_game_files(spark, str(tmp_path / name), ["game_id", "pts", "opp"]).collect()

@@ -35,7 +35,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         inverse = pow(BASE, -1, 1 << 64)
         for name, base in (("up", BASE), ("down", inverse)):
             steps = np.full(max(n, SLICE_BYTES), base, dtype=np.uint64)

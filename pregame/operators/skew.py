@@ -121,12 +121,12 @@ def row_scope(df: DataFrame, keys: list[str], day: str, tie: list[str], reach: i
 
 
 def day_scope(df: DataFrame, keys: list[str], day: str, tie: list[str], days: int, span: int = 64) -> Scope:
-    """Scope for range frames over ``_day`` (days since the epoch) reaching ``days`` back."""
+    """Scope for range frames over ``_day`` (days since the epoch) reaching ``days`` back.
+
+    Blocks are spans of the calendar, so one plan serves every key size and nothing runs while it is built.
+    """
     source = df
-    hot = has_hot_group(source, keys)
     df = df.withColumn("_day", F.unix_date(F.col(day)))
-    if not hot:
-        return Scope(df, keys, ["_day"], False, ["_day"], source)
     span = max(span, days)
     block = F.floor(F.col("_day") / span)
     tail = F.pmod(F.col("_day"), F.lit(span)) >= span - days

@@ -70,7 +70,7 @@ def _elo(spark, sf_dir):
 def _form(spark, sf_dir):
     tg = views.team_games(spark, sf_dir).select("league", "team", "season", "game_id", "game_date", "pts")
     out = P.run_in_slices(_season_slices(tg), lambda s: P.live_form(s, 5), stateful=True)
-    return out.withColumn("form", r6("form"))
+    return out.withColumn("form", r6("form")).drop("late")
 
 
 @query(

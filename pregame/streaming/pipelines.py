@@ -181,6 +181,9 @@ class EloProcessor(StatefulProcessor):
 
 
 def live_elo(stream: DataFrame, params: EloParams) -> DataFrame:
+    """Live ratings; parameters that need more than the two teams' own state are refused."""
+    if params.mov or params.newcomer_offset or params.boundary != "team":
+        raise ValueError("the live rating knows K, home edge and the teams' own carry-over only; replay such a league in batch")
     return stream.groupBy("league").transformWithStateInPandas(
         statefulProcessor=EloProcessor(params),
         outputStructType="league string, game_id bigint, home_elo double, away_elo double, late boolean",
@@ -190,24 +193,37 @@ def live_elo(stream: DataFrame, params: EloParams) -> DataFrame:
 
 
 class FormProcessor(StatefulProcessor):
-    """Mean of the last ``w`` values per key, the current row excluded. State: at most ``w`` values."""
+    """Mean of the last ``w`` values per key, the current row excluded. State: at most ``w`` values and the newest row.
+
+    A row dated before the newest applied one is emitted with ``late`` set and no form, and leaves the state alone; its
+    key is recomputed in batch.
+    """
 
     def __init__(self, w: int):
         self.w = w
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "pts double")
+        self.newest = handle.getValueState("newest", "day date, game_id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["game_date", "game_id"])
         recent = [v[0] for v in self.recent.get()] if self.recent.exists() else []
+        newest = self.newest.get() if self.newest.exists() else None
         out = []
         for r in batch.itertuples(index=False):
+            at = (r.game_date, int(r.game_id))
+            if newest is not None and at <= (newest[0], int(newest[1])):
+                out.append((key[0], int(key[1]), int(r.game_id), None, True))
+                continue
+            newest = at
             form = sum(recent) / self.w if len(recent) == self.w else None
-            out.append((key[0], int(key[1]), int(r.game_id), form))
+            out.append((key[0], int(key[1]), int(r.game_id), form, False))
             recent = [*recent, float(r.pts)][-self.w :]
         self.recent.put([(v,) for v in recent])
-        yield pd.DataFrame(out, columns=["league", "team", "game_id", "form"])
+        if newest is not None:
+            self.newest.update(newest)
+        yield pd.DataFrame(out, columns=["league", "team", "game_id", "form", "late"])
 
     def close(self) -> None:
         pass
@@ -216,7 +232,7 @@ class FormProcessor(StatefulProcessor):
 def live_form(stream: DataFrame, w: int) -> DataFrame:
     return stream.groupBy("league", "team").transformWithStateInPandas(
         statefulProcessor=FormProcessor(w),
-        outputStructType="league string, team int, game_id bigint, form double",
+        outputStructType="league string, team int, game_id bigint, form double, late boolean",
         outputMode="append",
         timeMode="None",
     )

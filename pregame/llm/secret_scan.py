@@ -29,12 +29,17 @@ KEY = "A-Za-z0-9+/_="
 CANDIDATE = f"(?<![{KEY}-])(?=[A-Za-z+/_=-]*[0-9])[{KEY}-]{{16,}}"
 KNOWN = "^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abprs]-|AIza|eyJ|glpat-|npm_)"
 CREDENTIAL = r"(?i)(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)[^\n]{0,16}$"
-PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|fake|test"
+#: Whole words; a letter on either side makes it another word ('latest', 'contest').
+_STANDS_IN = "(?<![A-Za-z])(?:example|sample|dummy|placeholder|changeme|your|fake|test)(?![A-Za-z])"
+#: In the candidate itself: such a word, or one character eight times in a row, which random keys practically never have.
+PLACEHOLDER = rf"(?i){_STANDS_IN}|x{{6}}|(.)\1{{7}}"
+#: At the end of the text before: such a word in the very name that is assigned.
+PLACEHOLDER_NAME = rf"(?i){_STANDS_IN}[A-Za-z0-9_-]{{0,32}}[\"'`]?[ \t]{{0,4}}[=:][ \t]{{0,4}}[\"'`]?$"
 WORDS = "access|account|admin|alpha|api|auth|backup|base|beta|build|cache|change|client|cloud|code|config|data|default|dev|document|download|dummy|example|file|final|first|group|home|host|image|index|internal|item|key|latest|local|login|main|master|model|name|number|object|order|page|pass|password|path|placeholder|prod|project|public|release|report|sample|secret|section|server|service|session|stage|static|string|system|table|test|token|update|upload|user|value|version|your"
 BEFORE, AFTER = 80, 40
 FEATURES = [
     "length", "digits", "uppers", "hex", "turns", "humps", "syllables", "distinct", "run", "dictionary", "known", "credential",
-    "assigned", "quoted", "placeholder", "test_path",
+    "assigned", "quoted", "placeholder", "placeholder_name", "test_path",
 ]
 
 
@@ -63,7 +68,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "credential": flag(before, CREDENTIAL),
         "assigned": flag(before, r"[=:]\s{0,4}[\"']?$"),
         "quoted": (F.rlike(before, F.lit("[\"'`]$")) & F.rlike(after, F.lit("^[\"'`]"))).cast("double"),
-        "placeholder": F.greatest(flag(candidate, PLACEHOLDER), flag(before, PLACEHOLDER), flag(after, PLACEHOLDER)),
+        "placeholder": flag(candidate, PLACEHOLDER),
+        "placeholder_name": flag(before, PLACEHOLDER_NAME),
         "test_path": flag(path, "(?i)test|example|sample|fixture|docs?/"),
     }
 
@@ -99,10 +105,11 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Adds ``label`` to candidates: a known format, or assigned to a credential name, and no placeholder."""
+    """Adds ``label`` to candidates: a known format, or assigned to a credential name that is no placeholder's; the
+    candidate itself is no placeholder. Words elsewhere beside it do not count."""
     f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
-    sure = (f["known"] == 1) | (f["credential"] == 1) & (f["assigned"] == 1) & F.rlike("candidate", F.lit("[A-Za-z]"))
-    return found.withColumn("label", (sure & (f["placeholder"] == 0) & (f["run"] == 0)).cast("double"))
+    assigned = (f["credential"] == 1) & (f["assigned"] == 1) & (f["placeholder_name"] == 0) & F.rlike("candidate", F.lit("[A-Za-z]"))
+    return found.withColumn("label", (((f["known"] == 1) | assigned) & (f["placeholder"] == 0)).cast("double"))
 
 
 def train_forest(labelled: DataFrame):

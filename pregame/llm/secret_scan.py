@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives. DataFrame functions only.
 
-Candidates are runs of at least 16 key characters with a digit. Each gets figures of its length, its character
+Candidates are runs of at least 16 key characters with a digit, and whatever is assigned to a credential name, from four
+characters on and also without a digit. A name ends at its sign: '=' belongs to a run only as padding at its end. Each gets figures of its length, its character
 classes and transitions, how much of it dictionary words cover, its path, and the words beside it. A forest trained
 on labelled findings votes; the share of votes is the finding's probability. The trained trees are turned into
 column expressions, so texts can be scored and redacted in place, without a join.
@@ -25,10 +26,34 @@ from pregame.llm.common import materialise, table
 #: Labelled findings of one class that the forest is fitted on, at most about.
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 6, 7
-KEY = "A-Za-z0-9+/_="
-CANDIDATE = f"(?<![{KEY}-])(?=[A-Za-z+/_=-]*[0-9])[{KEY}-]{{16,}}"
-KNOWN = "^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abprs]-|AIza|eyJ|glpat-|npm_)"
-CREDENTIAL = r"(?i)(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)[^\n]{0,16}$"
+KEY = "A-Za-z0-9+/_-"
+_RUN = f"(?<![{KEY}])(?=[A-Za-z+/_-]*+[0-9])[{KEY}]{{16,}}+(?:={{1,2}}(?![={KEY}]))?"
+#: A name that ends in a credential word, with what assigns it; bounded, for a look behind.
+_NAME = (
+    r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|private|secret|auth|signing|encryption)[_-]?key(?:[_-]?id)?|auth|bearer|credentials?)"
+    r"[_-]?[0-9]{0,3}[\"'`]?[ \t]{0,4}(?::=|=>|[=:])"
+)
+_REST = r"[^\s\"'`,;&<>(){}\[\]|\\$]"
+_FIRST = r"(?=[A-Za-z0-9!@#^*~+_./-])(?!//)"
+#: Values of such a name, of four characters and more: quoted; right behind the sign; behind blanks with a digit or at the end of the line.
+_ASSIGNED = "|".join((
+    rf"(?<=[=:>][ \t]{{0,4}}[\"'`])(?<={_NAME}[ \t]{{0,4}}[\"'`])[^\s\"'`<>{{}}$]{{4,}}+(?=[\"'`])",
+    rf"(?<=[=:>])(?<={_NAME}){_FIRST}{_REST}{{4,}}+(?![(\[{{])",
+    rf"(?<=[=:>][ \t]{{1,4}})(?<={_NAME}[ \t]{{1,4}}){_FIRST}(?:(?={_REST}*?[0-9]){_REST}{{4,}}+(?![(\[{{])|{_REST}{{4,}}+(?=[ \t]*+(?:[\r\n]|\z)))",
+))
+CANDIDATE = f"{_ASSIGNED}|{_RUN}"
+#: A known format at the start, or with its body inside a run, behind no letter or digit.
+KNOWN = (
+    "^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abprs]-|AIza|eyJ|glpat-|npm_)"
+    "|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{16}|github_pat_[A-Za-z0-9_]{20}|sk_live_[A-Za-z0-9]{16}|sk-[A-Za-z0-9]{20}"
+    "|xox[abprs]-[A-Za-z0-9-]{10}|AIza[A-Za-z0-9_-]{30}|eyJ[A-Za-z0-9_-]{17}|glpat-[A-Za-z0-9_-]{16}|npm_[A-Za-z0-9]{30})"
+)
+CREDENTIAL = r"(?i)(?:token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|auth|bearer|credential)[^\n]{0,16}$"
+#: Assigned values that name no secret: constants, types, the names of settings, dotted lower-case references.
+NO_VALUE = (
+    r"(?i)^(?:true|false|null|none|nil|undefined|required|optional|string|str|bytes|bool|boolean|integer|number|default|empty|enabled|disabled)[.?!]?$"
+    r"|^(?-i:[a-z]+(?:_[a-z]+)*(?:\.[a-z]+(?:_[a-z]+)*)+)$|^(?:[a-z]+_)*(?:token|secret|passw(?:or)?d|passphrase|pwd|key|auth|bearer|credentials?)$"
+)
 #: Whole words; a letter on either side makes it another word ('latest', 'contest').
 _STANDS_IN = "(?<![A-Za-z])(?:example|sample|dummy|placeholder|changeme|your|fake|test)(?![A-Za-z])"
 #: In the candidate itself: such a word, or one character eight times in a row, which random keys practically never have.
@@ -66,9 +91,9 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "dictionary": 1 - F.char_length(F.regexp_replace(F.lower(candidate), F.lit(f"(?:{WORDS})"), F.lit(""))) / n,
         "known": flag(candidate, KNOWN),
         "credential": flag(before, CREDENTIAL),
-        "assigned": flag(before, r"[=:]\s{0,4}[\"']?$"),
+        "assigned": flag(before, r"[=:]>?\s{0,4}[\"'`]?$"),
         "quoted": (F.rlike(before, F.lit("[\"'`]$")) & F.rlike(after, F.lit("^[\"'`]"))).cast("double"),
-        "placeholder": flag(candidate, PLACEHOLDER),
+        "placeholder": F.greatest(flag(candidate, PLACEHOLDER), flag(candidate, NO_VALUE)),
         "placeholder_name": flag(before, PLACEHOLDER_NAME),
         "test_path": flag(path, "(?i)test|example|sample|fixture|docs?/"),
     }
@@ -79,6 +104,11 @@ def _found(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
 
 
+def _left(last: Column, piece: Column) -> Column:
+    """Text before a candidate: the piece between, and the candidate before it, which may be the name that is assigned."""
+    return F.right(F.concat(F.coalesce(last, F.lit("")), piece), F.lit(BEFORE))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """doc_id, start, end, candidate, before, after, path per candidate."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
@@ -87,7 +117,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.filter(F.rlike("text", F.lit(CANDIDATE))).select("doc_id", "path", F.monotonically_increasing_id().alias("row"), found.alias("found"), pieces.alias("pieces"))
     near = F.transform(
         "found", lambda c, i: F.struct(
-            c.alias("candidate"), F.right(F.get("pieces", i), F.lit(BEFORE)).alias("before"),
+            c.alias("candidate"), _left(F.get("found", i - 1), F.get("pieces", i)).alias("before"),
             F.left(F.get("pieces", i + 1), F.lit(AFTER)).alias("after"), F.char_length(F.get("pieces", i)).alias("gap"),
         )
     )
@@ -158,12 +188,14 @@ def redact(docs: DataFrame, forest, threshold: float = 0.5, mark: str = "[SECRET
     found, pieces = _found(text)
 
     def part(c: Column, w: Column) -> Column:
-        f = features(c, F.right(w["l"], F.lit(BEFORE)), F.left(w["r"], F.lit(AFTER)), path)
+        f = features(c, _left(w["last"], w["l"]), F.left(w["r"], F.lit(AFTER)), path)
         return F.concat(w["l"], F.when(forest(f) >= threshold, F.lit(mark)).otherwise(c))
 
     # the pieces go in as an argument: inside the function they would be cut anew for every candidate
     count = F.size(found)
     sides = F.zip_with(F.slice(pieces, F.lit(1), count), F.slice(pieces, F.lit(2), count), lambda l, r: F.struct(l.alias("l"), r.alias("r")))
+    last = F.slice(F.concat(F.array(F.lit("")), found), F.lit(1), count)
+    sides = F.zip_with(sides, last, lambda w, x: F.struct(w["l"].alias("l"), w["r"].alias("r"), x.alias("last")))
     whole = F.concat(F.array_join(F.zip_with(found, sides, part), ""), F.element_at(pieces, -1))
     was = "secret_scan_length_before"
     out = docs.withColumn(was, F.char_length(text)).withColumn(text_col, F.when(F.rlike(text, F.lit(CANDIDATE)), whole).otherwise(text))

@@ -256,3 +256,29 @@ def test_words_beside_a_secret_are_no_veto(spark):
     assert all(label[200 + i] == 1 for i in range(len(real))) and all(label[300 + i] == 0 for i in range(len(stand_ins)))
     rows = {r.doc_id: r.secret for r in secret_scan.scan_secrets(found, secret_scan.train_forest(found)).collect()}
     assert all(rows[200 + i] for i in range(len(real))) and all(rows[i] == (i % 2 == 1) for i in range(80))
+
+
+def test_assigned_values_and_known_formats_are_candidates(spark):
+    rng = random.Random(22)
+    word = lambda n, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choices(a, k=n))
+    hexa = lambda: word(40, "0123456789abcdef")
+    plain = [(i, f'davor token = "{hexa()}" danach' if i % 2 else f"nummer {hexa()} hier") for i in range(80)]
+    gh, akia, b64 = f"ghp_{word(36)}", f"AKIA{word(16, 'ABCDEFGHIJ234567')}", f"{word(20)}7/{word(21)}=="
+    real = [
+        (f"GITHUB_TOKEN={gh}\n", gh), (f"AWS_ACCESS_KEY_ID={akia}\nx", akia), (h := hexa()) and (f"see https://a.b/c?api_key={h}&page=2", h), (f'secret = "{b64}"', b64),
+        (f"AWS_SECRET_ACCESS_KEY_2={b64} x", b64), ("DB_PASSWORD=hunter2\n", "hunter2"), ('password: "correcthorsebattery"', "correcthorsebattery"),
+        ("password = correcthorse\nnext", "correcthorse"), ('{"pwd": "p@ss!w0rd"}', "p@ss!w0rd"), (f"url/path/{gh} x", f"url/path/{gh}"), (f"prefix-{akia}", f"prefix-{akia}"),
+        ("export SECRET=abcDEFghiJKL && run", "abcDEFghiJKL"), ("a=1&passwd=geheimnis&b=2", "geheimnis"),
+    ]
+    none = ['author = "Johnathan"', "token = get_token()", "password = None\n", "the secret: remember to write", "api_key=os.environ[KEY]", "password=password", 'token = "<your token>"', "secret=config.secret_key\n", "token=$TOKEN", "tokens: many\n"]
+    docs = frame(spark, plain + [(200 + i, x) for i, (x, _) in enumerate(real)] + [(300 + i, x) for i, x in enumerate(none)] + [(900, "b1" * 30_000), (901, "token=" + "a" * 90_000 + "("), (902, "token= " * 9_000), (903, "=" * 50_000)])
+    found = secret_scan.rule_labels(secret_scan.candidates(docs))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = found.collect()
+    assert all(text[r.doc_id][r.start : r.end] == r.candidate for r in rows)
+    got = {(r.doc_id, r.candidate) for r in rows if r.label == 1 and 200 <= r.doc_id < 900}
+    assert got == {(200 + i, v) for i, (_, v) in enumerate(real)}
+    forest = secret_scan.train_forest(found)
+    assert {(r.doc_id, text[r.doc_id][r.start : r.end]) for r in secret_scan.scan_secrets(found, forest).filter("secret AND doc_id BETWEEN 200 AND 899").collect()} == got
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
+    assert all(out[200 + i] == x.replace(v, "[SECRET]") for i, (x, v) in enumerate(real)) and all(out[300 + i] == x for i, x in enumerate(none))

@@ -2,10 +2,11 @@
 
 1. One pass over the texts finds the fixed kinds (email, ip, card, phone) and every token with a digit or an at sign,
    each with the words to its left and right. Only these are kept; texts are not shuffled.
-2. Tokens that are an email, ip or card are the seeds. Contexts (the word before, the two words before, the words
-   around) are patterns. Patterns and token values form a graph: a pattern's score is the share of its distinct values
-   that are believed, a value's score is that of its seed or of its best trusted pattern. Rounds alternate the
-   two until no value joins.
+2. The spans of the fixed kinds are the seeds, in place of the tokens they cover. Contexts (the word before, the two words
+   before, the words around) are patterns. Patterns and values form a graph: a pattern's score is the share of its distinct
+   values that are believed; seeds and all values of trusted patterns are believed. Rounds alternate the two until no
+   value joins. (A value that had the score of its best trusted pattern would reach 1 over the rounds, as that pattern's
+   score rises with it; so belief is yes or no.)
 3. Tokens of an identifier's shape beside a trusted pattern, outside all fixed spans, are reported as kind ``id``.
 
 Patterns are written without groups that repeat, so that long runs need no stack, and start only at the left end
@@ -32,23 +33,29 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9][ ().0-9-]"}
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: A pattern is trusted with this share of believed values and so many distinct ones.
-TRUST, SUPPORT, ROUNDS = 0.8, 3, 5
+TRUST, SUPPORT = 0.8, 3
 IDENTIFIER = r"^(?=(?:[^0-9]*+[0-9]){4})[A-Za-z0-9#/_.:-]{6,64}$"
-SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,value:string,l:string,r:string>>"
+NEAR = "array<struct<start:bigint,end:bigint,value:string,one:string,two:string,after:string>>"
+BEFORE, AFTER = 80, 40
 
 
 def _cuts(text: Column, pattern: str) -> Column:
-    """Matches with their places, left to right."""
+    """Matches with their places and the text beside them, left to right."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("last"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["p"])
         end = start + F.char_length(x["f"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["f"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
+        left = F.right(F.concat(acc["last"], x["p"]), F.lit(BEFORE))
+        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["f"].alias("value"), left.alias("l"), x["r"].alias("r"))
+        return F.struct(end.cast("long").alias("at"), F.right(x["f"], F.lit(BEFORE)).alias("last"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    count = F.size(found)
+    right = F.zip_with(F.slice(pieces, F.lit(2), count), F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), count), lambda p, f: F.left(F.concat(F.left(p, F.lit(AFTER)), F.left(f, F.lit(AFTER))), F.lit(AFTER)))
+    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), count), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
+    pairs = F.zip_with(pairs, right, lambda x, r: F.struct(x["f"].alias("f"), x["p"].alias("p"), r.alias("r")))
     return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
 
 
@@ -78,56 +85,50 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _near(s: Column, value: Column) -> Column:
+    """A match with its neighbouring words. Characters joined to it belong to its token; a word with a digit or an at sign
+    is a token of its own and ends the context."""
+    plain = lambda w: F.when(F.rlike(w, F.lit("[0-9@]")), F.lit("")).otherwise(F.regexp_replace(F.lower(w), r"[^\p{L}]", ""))
+    left = F.filter(F.split(F.regexp_replace(s["l"], r"\S++\z", ""), r"\s+"), lambda x: x != "")
+    right = F.filter(F.split(F.regexp_replace(s["r"], r"\A\S++", ""), r"\s+"), lambda x: x != "")
+    one = plain(F.coalesce(F.get(left, F.size(left) - 1), F.lit("")))
+    two = plain(F.coalesce(F.get(left, F.size(left) - 2), F.lit("")))
+    after = plain(F.coalesce(F.get(right, F.lit(0)), F.lit("")))
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), value.alias("value"), one.alias("one"), two.alias("two"), after.alias("after"))
+
+
 def fixed_spans(text: Column, kind: str) -> Column:
-    spans = F.filter(_cuts(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
-    return F.when(F.rlike(text, F.lit(NEEDED[kind])), spans).otherwise(F.array().cast(SPAN))
+    spans = F.transform(F.filter(_cuts(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"])), lambda s: _near(s, s["value"]))
+    return F.when(F.rlike(text, F.lit(NEEDED[kind])), spans).otherwise(F.array().cast(NEAR))
 
 
 def _context(text: Column) -> Column:
     """Tokens with their places and neighbouring words."""
-    around = F.split(text, TOKEN, -1)
-    plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]", "")
-
-    def near(s: Column, w: Column) -> Column:
-        left = F.filter(F.split(F.right(w["l"], F.lit(80)), r"\s+"), lambda x: x != "")
-        right = F.filter(F.split(F.left(w["r"], F.lit(40)), r"\s+"), lambda x: x != "")
-        one = plain(F.coalesce(F.get(left, F.size(left) - 1), F.lit("")))
-        two = plain(F.coalesce(F.get(left, F.size(left) - 2), F.lit("")))
-        after = plain(F.coalesce(F.get(right, F.lit(0)), F.lit("")))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["value"], r"^[^\w+@]+|[^\w@]+$", "").alias("value"), one.alias("one"), two.alias("two"), after.alias("after"))
-
-    # the pieces go in as an argument: inside the function they would be cut anew for every token
-    count = F.size(around) - 1
-    sides = F.zip_with(F.slice(around, F.lit(1), count), F.slice(around, F.lit(2), count), lambda l, r: F.struct(l.alias("l"), r.alias("r")))
-    none = F.zip_with(F.array().cast(SPAN), F.array().cast("array<struct<l:string,r:string>>"), near)
-    return F.when(F.rlike(text, F.lit("[0-9@]")), F.zip_with(_cuts(text, TOKEN), sides, near)).otherwise(none)
+    tokens = F.transform(_cuts(text, TOKEN), lambda s: _near(s, F.regexp_replace(s["value"], r"^[^\w+@]+|[^\w@]+$", "")))
+    return F.when(F.rlike(text, F.lit("[0-9@]")), tokens).otherwise(F.array().cast(NEAR))
 
 
 def trusted_patterns(instances: DataFrame) -> DataFrame:
     """Patterns worth trusting: ``instances`` holds pattern, value, seed (boolean); repeated rows count once.
 
-    Scores pattern and value in turn; every round is a grouped aggregation and a join on the graph's edges.
+    Trusts patterns and believes values in turn until no value joins; every round is a grouped aggregation and a join
+    on the graph's edges.
     """
     edges = materialise(instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    believed = materialise(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")).filter("score > 0"), "values")
+    believed = materialise(edges.groupBy("value").agg(F.max("seed").alias("seed")).filter("seed").select("value"), "values")
     count = believed.count()
-    patterns = None
-    for _ in range(ROUNDS):
-        held = edges.join(believed, "value").groupBy("pattern").agg(F.sum("score").alias("mass"), F.count("*").alias("hits"))
+    while True:
+        held = edges.join(believed, "value").groupBy("pattern").agg(F.count("*").alias("hits"))
         patterns = materialise(
-            held.join(sizes, "pattern").select("pattern", (F.col("mass") / F.col("n")).alias("confidence"), "hits").filter((F.col("confidence") >= TRUST) & (F.col("hits") >= SUPPORT)),
+            held.join(sizes, "pattern").select("pattern", (F.col("hits") / F.col("n")).alias("confidence"), "hits").filter((F.col("confidence") >= TRUST) & (F.col("hits") >= SUPPORT)),
             "patterns",
         )
-        better = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("score"))
-        believed = materialise(
-            believed.unionByName(better).groupBy("value").agg(F.max("score").alias("score")), "values"
-        )
+        believed = materialise(believed.unionByName(edges.join(patterns, "pattern").select("value")).distinct(), "values")
         now = believed.count()
         if now == count:
-            break
+            return patterns
         count = now
-    return patterns
 
 
 def _text_of(kind: str, spans: Column) -> Column:
@@ -145,20 +146,20 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     base = F.concat(*(F.col(k) for k in kinds))
     tokens = seen.filter("size(tokens) > 0").select("row", base.alias("base"), F.explode("tokens").alias("t")).select("row", "base", "t.*").filter("value <> ''")
-    seed = F.exists("base", lambda s: s["value"] == F.col("value"))
     whole = lambda *c: F.concat_ws(" ", *c)
     wordy = [
         F.when(F.col("one") != "", whole(F.lit("1"), F.col("one"))),
         F.when((F.col("one") != "") & (F.col("two") != ""), whole(F.lit("2"), F.col("two"), F.col("one"))),
         F.when((F.col("one") != "") & (F.col("after") != ""), whole(F.lit("3"), F.col("one"), F.lit("_"), F.col("after"))),
     ]
-    placed = tokens.select(
-        "row", "start", "end", "value", seed.alias("seed"), F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))).alias("covered"),
-        F.array_compact(F.array(*wordy)).alias("patterns"),
+    covered = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    placed = tokens.filter(~covered).select("row", "start", "end", "value", F.array_compact(F.array(*wordy)).alias("patterns"))
+    seeds = seen.select(F.explode(base).alias("t")).select("t.*").select("value", F.array_compact(F.array(*wordy)).alias("patterns"))
+    edges = placed.select("value", F.lit(False).alias("seed"), F.explode("patterns").alias("pattern")).unionByName(
+        seeds.select("value", F.lit(True).alias("seed"), F.explode("patterns").alias("pattern"))
     )
-    edges = placed.select("value", "seed", F.explode("patterns").alias("pattern"))
     trusted = trusted_patterns(edges)
-    open_ = placed.filter(~F.col("covered") & F.rlike("value", F.lit(IDENTIFIER))).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    open_ = placed.filter(F.rlike("value", F.lit(IDENTIFIER))).select("row", "start", "end", F.explode("patterns").alias("pattern"))
     found = open_.join(trusted, "pattern").select("row", "start", "end").distinct()
     more = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ids"))
     own = F.concat(*(_text_of(k, F.col(k)) for k in kinds))

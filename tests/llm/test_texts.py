@@ -282,3 +282,25 @@ def test_assigned_values_and_known_formats_are_candidates(spark):
     assert {(r.doc_id, text[r.doc_id][r.start : r.end]) for r in secret_scan.scan_secrets(found, forest).filter("secret AND doc_id BETWEEN 200 AND 899").collect()} == got
     out = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
     assert all(out[200 + i] == x.replace(v, "[SECRET]") for i, (x, v) in enumerate(real)) and all(out[300 + i] == x for i, x in enumerate(none))
+
+
+def test_spans_with_spaces_are_seeds_and_chains_go_to_their_end(spark):
+    phones = [(i, f"ring her number +1 (017) 555-{7000 + i} tonight") for i in range(30)] + [(100, "ring her number QX-70001-B tonight")]
+    cards, i = [], 0
+    while len(cards) < 20:
+        digits = f"4111{i:012d}"
+        i += 1
+        if luhn(digits):
+            cards.append((200 + len(cards), f"charge with plastic {digits[:4]} {digits[4:8]} {digits[8:12]} {digits[12:]} now"))
+    cards.append((300, "charge with plastic KK-88120-Z now"))
+    # context k holds 7 mails and the identifiers of steps k and k + 1; it is trusted once those of step k are believed
+    word = lambda k: "abcdefghijklmnop"[k] * 4
+    chain = []
+    for k in range(12):
+        chain += [(400 + k, f"step {word(k)} u{j}@mail.example.org end") for j in range(9 if k == 0 else 7)]
+        chain += [(1000 + 10 * s + j, f"step {word(k)} ID-{s}000{j} end") for s in ((k, k + 1) if k else (1,)) for j in range(2)]
+    got = {}
+    for r in pii.find_pii(frame(spark, phones + cards + chain + [(2001, "wholly other JJ-90210 end")])).collect():
+        got.setdefault(r.doc_id, []).append(r.n_id)
+    assert got[100] == [1] and got[300] == [1] and got[2001] == [0]
+    assert [got[1000 + 10 * s + j] for s in (1, 5, 12) for j in (0, 1)] == [[1, 1]] * 4 + [[1]] * 2

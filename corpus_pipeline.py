@@ -1,7 +1,7 @@
 """Training-corpus pipeline: each stage takes the documents the stage before it kept.
 
 quality -> near duplicates -> benchmark decontamination -> secret redaction -> packing. All stages but the last return
-the columns of their input. Each stage's result is written to the shared folder and read again.
+the columns of their input. The filters decide row by row, whatever ids are null or repeated. Each stage's result is written to the shared folder and read again.
 """
 
 from __future__ import annotations
@@ -14,17 +14,17 @@ from pregame.llm.common import materialise, table
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.keep_good(docs, quality.quality_scores(docs, table(spark, sf_dir, "labels")))
+    return quality.keep_good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    return jaccard_join.one_per_component(docs, jaccard_join.ngram_jaccard_join(docs)[0])
+    return jaccard_join.one_row_per_component(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.without_leaks(docs, decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.without_leaking_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

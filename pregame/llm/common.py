@@ -44,6 +44,16 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("gone_id"), "left_anti").select(*docs.columns)
 
 
+#: Column of ``with_row_key``.
+ROW_KEY = "row_key_of_64_bits"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of the whole row, never null: filters by it decide on rows, whatever ids are null or repeated."""
+    parts = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return docs.withColumn(ROW_KEY, F.xxhash64(*parts))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest id reachable from each end of ``edges`` (columns a, b): id, component.
 

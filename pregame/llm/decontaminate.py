@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import table, without_ids
+from pregame.llm.common import ROW_KEY, table, with_row_key, without_ids
 
 BINS = 64
 #: Shingles of items in one block: about 16 MB on the driver and in a task.
@@ -135,9 +135,15 @@ def contained_items(
     return out
 
 
-def without_leaks(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose id has a hit; all columns stay."""
-    return without_ids(docs, hits)
+    return without_ids(docs, hits, id_col)
+
+
+def without_leaking_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` less the rows that hold an item themselves, with null or repeated ids too."""
+    keyed = with_row_key(docs)
+    return without_leaks(keyed, contained_items(keyed, items, id_col=ROW_KEY), ROW_KEY).drop(ROW_KEY)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

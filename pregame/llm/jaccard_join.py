@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import components, materialise, partitions, without_ids
+from pregame.llm.common import ROW_KEY, components, materialise, partitions, with_row_key, without_ids
 
 FRAGMENT_BYTES = 16_000_000
 _EMIT = "frag int, doc_id long, n long, key long, keys binary, counts binary, values binary"
@@ -266,6 +266,25 @@ def one_per_component(docs: DataFrame, joined: DataFrame) -> DataFrame:
     return without_ids(docs, other)
 
 
+def one_row_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked rows: one with the smallest id, a null id last. Null and repeated ids are
+    rows like others; rows without shingles are in no group and all stay."""
+    keyed = with_row_key(docs)
+    joined = ngram_jaccard_join(keyed, id_col=ROW_KEY)[0].filter("n_shingles > 0").select(F.col("doc_id").alias(ROW_KEY), "component_id")
+    counted = materialise(joined.groupBy(ROW_KEY, "component_id").agg(F.count("*").alias("copies")), "rows")
+    named = materialise(counted.join(keyed.select(ROW_KEY, F.col(id_col).alias("id")).distinct(), ROW_KEY), "rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW_KEY)).alias("first")
+    firsts = named.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1").select("component_id", F.col(f"first.{ROW_KEY}").alias("stays"))
+    other = named.join(firsts, "component_id").filter(F.col(ROW_KEY) != F.col("stays")).select(F.col(ROW_KEY).alias("doc_id"))
+    left = without_ids(keyed, other, ROW_KEY)
+    # rows equal in all columns share their key: only those go through a shuffle
+    repeated = materialise(named.filter("copies > 1").select(F.col(ROW_KEY).alias("doc_id")), "repeated")
+    if not repeated.limit(1).count():
+        return left.drop(ROW_KEY)
+    twice = left.join(repeated.withColumnRenamed("doc_id", "key_again"), F.col(ROW_KEY) == F.col("key_again"), "left_semi")
+    return without_ids(left, repeated, ROW_KEY).unionByName(twice.dropDuplicates([ROW_KEY, text_col])).drop(ROW_KEY)
+
+
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from pregame.llm.common import table
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import materialise, table, without_ids
+from pregame.llm.common import ROW_KEY, materialise, table, with_row_key, without_ids
 
 SAMPLE = 50_000
 FIGURES = [
@@ -145,9 +145,16 @@ def quality_scores(
     )
 
 
-def keep_good(docs: DataFrame, scores: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, scores: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose id is rejected; all columns stay, rows without an id too."""
-    return without_ids(docs, scores.filter("NOT keep"))
+    return without_ids(docs, scores.filter("NOT keep"), id_col)
+
+
+def keep_good_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """``docs`` less the rows that are rejected themselves, with null or repeated ids too; labels are taken by id."""
+    keyed = with_row_key(docs)
+    marks = keyed.select(ROW_KEY, id_col).dropna().distinct().join(labels.select(id_col, label_col), id_col).select(ROW_KEY, label_col)
+    return keep_good(keyed, quality_scores(keyed, marks, id_col=ROW_KEY, label_col=label_col), ROW_KEY).drop(ROW_KEY)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,3 +196,24 @@ def test_sweep_places_every_piece_once():
             placed[s] += k * times
         after = dict(zip(rest[:, 0].tolist(), rest[:, 1].tolist(), strict=True))
         assert all(placed[s] + after.get(s, 0) == k for s, k, _ in pieces.tolist())
+
+
+def test_filters_decide_by_row(spark):
+    """Null and repeated ids: each row stays or goes for its own text."""
+    rng = random.Random(31)
+    text = lambda: " ".join(f"w{rng.randrange(100_000)}" for _ in range(40))
+    copied, own, item, clean = text(), text(), text(), text()
+    docs = frame(spark, [(None, copied), (None, copied), (7, copied), (3, own), (3, own), (7, own + " more"), (7, clean), (None, None), (None, None), (8, "")])
+    kept = jaccard_join.one_row_per_component(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(7, copied), (3, own), (7, clean), (None, None), (None, None), (8, "")], key=repr)
+    docs = frame(spark, [(None, f"{clean} {item}"), (5, item), (5, clean), (None, own)])
+    left = decontaminate.without_leaking_rows(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and {(r.doc_id, r.text) for r in left.collect()} == {(5, clean), (None, own)}
+    good, bad = "eins zwei drei", "x"
+    rows = [(i, good, "de", "good") for i in range(100)] + [(200 + i, bad, "de", "bad") for i in range(100)] + [(None, good, "de", "good"), (None, bad, "de", "bad"), (900, good, "de", "good"), (900, bad, "de", "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(200 + i, 0) for i in range(100)], "doc_id long, quality int")
+    from pregame.llm import quality
+
+    assert sorted(map(tuple, quality.keep_good_rows(docs, labels).collect()), key=repr) == sorted([r for r in rows if r[3] == "good"], key=repr)

@@ -54,6 +54,26 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW_KEY, F.xxhash64(*parts))
 
 
+#: ``spread_join`` splits keys with more rows than this, ``HOT_KEYS`` of them at most and into ``HOT_PARTS`` parts at most.
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 500, 10_000, 4_096
+
+
+def spread_join(rows: DataFrame, once: DataFrame, keys: list[str], sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``once`` (one row per key) on ``keys``, with the rows of hot keys dealt to several tasks.
+
+    ``sizes`` has ``keys`` and ``rows_of_key``. The ``HOT_KEYS`` largest keys over ``HOT_ROWS`` rows are broadcast (a list of
+    that length at most, whatever the input); their row of ``once`` is repeated per part. Any other key has at most
+    one row in ``HOT_KEYS`` of the input. Null keys match nothing.
+    """
+    largest = sizes.dropna(subset=keys).orderBy(F.desc("rows_of_key"), *keys).limit(HOT_KEYS).filter(F.col("rows_of_key") > HOT_ROWS)
+    hot = materialise(largest.select(*keys, F.least(F.ceil(F.col("rows_of_key") / HOT_ROWS), F.lit(HOT_PARTS)).alias("parts_of_key")), "hot")
+    parts = F.coalesce("parts_of_key", F.lit(1))
+    # the part of a row only chooses between equal copies, so a recomputed task may choose otherwise
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("part_of_key", F.pmod(F.monotonically_increasing_id(), parts)).drop("parts_of_key")
+    copies = once.join(F.broadcast(hot), keys, "left").withColumn("part_of_key", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts_of_key")
+    return dealt.join(copies, [*keys, "part_of_key"], how).drop("part_of_key")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest id reachable from each end of ``edges`` (columns a, b): id, component.
 

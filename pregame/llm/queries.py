@@ -16,6 +16,7 @@ from pregame.llm.quality import op10_quality
 from pregame.llm.secret_scan import op5_secret_scan
 from pregame.llm.token_counts import op3_token_counts
 from pregame.llm.toxicity import op9_toxicity
+from pregame.llm.whitening import op12_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 #: No query of this subpackage has oracle SQL: models, hashes, tokenizers and iterations have none, and the joins

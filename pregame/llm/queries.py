@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pregame.llm.decontaminate import op8_decontamination
+from pregame.llm.divergence import OP13_SQL, op13_quality_rules
 from pregame.llm.jaccard_join import op1_jaccard_join
 from pregame.llm.language_id import op4_language_id
 from pregame.llm.neighbours import op2_nearest_neighbours
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_quality_rules": op13_quality_rules,
 }
 
-#: No query of this subpackage has oracle SQL: models, hashes, tokenizers and iterations have none, and the joins
-#: are too slow in SQL on whole tables. They are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries of this subpackage have no oracle SQL: models, hashes, tokenizers and iterations have none, and the
+#: joins are too slow in SQL on whole tables. They are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op13_quality_rules": OP13_SQL}

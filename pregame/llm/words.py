@@ -44,6 +44,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -109,12 +114,12 @@ def cut(first: int, data: np.ndarray, at: np.ndarray) -> Slice:
 
 
 class Spans:
-    """64-bit values of byte ranges of one slice, from one running sum."""
+    """64-bit values of byte ranges of one slice, from one running sum. A-Z count as a-z unless ``lowered`` is off."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, lowered: bool = True) -> None:
         self.up, self.down = _power(len(data))
         self.total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_LOWERED[data] * self.up[: len(data)], out=self.total[1:])
+        np.cumsum((_LOWERED if lowered else _VALUE)[data] * self.up[: len(data)], out=self.total[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):

@@ -7,9 +7,10 @@ pass the base rules, each distinct text weighing one, so copies do not bend them
 
 1. Document frequencies of all words of letters give ``CANDIDATES`` words per language.
 2. One pass over the texts turns each row into its figures, class counts and counts of those words.
-3. Over the distinct texts, the ``COMMON`` words in most texts are chosen and the mean shares taken.
-4. Rows farther than ``FAR_CLASSES`` or ``FAR_WORDS`` from a reference are rejected. Guards: the class test wants
-   ``MIN_CHARS`` characters in words, the word test ``MIN_WORDS`` words; a language has a reference if it has at least
+3. Over the distinct texts, the ``COMMON`` words in most texts are chosen and the mean shares taken; then again over the half of
+   the texts that is nearest to them, which keeps junk and groups of near copies out of the references.
+4. Rows too far from a reference are rejected. Guards: the class test wants ``MIN_CHARS`` characters in words, the word test
+   ``MIN_WORDS`` words, and the narrow limits hold for long texts only, as short ones stray by chance; a language has a reference if it has at least
    ``MIN_TEXTS`` such texts and one in ``RARE`` of all rows (which bounds what is broadcast); else the base rules decide.
 
 A null or empty text has figures 0 and fails the base rules. A null language is ``und``. Rows with null or repeated ids and
@@ -29,8 +30,9 @@ from pregame.llm import words as W
 from pregame.llm.common import materialise, table
 
 CANDIDATES, COMMON = 500, 50
-FAR_CLASSES, FAR_WORDS = 0.33, 0.45
-MIN_CHARS, MIN_WORDS, MIN_TEXTS, RARE = 200, 50, 20, 1_000
+#: Largest distances: of any text that is tested, and of texts of ``LONG_CHARS`` and ``LONG_WORDS`` at least.
+FAR_CLASSES, FAR_WORDS, LONG_FAR_CLASSES, LONG_FAR_WORDS = 0.33, 0.45, 0.18, 0.33
+MIN_CHARS, MIN_WORDS, LONG_CHARS, LONG_WORDS, MIN_TEXTS, RARE = 200, 50, 1_000, 200, 20, 1_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 CLASSES = ["lower", "upper", "digit", "mark", "symbol", "other"]
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -175,8 +177,12 @@ def _distances(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((kl(shares) + kl(np.broadcast_to(reference, shares.shape))) / 2, 0.0))
 
 
-def _verdicts(references: dict[str, tuple[list[float], list[int], list[float]]]):
-    """``references``: per language the class shares, the places of its common words and their shares, the rest last."""
+References = dict[str, tuple[list[float], list[int], list[float]]]
+
+
+def _away(references: References, columns: list[str]):
+    """The rows with their distances, null where there is no test. ``references``: per language the class shares, the places of
+    its common words and their shares, the rest last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +190,7 @@ def _verdicts(references: dict[str, tuple[list[float], list[int], list[float]]])
             langs = batch.column("lang").to_numpy(zero_copy_only=False)
             chars, n = batch.column("word_chars").to_numpy(), batch.column("n_words").to_numpy()
             classes = batch.column("classes").flatten().to_numpy().reshape(len(batch), 6)
-            offsets = batch.column("word_places").value_lengths().to_numpy()
-            row = np.repeat(np.arange(len(batch)), offsets)
+            row = np.repeat(np.arange(len(batch)), batch.column("word_places").value_lengths().to_numpy())
             place, count = (batch.column(c).flatten().to_numpy() for c in ("word_places", "word_counts"))
             for lang in set(langs) & set(references):
                 of_class, places, of_words = references[lang]
@@ -202,42 +207,63 @@ def _verdicts(references: dict[str, tuple[list[float], list[int], list[float]]])
                     shares = hit[long] / n[long, None]
                     shares[:, -1] = 1 - shares.sum(axis=1)
                     far[long, 1] = _distances(shares, np.array(of_words))
-            # not a number: no test
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(batch.column(c) for c in FIGURES), *(pa.array(far[:, k], pa.float64(), from_pandas=True) for k in (0, 1))],
-                names=["doc_id", *FIGURES, "class_distance", "word_distance"],
+                [*(batch.column(c) for c in columns), *(pa.array(far[:, k], pa.float64(), from_pandas=True) for k in (0, 1))], names=[*columns, "class_distance", "word_distance"]
             )
 
     return run
 
 
-def _references(features: DataFrame) -> dict[str, tuple[list[float], list[int], list[float]]]:
-    """Mean shares over the distinct texts that pass the base rules; at most ``RARE`` languages come to the driver."""
-    texts = features.filter(~_base_failed()).groupBy("lang", "text_key").agg(*[F.first(c).alias(c) for c in ("n_words", "word_chars", "classes", "word_places", "word_counts")])
-    texts = materialise(texts, "texts")
+def with_distances(features: DataFrame, references: References, columns: list[str]) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema}
+    return features.mapInArrow(_away(references, columns), ", ".join(f"{c} {kinds[c]}" for c in columns) + ", class_distance double, word_distance double")
+
+
+def _means(classes_of: DataFrame, words_of: DataFrame) -> References:
+    """Mean shares of the given texts per language; the driver gets ``CANDIDATES`` rows per language at most."""
     share = lambda k: F.avg(F.get("classes", F.lit(k)) / F.col("word_chars")).alias(CLASSES[k])
-    rows = features.groupBy("lang").agg(F.count("*").alias("rows"))
-    total = rows.agg(F.sum("rows")).first()[0] or 0
-    used = rows.filter(F.col("rows") * RARE >= total)
-    classes = texts.groupBy("lang").agg(F.count("*").alias("texts"), *[share(k) for k in range(6)]).filter(F.col("texts") >= MIN_TEXTS)
-    found = {r.lang: r for r in classes.join(used, "lang").collect()}
+    found = {r.lang: r for r in classes_of.groupBy("lang").agg(*[share(k) for k in range(6)]).collect()}
+    texts = {r.lang: r["count"] for r in words_of.groupBy("lang").count().collect()}
     words = (
-        texts.select("lang", "n_words", F.explode(F.arrays_zip("word_places", "word_counts")).alias("w"))
+        words_of.select("lang", "n_words", F.explode(F.arrays_zip("word_places", "word_counts")).alias("w"))
         .groupBy("lang", F.col("w.word_places").alias("place"))
         .agg(F.count("*").alias("texts"), F.sum(F.col("w.word_counts") / F.col("n_words")).alias("share"))
     )
-    common: dict[str, list] = {lang: [] for lang in found}
-    for r in words.collect():  # at most CANDIDATES per language with candidates
-        if r.lang in found:
-            common[r.lang].append((-r.texts, r.place, r.share / found[r.lang].texts))
+    common: dict[str, list] = {}
+    for r in words.collect():
+        common.setdefault(r.lang, []).append((-r.texts, r.place, r.share / texts[r.lang]))
     out = {}
     for lang, r in found.items():
-        best = sorted(common[lang])[:COMMON]
+        best = sorted(common.get(lang, []))[:COMMON]
         shares = [x[2] for x in best]
         out[lang] = [float(r[c]) for c in CLASSES], [x[1] for x in best], [*shares, 1 - sum(shares)]
     return out
 
 
+def _middle(away: DataFrame, column: str) -> DataFrame:
+    """lang, middle: the bin (a thousandth wide) that holds the median of ``column``."""
+    bins = away.dropna(subset=[column]).groupBy("lang", F.floor(F.col(column) * 1000).alias("bin")).count()
+    w = Window.partitionBy("lang")
+    placed = bins.withColumn("so_far", F.sum("count").over(w.orderBy("bin"))).withColumn("texts", F.sum("count").over(w))
+    return placed.filter(2 * F.col("so_far") >= F.col("texts")).groupBy("lang").agg(F.min("bin").alias("middle"))
+
+
+def references_of(features: DataFrame) -> References:
+    """Mean shares of the half of a language's texts that is nearest to the mean of all, so junk and near copies weigh little.
+
+    At most ``RARE`` languages come to the driver.
+    """
+    kept = ["lang", "n_words", "word_chars", "classes", "word_places", "word_counts"]
+    texts = materialise(features.filter(~_base_failed()).groupBy("lang", "text_key").agg(*[F.first(c).alias(c) for c in kept[1:]]), "texts")
+    rows = features.groupBy("lang").agg(F.count("*").alias("rows"))
+    total = rows.agg(F.sum("rows")).first()[0] or 0
+    used = rows.filter(F.col("rows") * RARE >= total).join(texts.groupBy("lang").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MIN_TEXTS), "lang").select("lang")
+    texts = texts.join(F.broadcast(used), "lang")  # RARE rows at most
+    away = materialise(with_distances(texts, _means(texts, texts), kept), "away")
+    near = lambda c: away.join(F.broadcast(_middle(away, c)), "lang").filter(F.floor(F.col(c) * 1000) <= F.col("middle"))
+    return _means(near("class_distance"), near("word_distance"))
+
+
 def _base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
@@ -258,10 +284,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for r in best.select("lang", "word", "rank").orderBy("lang", "rank").collect():
         words_of.setdefault(r.lang, []).append(r.word)
     features = materialise(base.withColumn("text_key", F.xxhash64("text")).select("doc_id", "lang", "text_key", "text").mapInArrow(_features(words_of), _FEATURES), "features")
-    judged = features.mapInArrow(
-        _verdicts(_references(features)), "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", class_distance double, word_distance double"
-    )
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= FAR_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= FAR_WORDS)
+    judged = with_distances(features, references_of(features), ["doc_id", *FIGURES])
+    classes_far = F.when(F.col("word_chars") >= LONG_CHARS, LONG_FAR_CLASSES).otherwise(FAR_CLASSES)
+    words_far = F.when(F.col("n_words") >= LONG_WORDS, LONG_FAR_WORDS).otherwise(FAR_WORDS)
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= classes_far) & (F.coalesce("word_distance", F.lit(0.0)) <= words_far)
     return judged.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & near).select(
         "doc_id", *FIGURES, "base_failed", "kept", "class_distance", "word_distance"
     )
@@ -271,6 +297,21 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *FIGURES, "base_failed", "kept")
 
 
+def _sql_distances(n: str, of_classes: str, of_words: str) -> str:
+    """CTEs ending in far``n``: rid, kind, js of every row against the mean shares of the given texts."""
+    shares = ", ".join(f"AVG(c{k} / word_chars)" for k in range(6))
+    return f"""many{n} AS (SELECT lang, COUNT(*) AS texts FROM {of_words} GROUP BY lang),
+common{n} AS (SELECT lang, word, SUM(low.n / b.n_words) / ANY_VALUE(texts) AS q FROM low JOIN cand USING (lang, word) JOIN {of_words} t USING (lang, rid) JOIN base b USING (lang, rid)
+  JOIN many{n} USING (lang) GROUP BY lang, word, place QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY COUNT(*) DESC, place) <= {COMMON}),
+bins{n} AS (SELECT base.rid, COALESCE(low.n / n_words, 0) AS p, q FROM base JOIN common{n} c ON c.lang = base.lang LEFT JOIN low ON low.rid = base.rid AND low.word = c.word
+  WHERE n_words >= {MIN_WORDS}),
+classes{n} AS (SELECT lang, UNNEST([{shares}]) AS q, UNNEST(range(6)) AS k FROM {of_classes} t JOIN base USING (lang, rid) GROUP BY lang),
+every{n} AS (SELECT rid, 'word' AS kind, p, q FROM bins{n} UNION ALL SELECT rid, 'word', 1 - SUM(p), 1 - SUM(q) FROM bins{n} GROUP BY rid
+  UNION ALL SELECT rid, 'class', [c0, c1, c2, c3, c4, c5][k + 1] / word_chars, q FROM base JOIN classes{n} USING (lang) WHERE word_chars >= {MIN_CHARS}),
+far{n} AS (SELECT rid, kind, SQRT(GREATEST(SUM(CASE WHEN p > 0 THEN p * LOG2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * LOG2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS js
+  FROM every{n} GROUP BY rid, kind)"""
+
+
 #: The same rows in SQL.
 OP13_SQL = rf"""WITH d AS (SELECT ROW_NUMBER() OVER () AS rid, doc_id, COALESCE(lang, 'und') AS lang, COALESCE(text, '') AS text FROM documents),
 l AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS chars FROM d),
@@ -292,15 +333,13 @@ enough AS (SELECT lang, COUNT(*) AS texts FROM texts JOIN usual USING (lang) GRO
 low AS (SELECT rid, lang, TRANSLATE(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, COUNT(*) AS n
   FROM w JOIN usual USING (lang) WHERE regexp_full_match(w, '[a-zA-Z\x{{80}}-\x{{10FFFF}}]+') GROUP BY ALL),
 cand AS (SELECT lang, word, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY COUNT(*) DESC, word) AS place FROM low GROUP BY lang, word QUALIFY place <= {CANDIDATES}),
-common AS (SELECT lang, word, SUM(low.n / b.n_words) / ANY_VALUE(enough.texts) AS q FROM low JOIN cand USING (lang, word) JOIN texts USING (lang, rid) JOIN base b USING (lang, rid)
-  JOIN enough USING (lang) GROUP BY lang, word, place QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY COUNT(*) DESC, place) <= {COMMON}),
-bins AS (SELECT base.rid, COALESCE(low.n / n_words, 0) AS p, q FROM base JOIN common ON common.lang = base.lang LEFT JOIN low ON low.rid = base.rid AND low.word = common.word
-  WHERE n_words >= {MIN_WORDS}),
-every_bin AS (SELECT rid, p, q FROM bins UNION ALL SELECT rid, 1 - SUM(p), 1 - SUM(q) FROM bins GROUP BY rid),
-of_class AS (SELECT lang, UNNEST([AVG(c0 / word_chars), AVG(c1 / word_chars), AVG(c2 / word_chars), AVG(c3 / word_chars), AVG(c4 / word_chars), AVG(c5 / word_chars)]) AS q,
-  UNNEST(range(6)) AS k FROM texts JOIN base USING (lang, rid) JOIN enough USING (lang) GROUP BY lang),
-class_bin AS (SELECT rid, [c0, c1, c2, c3, c4, c5][k + 1] / word_chars AS p, q FROM base JOIN of_class USING (lang) WHERE word_chars >= {MIN_CHARS}),
-far AS (SELECT rid, kind, SQRT(GREATEST(SUM(CASE WHEN p > 0 THEN p * LOG2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * LOG2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS js
-  FROM (SELECT *, 'word' AS kind FROM every_bin UNION ALL SELECT *, 'class' FROM class_bin) GROUP BY rid, kind),
-bad AS (SELECT DISTINCT rid FROM far WHERE js > CASE kind WHEN 'word' THEN {FAR_WORDS} ELSE {FAR_CLASSES} END)
+passed AS (SELECT rid, lang FROM texts JOIN enough USING (lang)),
+{_sql_distances("1", "passed", "passed")},
+middles AS (SELECT lang, kind, bin FROM (SELECT lang, kind, CAST(FLOOR(js * 1000) AS BIGINT) AS bin, COUNT(*) AS n FROM far1 JOIN passed USING (rid) GROUP BY ALL)
+  QUALIFY 2 * SUM(n) OVER (PARTITION BY lang, kind ORDER BY bin) >= SUM(n) OVER (PARTITION BY lang, kind)),
+middle AS (SELECT lang, kind, MIN(bin) AS bin FROM middles GROUP BY ALL),
+inner_half AS (SELECT rid, lang, kind FROM far1 JOIN passed USING (rid) JOIN middle USING (lang, kind) WHERE FLOOR(js * 1000) <= bin),
+{_sql_distances("2", "(SELECT * FROM inner_half WHERE kind = 'class')", "(SELECT * FROM inner_half WHERE kind = 'word')")},
+bad AS (SELECT DISTINCT rid FROM far2 JOIN base USING (rid) WHERE js > CASE WHEN kind = 'word' THEN CASE WHEN n_words >= {LONG_WORDS} THEN {LONG_FAR_WORDS} ELSE {FAR_WORDS} END
+  WHEN word_chars >= {LONG_CHARS} THEN {LONG_FAR_CLASSES} ELSE {FAR_CLASSES} END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM base LEFT JOIN bad USING (rid)"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pregame.llm.collocations import OP11_SQL, op11_phrase_collocations
 from pregame.llm.decontaminate import op8_decontamination
 from pregame.llm.divergence import OP13_SQL, op13_quality_rules
 from pregame.llm.jaccard_join import op1_jaccard_join
@@ -30,10 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_quality_rules": op13_quality_rules,
 }
 
 #: The other queries of this subpackage have no oracle SQL: models, hashes, tokenizers and iterations have none, and the
 #: joins are too slow in SQL on whole tables. They are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op13_quality_rules": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_phrase_collocations": OP11_SQL, "op13_quality_rules": OP13_SQL}

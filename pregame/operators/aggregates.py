@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pregame.operators.order_stats import exact_quantiles
+
 
 GAME_TEAM = ["game_id", "team"]
 
@@ -243,9 +245,8 @@ def bucket_by_edges(df: DataFrame, value: str, edges: Column, out: str = "bucket
 
 def quartile_summary(df: DataFrame, by: str, of: str) -> DataFrame:
     """Mean of ``of`` per quartile of ``by``: exact linear edges, right-closed, equal edges merged."""
-    edges = df.agg(F.percentile(by, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("_e"))
-    joined = df.select(by, of).crossJoin(F.broadcast(edges))  # one row of three edges
-    cut = bucket_by_edges(joined, by, F.array_distinct(F.col("_e")))
+    edges = exact_quantiles(df, {by: [0.25, 0.5, 0.75]})[by]
+    cut = bucket_by_edges(df.select(by, of), by, F.array_distinct(F.array(*[F.lit(e).cast("double") for e in edges])))
     return (
         cut.filter("bucket IS NOT NULL")
         .groupBy("bucket")
@@ -255,14 +256,12 @@ def quartile_summary(df: DataFrame, by: str, of: str) -> DataFrame:
 
 def describe_distribution(df: DataFrame, col: str, quantiles: list[float], thresholds: list[float]) -> DataFrame:
     """Exact quantiles and the shares above the thresholds, one row."""
-    q = F.percentile(col, F.array(*[F.lit(x) for x in quantiles]))
-    one = df.agg(
-        F.count(col).alias("n"), q.alias("_q"), *[F.avg((F.col(col) > t).cast("double")).alias(f"above_{t:g}") for t in thresholds]
-    )
+    q = exact_quantiles(df, {col: quantiles})[col]
+    one = df.agg(F.count(col).alias("n"), *[F.avg((F.col(col) > t).cast("double")).alias(f"above_{t:g}") for t in thresholds])
     return one.select(
         "n",
-        *[F.element_at("_q", i + 1).alias(f"q{round(x * 100):02d}") for i, x in enumerate(quantiles)],
-        *[f"above_{t:g}" for t in thresholds],
+        *[F.lit(q[i]).cast("double").alias(f"q{round(x * 100):02d}") for i, x in enumerate(quantiles)],
+        *[F.col(f"`above_{t:g}`") for t in thresholds],
     )
 
 

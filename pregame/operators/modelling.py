@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.functions.scalar import log_odds
+from pregame.operators.order_stats import exact_quantiles
 from pregame.operators.stats import bootstrap_mean, bootstrap_ratio_change, per_row_loss
 
 # ---- preparation --------------------------------------------------------------------------------
@@ -41,11 +42,9 @@ def scaling_table(train: DataFrame, cols: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, train: DataFrame, cols: list[str], indicators: bool = False) -> DataFrame:
     """NULLs replaced by the training median (exact), optionally with 0/1 indicators."""
-    med = train.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(med))  # one row of medians
-    if indicators:
-        out = out.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols})
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols}).drop(*[f"_m_{c}" for c in cols])
+    medians = exact_quantiles(train, {c: [0.5] for c in cols})
+    out = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols}) if indicators else df
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0]).cast("double")) for c in cols})
 
 
 def _features(cols: list[str], impute: bool, scale: bool) -> list:
@@ -128,8 +127,9 @@ def apply_isotonic(model, df: DataFrame, p: str, out: str = "calibrated", eps: f
 
 def naive_prediction(gm: DataFrame, train: str, y: str, stat: str) -> DataFrame:
     """No-skill prediction from the training rows: ``rate``/``mean`` or ``median`` of ``y``. One row joined."""
-    agg = F.percentile(y, F.lit(0.5)) if stat == "median" else F.avg(F.col(y).cast("double"))
-    one = gm.filter(train).agg(agg.alias("naive"))
+    if stat == "median":
+        return gm.withColumn("naive", F.lit(exact_quantiles(gm.filter(train), {y: [0.5]})[y][0]).cast("double"))
+    one = gm.filter(train).agg(F.avg(F.col(y).cast("double")).alias("naive"))
     return gm.crossJoin(F.broadcast(one))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pregame.functions.scalar import clip_probability, normal_cdf
+from pregame.operators.order_stats import exact_quantiles
 
 # ---- per-row losses and metrics -----------------------------------------------------------------
 
@@ -106,11 +107,9 @@ def calibration_bins(
         edges = uniform_edges(n)
         ready = df.withColumn("_edges", F.array(*[F.lit(e) for e in edges]))
     else:
-        inner = F.percentile(p, F.array(*[F.lit(i / n) for i in range(1, n)]))
-        e = df.agg(inner.alias("_i")).select(
-            F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.col("_i"), F.array(F.lit(1.0))))).alias("_edges")
-        )
-        ready = df.crossJoin(F.broadcast(e))  # one row of edges
+        inner = exact_quantiles(df, {p: [i / n for i in range(1, n)]})[p]
+        edges = sorted({0.0, 1.0, *[e for e in inner if e is not None]})
+        ready = df.withColumn("_edges", F.array(*[F.lit(e) for e in edges]))
     hit = (lambda e: e < F.col(p)) if closed == "right" else (lambda e: e <= F.col(p))
     inner_edges = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     index = F.aggregate(inner_edges, F.lit(0), lambda acc, e: acc + F.when(hit(e), 1).otherwise(0))

@@ -156,14 +156,14 @@ def _walk(spark, sf_dir):
     return out.groupBy("fold", "season", "fold_role").agg(F.count(F.lit(1)).alias("games"))
 
 
-FOLD_SCORES_SQL = f""", s AS (SELECT season AS fold, AVG({ll('p')}) AS a, AVG({ll('q')}) AS b, AVG({ll('0.55::DOUBLE')}) AS c, AVG({ll('(0.5 * p + 0.275::DOUBLE)')}) AS d FROM scored WHERE season BETWEEN 1995 AND 2000 GROUP BY season),
+FOLD_SCORES_SQL = f""", s AS (SELECT season AS fold, AVG({ll('p')}) AS a, AVG({ll('q')}) AS b, AVG({ll('0.55::DOUBLE')}) AS c, AVG({ll('(0.5 * p + 0.275::DOUBLE)')}) AS d FROM scored GROUP BY season),
     sc AS (SELECT 'difference' AS candidate, fold, a AS score, 2 AS n_features, 'linear' AS family, FALSE AS uses_window FROM s
     UNION ALL SELECT 'home', fold, b, 1, 'trees', TRUE FROM s UNION ALL SELECT 'constant', fold, c, 0, 'linear', FALSE FROM s UNION ALL SELECT 'shrunk', fold, d, 2, 'linear', TRUE FROM s)"""
 
 
 def fold_scores(spark, sf_dir):
     """Log loss per season of four candidate predictors."""
-    df = scored(spark, sf_dir).filter(F.col("season").between(1995, 2000)).withColumn("y", F.col("y").cast("double"))
+    df = scored(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
     candidates = [
         ("difference", F.col("p"), 2, "linear", False),
         ("home", F.col("q"), 1, "trees", True),

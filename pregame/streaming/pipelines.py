@@ -1,7 +1,11 @@
-"""Structured Streaming forms: deduplication, live ratings and form, alarms, pairing, windows, upserts.
+"""Structured Streaming forms: deduplication, live ratings and form, alarms, pairing, windows, late rows, upserts.
 
 Sources are file streams; every query writes to a table folder with a checkpoint in the shared folder,
 so a lost executor or a restart continues from the last committed batch.
+
+A ``Source`` can be closed: a last row at ``END`` of time drives watermark and timers past every real row, so
+windows, sessions and waiting rows of the last days come out too. ``with_end`` lets that row move the watermark and
+keeps it from the operator. A closed source takes no more rows.
 """
 
 from __future__ import annotations
@@ -16,10 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from pregame.functions.scalar import pair_key
+from pregame.operators.drift import table_diff
 from pregame.operators.ratings import BASE, EloParams
 from pregame.session import shared_dir
 
 WHOLE_SLICE = 1_000_000  # files: a slice is read in one micro-batch
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,6 +39,36 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, name: st
     )
 
 
+#: Time of the row that closes a source.
+END = dt.datetime(9000, 1, 1)
+
+
+class Source:
+    """A folder read as a stream, and a gate folder that gets one row at ``END`` when no more rows will come."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, ts: str, name: str = "*.parquet", files_per_batch: int = WHOLE_SLICE):
+        self.spark, self.folder, self.schema, self.ts, self.name, self.files = spark, folder, schema, ts, name, files_per_batch
+        self.gate = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+        spark.createDataFrame([], self._open_schema()).write.parquet(self.gate)
+
+    def _open_schema(self) -> T.StructType:
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema.fields])
+
+    def stream(self) -> DataFrame:
+        rows = file_stream(self.spark, self.folder, self.schema, self.name, self.files)
+        return rows.unionByName(file_stream(self.spark, self.gate, self._open_schema(), files_per_batch=self.files))
+
+    def close(self) -> None:
+        """Only after all rows were processed: in one batch with them it would make later batches late."""
+        row = [F.lit(END if f.name == self.ts else None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.gate)
+
+
+def with_end(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermark on ``ts``; the closing row moves it and goes no further. (A filter on the event time stays above the watermark.)"""
+    return stream.withWatermark(ts, delay).filter(F.col(ts) < F.lit(END))
+
+
 def run_to_table(stream: DataFrame, mode: str = "append", stateful: bool = False, base: str | None = None) -> DataFrame:
     """Process everything available, commit it to a table folder and read that table back.
 
@@ -39,30 +76,49 @@ def run_to_table(stream: DataFrame, mode: str = "append", stateful: bool = False
     """
     spark = stream.sparkSession
     base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(PROVIDER, None)
     if stateful:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    q = writer.format("parquet").outputMode(mode).start(f"{base}/table")
-    q.awaitTermination()
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+        writer.format("parquet").outputMode(mode).start(f"{base}/table").awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in stream.schema.fields])
     return spark.read.schema(schema).parquet(f"{base}/table")
 
 
+def run_to_end(sources: list[Source], build: Callable[..., DataFrame], stateful: bool = False) -> DataFrame:
+    """Process everything available, close the sources and let the query come to its end."""
+    base = f"{shared_dir(sources[0].spark)}/stream-{uuid.uuid4().hex}"
+    run_to_table(build(*[s.stream() for s in sources]), stateful=stateful, base=base)
+    for s in sources:
+        s.close()
+    return run_to_table(build(*[s.stream() for s in sources]), stateful=stateful, base=base)
+
+
 def run_in_slices(
-    slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], stateful: bool = False
+    slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], stateful: bool = False, ts: str | None = None
 ) -> DataFrame:
     """Append each slice to a source folder and run the query on what is new, as a scheduled job would.
 
-    One slice is one micro-batch; state and progress live in the checkpoint between the runs. Slices are
-    time ranges, which is what bounds the rows a stateful operator sees for a key at once.
+    One slice is one micro-batch; state and progress live in the checkpoint between the runs. With ``ts``
+    the source is closed after the last slice.
     """
     spark = slices[0].sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = Source(spark, f"{base}/source", slices[0].schema, ts) if ts else None
+    stream = source.stream if source else lambda: file_stream(spark, f"{base}/source", slices[0].schema, files_per_batch=WHOLE_SLICE)
     out = None
     for part in slices:
         part.write.mode("append").parquet(f"{base}/source")
-        stream = file_stream(spark, f"{base}/source", part.schema, files_per_batch=WHOLE_SLICE)
-        out = run_to_table(build(stream), stateful=stateful, base=base)
+        out = run_to_table(build(stream()), stateful=stateful, base=base)
+    if source:
+        source.close()
+        out = run_to_table(build(stream()), stateful=stateful, base=base)
     return out
 
 
@@ -74,7 +130,7 @@ def dedupe_results(stream: DataFrame, keys: list[str], ts: str, delay: str) -> D
 def windowed_counts(stream: DataFrame, ts: str, by: list[str], length: str, slide: str, delay: str) -> DataFrame:
     """Rows and violations per sliding window."""
     return (
-        stream.withWatermark(ts, delay)
+        with_end(stream, ts, delay)
         .groupBy(F.window(ts, length, slide).alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if("violates").alias("violations"))
         .select(F.col("w.start").alias("window_start"), *by, "rows", "violations")
@@ -84,25 +140,13 @@ def windowed_counts(stream: DataFrame, ts: str, by: list[str], length: str, slid
 def sessions(stream: DataFrame, ts: str, by: list[str], gap: str, delay: str) -> DataFrame:
     """Runs of rows at most ``gap`` apart."""
     return (
-        stream.withWatermark(ts, delay)
+        with_end(stream, ts, delay)
         .groupBy(F.session_window(ts, gap).alias("s"), *by)
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(*by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "rows")
     )
 
 
-def pair_streams(a: DataFrame, b: DataFrame, keys: list[str], ts: str, tolerance: str, delay: str) -> DataFrame:
-    """Copy A with copy B on equal keys and times at most ``tolerance`` apart; A without B stays, once it is certain."""
-    left = a.withWatermark(ts, delay).alias("a")
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withWatermark(f"b_{ts}", delay).alias("b")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & (F.col(f"a.{k}") == F.col(f"b_{k}"))
-    near = F.expr(f"INTERVAL {tolerance}")
-    cond = cond & (F.col(f"b_{ts}") >= F.col(f"a.{ts}") - near) & (F.col(f"b_{ts}") <= F.col(f"a.{ts}") + near)
-    return left.join(right, cond, "leftOuter")
-
-
 def upsert_batches(stream: DataFrame, keys: list[str], fields: list[str], newest: str) -> DataFrame:
     """Idempotent upsert: each batch is merged with the latest version into a new version folder.
 
@@ -130,65 +174,189 @@ def upsert_batches(stream: DataFrame, keys: list[str], fields: list[str], newest
 # ---- stateful processors ------------------------------------------------------------------------
 
 
+DAY_MS = 86_400_000
+EPOCH_DAY = dt.date(1970, 1, 1)
+
+
 class EloProcessor(StatefulProcessor):
-    """Live Elo per league. Rows of a micro-batch are applied in (date, id) order.
+    """Live Elo per league in event order, whatever the order of arrival within the watermark.
 
-    A result dated before the newest applied one is not applied but emitted with ``late`` set; its league
-    is recomputed in batch. A batch is bounded by the source's files-per-trigger option.
+    A day's games wait in state, one row per day, until the watermark has passed the day; an event-time timer then
+    applies all such days in order. Memory holds one rating per team and the games of one day. A game of a day that was
+    applied already is emitted with ``late`` set; its league is recomputed in batch.
     """
 
     def __init__(self, params: EloParams):
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.ratings = handle.getMapState("ratings", "team int", "rating double, season int")
-        self.newest = handle.getValueState("newest", "day date, game_id bigint")
+        self.open = handle.getMapState("open", "day int", "games array<bigint>")  # id, season, home, away, sign of the margin, ...
+        self.newest = handle.getValueState("newest", "day int")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def _wait(self, day: int) -> None:
+        """A timer at the end of ``day``, unless an earlier one is set."""
+        at = (day + 1) * DAY_MS
+        if not self.due.exists() or at < self.due.get()[0]:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        for pdf in rows:
+            day = pd.Series([(d - EPOCH_DAY).days for d in pdf["game_date"]], index=pdf.index, dtype="int64")
+            games = pd.DataFrame(
+                {"id": pdf["game_id"], "season": pdf["season"], "home": pdf["home_team"], "away": pdf["away_team"], "won": (pdf["home_pts"] > pdf["away_pts"]) * 1 - (pdf["home_pts"] < pdf["away_pts"]) * 1}
+            ).astype("int64")
+            late = (day <= newest) if newest is not None else pd.Series(False, index=pdf.index)
+            if late.any():
+                n = int(late.sum())
+                yield pd.DataFrame({"league": [key[0]] * n, "game_id": games["id"][late], "home_elo": [None] * n, "away_elo": [None] * n, "late": [True] * n}).astype(
+                    {"home_elo": "float64", "away_elo": "float64"}
+                )
+            for d, mine in games[~late].groupby(day[~late]):
+                held = list(self.open.getValue((int(d),))[0]) if self.open.containsKey((int(d),)) else []
+                self.open.updateValue((int(d),), (held + [int(x) for x in mine.to_numpy().ravel()],))
+                self._wait(int(d))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        days = sorted(k[0] for k in self.open.keys())
+        self.due.clear()
+        local: dict[int, tuple[float, int]] = {}
+        out: list[tuple] = []
+        for day in [d for d in days if d < passed]:
+            self._play(key[0], self.open.getValue((day,))[0], local, out)
+            self.open.removeKey((day,))
+            self.newest.update((day,))
+            if len(out) >= 10_000:
+                yield self._frame(out)
+                out = []
+        for team, rating in local.items():
+            self.ratings.updateValue((team,), rating)
+        if later := [d for d in days if d >= passed]:
+            self._wait(later[0])
+        yield self._frame(out)
 
     def _enter(self, team: int, season: int, local: dict) -> float:
-        """Rating a team takes into a game; stored state is read once per team and batch."""
+        """Rating a team takes into a game; stored state is read once per team and flush."""
         if team not in local:
             local[team] = self.ratings.getValue((team,)) if self.ratings.containsKey((team,)) else (BASE, season)
         rating, last = local[team]
         return rating if last == season else BASE + self.params.keep * (rating - BASE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["game_date", "game_id"])
-        newest = self.newest.get() if self.newest.exists() else None
-        out, local, played = [], {}, set()
-        for r in batch.itertuples(index=False):
-            at = (r.game_date, int(r.game_id))
-            if newest is not None and at <= (newest[0], int(newest[1])):
-                out.append((key[0], int(r.game_id), None, None, True))
-                continue
-            season = int(r.season)
-            home, away = int(r.home_team), int(r.away_team)
+    def _play(self, league: str, flat: list[int], local: dict, out: list[tuple]) -> None:
+        for game, season, home, away, won in sorted(zip(*[iter(flat)] * 5, strict=True)):
             h, a = self._enter(home, season, local), self._enter(away, season, local)
-            out.append((key[0], int(r.game_id), h, a, False))
+            out.append((league, game, h, a, False))
             expected = 1.0 / (1.0 + 10.0 ** (-(h + self.params.home - a) / 400.0))
-            actual = 1.0 if r.home_pts > r.away_pts else 0.0 if r.home_pts < r.away_pts else 0.5
-            change = self.params.k * (actual - expected)
+            change = self.params.k * ((won + 1) / 2 - expected)
             local[home], local[away] = (h + change, season), (a - change, season)
-            played |= {home, away}
-            newest = at
-        for team in played:
-            self.ratings.updateValue((team,), local[team])
-        if newest is not None:
-            self.newest.update(newest)
-        yield pd.DataFrame(out, columns=["league", "game_id", "home_elo", "away_elo", "late"])
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["league", "game_id", "home_elo", "away_elo", "late"])
 
     def close(self) -> None:
         pass
 
 
-def live_elo(stream: DataFrame, params: EloParams) -> DataFrame:
-    """Live ratings; parameters that need more than the two teams' own state are refused."""
+def live_elo(stream: DataFrame, params: EloParams, delay: str = "1 day") -> DataFrame:
+    """Live ratings; ``ts`` is the day of the game as a time stamp. Parameters that need more than the two teams' own state are refused."""
     if params.mov or params.newcomer_offset or params.boundary != "team":
         raise ValueError("the live rating knows K, home edge and the teams' own carry-over only; replay such a league in batch")
-    return stream.groupBy("league").transformWithStateInPandas(
+    return with_end(stream, "ts", delay).groupBy("league").transformWithStateInPandas(
         statefulProcessor=EloProcessor(params),
         outputStructType="league string, game_id bigint, home_elo double, away_elo double, late boolean",
         outputMode="append",
-        timeMode="None",
+        timeMode="EventTime",
+    )
+
+
+class PairingProcessor(StatefulProcessor):
+    """Copies A and B of a pair of teams, each row used once, at most a day apart; the rest single.
+
+    Rows wait until the watermark has passed their day. Days are then settled in order: what the day before left over
+    meets the first rows of the other copy, the rest of the day pairs among itself, and what remains waits one day.
+    State holds the rows of open days only.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "day int, copy string, game_id bigint")
+        self.left = handle.getListState("left", "day int, copy string, game_id bigint")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def _wait(self, day: int) -> None:
+        at = (day + 1) * DAY_MS
+        if not self.due.exists() or at < self.due.get()[0]:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [((r.copy_date - EPOCH_DAY).days, r.copy, int(r.game_id)) for pdf in rows for r in pdf.itertuples(index=False)]
+        if fresh:
+            self.rows.appendList(fresh)
+            self._wait(min(day for day, _, _ in fresh))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        held = sorted((d, c, g) for d, c, g in self.rows.get())
+        left = [tuple(x) for x in self.left.get()]
+        out: list[tuple] = []
+        by_day: dict[int, dict[str, list[int]]] = {}
+        for d, c, g in held:
+            if d < passed:
+                by_day.setdefault(d, {"A": [], "B": []})[c].append(g)
+        for d, mine in by_day.items():
+            if left and left[0][0] < d - 1:
+                out += [(g, c, day, None) for day, c, g in left]
+                left = []
+            if left:
+                other = mine["B" if left[0][1] == "A" else "A"]
+                n = min(len(left), len(other))
+                for k in range(n):
+                    slot = f"{d - 1}:next:{k + 1}"
+                    out += [(left[k][2], left[k][1], d - 1, slot), (other[k], "B" if left[k][1] == "A" else "A", d, slot)]
+                out += [(g, c, day, None) for day, c, g in left[n:]]
+                del other[:n]
+            n = min(len(mine["A"]), len(mine["B"]))
+            out += [(mine[c][k], c, d, f"{d}:same:{k + 1}") for k in range(n) for c in "AB"]
+            left = [(d, c, g) for c in "AB" for g in mine[c][n:]]
+        if left and left[0][0] + 1 < passed:
+            out += [(g, c, day, None) for day, c, g in left]
+            left = []
+        waiting = [x for x in held if x[0] >= passed]
+        self.rows.put(waiting) if waiting else self.rows.clear()
+        self.left.put(left) if left else self.left.clear()
+        self.due.clear()
+        open_days = [d for d, _, _ in waiting[:1]] + [d + 1 for d, _, _ in left[:1]]
+        if open_days:
+            self._wait(min(open_days))
+        yield pd.DataFrame(
+            {
+                "league": [key[0]] * len(out), "pair": [key[1]] * len(out), "game_id": pd.Series([x[0] for x in out], dtype="int64"), "copy": [x[1] for x in out],
+                "copy_date": [EPOCH_DAY + dt.timedelta(days=x[2]) for x in out], "slot": [x[3] for x in out],
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def live_pairing(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Rows with the slot they share with their twin, null for singles, as ``recon.pair_copies`` gives them; ``ts`` is the day as a time stamp."""
+    return (
+        with_end(stream, "ts", delay).withColumn("pair", pair_key(F.col("home_team"), F.col("away_team"))).groupBy("league", "pair")
+        .transformWithStateInPandas(
+            statefulProcessor=PairingProcessor(),
+            outputStructType="league string, pair string, game_id bigint, copy string, copy_date date, slot string",
+            outputMode="append",
+            timeMode="EventTime",
+        )
     )
 
 
@@ -272,7 +440,7 @@ class MissingResultProcessor(StatefulProcessor):
 def missing_result_alarm(stream: DataFrame, hours: int, delay: str) -> DataFrame:
     """stream: game_id, ts (kick-off, or arrival of the result), kind fixture/result."""
     return (
-        stream.withWatermark("ts", delay)
+        with_end(stream, "ts", delay)
         .groupBy("game_id")
         .transformWithStateInPandas(
             statefulProcessor=MissingResultProcessor(hours),
@@ -283,6 +451,40 @@ def missing_result_alarm(stream: DataFrame, hours: int, delay: str) -> DataFrame
     )
 
 
-def late_rows(stream_rows: DataFrame, day: str, newest: dt.date, keep_days: int) -> DataFrame:
-    """Rows older than the lateness bound: kept for the drift report, never applied."""
-    return stream_rows.filter(F.col(day) < F.lit(newest - dt.timedelta(days=keep_days)))
+# ---- late rows ----------------------------------------------------------------------------------
+
+
+def split_late(stream: DataFrame, season: str = "season", open_seasons: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Applied rows and late rows, each with the batch that brought it.
+
+    The newest season of the batches before sets the bound: rows of the ``open_seasons`` newest seasons are applied, older
+    ones are kept apart for the drift report and never applied. Each batch writes its own folder of both tables and of the
+    bounds, and reads the bounds of earlier batches only, so a repeated batch writes the same again.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    fields = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in stream.schema.fields], T.StructField("batch", T.LongType(), True)])
+    bounds = T.StructType([T.StructField("newest", T.IntegerType(), True), T.StructField("batch", T.LongType(), True)])
+
+    def split(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
+        seen = s.read.schema(bounds).parquet(f"{base}/bounds").filter(F.col("batch") < epoch).agg(F.max("newest")).first()[0] if epoch else None
+        late = F.lit(False) if seen is None else F.coalesce(F.col(season) <= F.lit(seen - open_seasons), F.lit(False))
+        rows = batch.withColumn("is_late", late)
+        rows.filter("NOT is_late").drop("is_late").write.mode("overwrite").parquet(f"{base}/applied/batch={epoch}")
+        rows.filter("is_late").drop("is_late").write.mode("overwrite").parquet(f"{base}/late/batch={epoch}")
+        newest = batch.agg(F.max(season).cast("int").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{base}/bounds/batch={epoch}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(split).start().awaitTermination()
+    return tuple(spark.read.schema(fields).parquet(f"{base}/{name}") for name in ("applied", "late"))
+
+
+def late_drift(late: DataFrame, served: DataFrame, keys: list[str], order: str = "batch") -> DataFrame:
+    """Differences between the newest late version of each key and the served table, as ``table_diff`` gives them.
+
+    Only keys that late rows name are compared; nothing is applied.
+    """
+    fields = [c for c in served.columns if c not in keys]
+    newest = late.groupBy(*keys).agg(F.max(F.struct(order, *fields)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in fields])
+    return table_diff(newest, served.join(newest.select(*keys), keys, "left_semi"), keys, carry=["season"])

@@ -37,37 +37,49 @@ LEAST, LONGEST, TOP = 100, 5, 2_000
 #: One document in ``SAMPLE`` is mined for the proposal, with this share of the threshold that its size calls for.
 SAMPLE, LOWERED = 10, 0.4
 FILTER_BITS = 1 << 26
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _C = np.arange(256)
 _BREAK = np.isin(_C, [ord(c) for c in ".,;:!?"]) | ((_C >= 10) & (_C <= 13))
 _BLANK = (_C == 32) | (_C == 9)
 
 
+_LOWER_BLANK = W.lower(np.arange(256).astype(np.uint8))
+_LOWER_BLANK[9] = 32
+
+
 @dataclass
 class Words:
-    """Words of a run of documents: values, document and piece of each; ``text`` has them lower-cased with one blank after each, from ``at[i]`` on."""
+    """Words of a run of documents: value, document and piece of each, and where they begin and end in the lower-cased ``text``."""
 
     value: np.ndarray
     doc: np.ndarray
     piece: np.ndarray
     text: bytes
-    at: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def phrases(self, first: np.ndarray, size: int) -> list[bytes]:
+        """Words ``first`` to ``first + size`` with one blank between."""
+        a, b = self.starts[first], self.ends[first + size - 1]
+        letters = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        tight = b - a == letters[first + size] - letters[first] + size - 1
+        out = [self.text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        for k in np.flatnonzero(~tight):
+            out[k] = b" ".join(w for w in out[k].split(b" ") if w)
+        return out
 
 
 def _words(p: W.Part) -> Words:
-    inside = ~(_BREAK | _BLANK)[p.data]
+    breaks = _BREAK[p.data]
+    inside = ~(breaks | _BLANK[p.data])
     edge = np.zeros(len(p.data) + 1, dtype=bool)
     edge[p.at] = True
     starts = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]])[: len(inside)] | edge[:-1]))
     ends = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]])[: len(inside)] | edge[1:])) + 1
     doc = np.searchsorted(p.at, starts, side="right") - 1
-    breaks = np.concatenate([[0], np.cumsum(_BREAK[p.data])])
-    lengths = ends - starts
-    at = np.concatenate([[0], np.cumsum(lengths + 1)])
-    text = np.full(at[-1], 32, dtype=np.uint8)
-    text[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(starts)), lengths)] = W.lower(p.data[inside])
-    return Words(W.Spans(p.data).of(starts, ends), doc, breaks[starts] + doc, text.tobytes(), at)
+    piece = np.concatenate([np.zeros(1, np.int32), np.cumsum(breaks, dtype=np.int32)])[starts] + doc
+    return Words(W.Spans(p.data).of(starts, ends), doc, piece, _LOWER_BLANK[p.data].tobytes(), starts, ends)
 
 
 def lang_value(lang: str) -> np.uint64:
@@ -159,25 +171,25 @@ def _count_sample(size_wanted: int, known: Broadcast | None):
 
 
 def _count_all(longest: int, known: Broadcast, before: Broadcast | None):
-    """lang, phrase, f of each slice; the empty phrase has the number of words, in the first pass."""
+    """Language and phrase, parted by a tab, with the count in each slice; the empty phrase has the number of words, in the first pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = Filter(known.value), Filter(before.value) if before else None
+
+        def batch_of(keys: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))], names=["key", "f"])
+
         for batch in batches:
             for w, langs, salt in _slices(batch):
-                out: list[tuple[list, list, np.ndarray]] = []
+                heads = {lang: f"{lang}\t".encode() for lang in set(langs)}
                 if old is None:
                     found, n = np.unique(langs.astype(str), return_counts=True)
-                    out.append((list(found), [b""] * len(found), n))
+                    yield batch_of([heads[x] for x in found], n)
                 for size, first, keys in _windows(w, salt, longest, now, old):
-                    _, at, count = np.unique(keys, return_index=True, return_counts=True)
-                    at = first[at]
-                    out.append((list(langs[at]), [w.text[a:b] for a, b in zip(w.at[at], w.at[at + size] - 1, strict=True)], count))
-                lang, phrase, f = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for y in lang for x in y], pa.string()), pa.array([x for y in phrase for x in y], pa.binary()).cast(pa.string()), pa.array(np.concatenate(f).astype(np.int64))],
-                    names=["lang", "phrase", "f"],
-                )
+                    if len(keys):
+                        _, at, count = np.unique(keys, return_index=True, return_counts=True)
+                        at = first[at]
+                        yield batch_of([heads[x] + t for x, t in zip(langs[at], w.phrases(at, size), strict=True)], count)
 
     return run
 
@@ -245,7 +257,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     before, found = None, None
     while True:
         known = spark.sparkContext.broadcast(bits)
-        counts = base.mapInArrow(_count_all(longest, known, before), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        counts = base.mapInArrow(_count_all(longest, known, before), "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+        # phrases hold no tab
+        counts = counts.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), F.substring_index("key", "\t", -1).alias("phrase"), "f")
         counted = materialise(counts.filter((F.col("f") >= least) | (F.col("phrase") == "")), "counted")
         found = counted if found is None else found.unionByName(counted)
         short = counted.filter((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < longest))

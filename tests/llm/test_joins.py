@@ -217,3 +217,23 @@ def test_filters_decide_by_row(spark):
     from pregame.llm import quality
 
     assert sorted(map(tuple, quality.keep_good_rows(docs, labels).collect()), key=repr) == sorted([r for r in rows if r[3] == "good"], key=repr)
+
+
+@pytest.mark.parametrize(("spread", "many"), [(1e-3, 700), (1e-6, 400)])
+def test_neighbours_inside_a_group_of_near_copies(spark, spread, many):
+    """Vectors at a cosine of 1 less ``spread`` from each other, beside unrelated ones: recall at 5 within both."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=32)
+    near = centre / np.linalg.norm(centre) + rng.normal(size=(many, 32)) * np.sqrt(spread / 32)
+    x = rng.permutation(np.concatenate([near, rng.normal(size=(400, 32))]))
+    df = spark.createDataFrame([(i, [float(c) for c in v], "x", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, node string, rank int")
+    got = {}
+    for r in neighbours.nearest_neighbours(df, lambda i: i % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q, found in got.items():
+        sims = unit @ unit[q]
+        sims[q] = -2
+        hits.append(len(found & set(np.lexsort((np.arange(len(x)), -sims))[:5].tolist())) / 5)
+    assert len(got) == (len(x) + 19) // 20 and np.mean(hits) >= 0.95

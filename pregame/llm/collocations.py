@@ -3,13 +3,13 @@
 1. A sample of the documents is mined level by level at a lowered threshold. Its frequent phrases are the proposal.
 2. A full pass counts every word, every proposed phrase and the negative border: windows that are not proposed though
    both their parts without the last and without the first word are. All counts are exact.
-3. A border phrase that reaches the threshold joins the proposal, and another pass counts the windows that it brings into the
-   border. Passes end when no counted phrase outside the proposal is frequent; then no phrase can be missing, as every part
-   of a frequent phrase is frequent. At most one pass per phrase length follows the first.
+3. A border phrase that reaches the threshold joins the proposal, and another pass counts it and the windows that it brings into the
+   border. Passes end when no border phrase is frequent; then no phrase can be missing, as every part of a frequent phrase is
+   frequent. At most one pass more than the phrase length follows the first.
 
 Workers test membership of the proposal in a Bloom filter of fixed size (``FILTER_BITS``), whatever the number of phrases. A false
-positive only has more windows counted; what is counted is grouped by its text and exact. Tasks add up their windows
-before the shuffle.
+positive only has more windows counted. Proposed phrases are grouped by their text, so their counts are exact; the many of the border
+by a 64-bit key, where a shared key could only propose a phrase in vain. Tasks add up their windows before the shuffle.
 
 A phrase of 2 to ``longest`` words with at least ``least`` occurrences is a candidate; it is scored at its weakest cut, left out where a
 longer candidate holds it and occurs as often, and ranked per language.
@@ -104,10 +104,10 @@ class Filter:
         return found
 
 
-def _windows(w: Words, salt: np.ndarray, longest: int, known: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Size, first words and keys of the windows to count: all words, and windows whose two parts are ``known``.
+def _windows(w: Words, salt: np.ndarray, longest: int, known: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Size, first words, keys of the windows to count, and which of them are ``known``: all words, and windows whose two parts are known.
 
-    With ``before``, only windows whose two parts are not both in ``before``, and no single words. ``salt`` holds each word's language.
+    With ``before``, only what became known since, or came into the border since. ``salt`` holds each word's language.
     """
     sums = np.zeros(len(w.value), dtype=np.uint64)
     in_known = in_before = None
@@ -121,26 +121,23 @@ def _windows(w: Words, salt: np.ndarray, longest: int, known: Filter | None, bef
             whole = w.piece[:n] == w.piece[size - 1 :]
             return whole if parts is None else whole & parts[:n] & parts[1 : n + 1]
 
-        def of(first: np.ndarray) -> np.ndarray:
-            return W.mix(sums[first] + np.uint64(size) + salt[first])
-
         now = np.flatnonzero(allowed(in_known))
-        keys = of(now)
+        keys = W.mix(sums[now] + np.uint64(size) + salt[now])
+        has = known.has(keys) if known else np.zeros(len(keys), dtype=bool)
         fresh = np.ones(len(now), dtype=bool)
         if before is not None:
-            old = allowed(in_before)
-            fresh = ~old[now] if size > 1 else np.zeros(len(now), dtype=bool)
-        yield size, now[fresh], keys[fresh]
-        if known is None or size == longest:
+            old = allowed(in_before)[now]
+            had = np.zeros(len(now), dtype=bool)
+            kept = np.flatnonzero(old & has)  # what is in ``before`` is known too
+            had[kept] = before.has(keys[kept])
+            fresh = np.where(has, ~had, ~old)
+            in_before = np.zeros(n, dtype=bool)
+            in_before[now[had]] = True
+        yield size, now[fresh], keys[fresh], has[fresh]
+        if known is None:
             return
-        has = known.has(keys)
         in_known = np.zeros(n, dtype=bool)
         in_known[now[has]] = True
-        if before is not None:
-            mine = old[now] & has  # every key of ``before`` is in ``known`` too
-            kept = np.flatnonzero(mine)
-            in_before = np.zeros(n, dtype=bool)
-            in_before[now[kept]] = before.has(keys[kept])
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
@@ -162,7 +159,7 @@ def _count_sample(size_wanted: int, known: Broadcast | None):
         held = Filter(known.value) if known else None
         for batch in batches:
             for w, _, salt in _slices(batch):
-                for size, _, keys in _windows(w, salt, size_wanted, held, None):
+                for size, _, keys, _ in _windows(w, salt, size_wanted, held, None):
                     if size == size_wanted:
                         key, count = np.unique(keys, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "f"])
@@ -170,47 +167,35 @@ def _count_sample(size_wanted: int, known: Broadcast | None):
     return run
 
 
+_COUNTS = "border long, key string, f long"
+
+
 def _count_all(longest: int, known: Broadcast, before: Broadcast | None):
-    """Language and phrase, parted by a tab, with the count in each slice; the empty phrase has the number of words, in the first pass."""
+    """Counts per slice: known phrases as language, a tab and the text; those of the border by their key alone, which says enough for
+    them. The empty phrase has the number of words, in the first pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = Filter(known.value), Filter(before.value) if before else None
 
-        def batch_of(keys: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))], names=["key", "f"])
+        def batch_of(border: np.ndarray | None, keys: list[bytes] | None, counts: np.ndarray) -> pa.RecordBatch:
+            n = len(counts)
+            first = pa.nulls(n, pa.int64()) if border is None else pa.array(border.view(np.int64))
+            second = pa.nulls(n, pa.string()) if keys is None else pa.array(keys, pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([first, second, pa.array(counts.astype(np.int64))], names=["border", "key", "f"])
 
         for batch in batches:
             for w, langs, salt in _slices(batch):
                 heads = {lang: f"{lang}\t".encode() for lang in set(langs)}
                 if old is None:
                     found, n = np.unique(langs.astype(str), return_counts=True)
-                    yield batch_of([heads[x] for x in found], n)
-                for size, first, keys in _windows(w, salt, longest, now, old):
-                    if len(keys):
-                        _, at, count = np.unique(keys, return_index=True, return_counts=True)
-                        at = first[at]
-                        yield batch_of([heads[x] + t for x, t in zip(langs[at], w.phrases(at, size), strict=True)], count)
-
-    return run
-
-
-def _outside(known: Broadcast):
-    """Keys of the phrases that the filter does not hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Filter(known.value)
-        for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            salt = np.array([lang_value(lang) for lang in batch.column("lang").to_pylist()], dtype=np.uint64)
-            for p in W.parts(batch.column("phrase"), SLICE_BYTES):
-                w = _words(p)  # each phrase is one piece
-                size = np.bincount(w.doc, minlength=p.n)
-                first = np.cumsum(size) - size
-                place = np.arange(len(w.value)) - first[w.doc]
-                sums = np.add.reduceat(w.value * W.STEPS[place % 8], first)
-                found.append(W.mix(sums + size.astype(np.uint64) + salt[p.first : p.first + p.n]))
-            keys = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[~held.has(keys)].view(np.int64))], names=["key"])
+                    yield batch_of(None, [heads[x] for x in found], n)
+                for size, first, keys, has in _windows(w, salt, longest, now, old):
+                    if not has.all():
+                        yield batch_of(*(lambda u: (u[0], None, u[1]))(np.unique(keys[~has], return_counts=True)))
+                    if has.any():
+                        _, at, count = np.unique(keys[has], return_index=True, return_counts=True)
+                        at = first[has][at]
+                        yield batch_of(None, [heads[x] + t for x, t in zip(langs[at], w.phrases(at, size), strict=True)], count)
 
     return run
 
@@ -252,18 +237,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     drawn = F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0
     part = materialise(base.filter(drawn).select("lang", "text"), "sample")
     base = base.select("lang", "text")
-    # a phrase's longest proper parts decide on it, so the proposal needs no phrases of full length
-    bits = propose(part, max(1, int(least / sample * LOWERED)), longest - 1)
+    bits = propose(part, max(1, int(least / sample * LOWERED)), longest)
     before, found = None, None
     while True:
         known = spark.sparkContext.broadcast(bits)
-        counts = base.mapInArrow(_count_all(longest, known, before), "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+        counts = base.mapInArrow(_count_all(longest, known, before), _COUNTS).groupBy("border", "key").agg(F.sum("f").alias("f"))
+        counted = materialise(counts.filter((F.col("f") >= least) | F.col("key").endswith("\t")), "counted")
         # phrases hold no tab
-        counts = counts.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), F.substring_index("key", "\t", -1).alias("phrase"), "f")
-        counted = materialise(counts.filter((F.col("f") >= least) | (F.col("phrase") == "")), "counted")
-        found = counted if found is None else found.unionByName(counted)
-        short = counted.filter((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < longest))
-        failed = materialise(short.mapInArrow(_outside(known), "key long"), "failed")
+        lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
+        phrases = counted.filter("key IS NOT NULL").select(lang.alias("lang"), F.substring_index("key", "\t", -1).alias("phrase"), "f")
+        found = phrases if found is None else found.unionByName(phrases)
+        failed = counted.filter("border IS NOT NULL").select(F.col("border").alias("key"))
         if not failed.limit(1).count():
             return found
         before, bits = known, _filter_of(failed, bits)
@@ -286,9 +270,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     for side, name in (("head", "l"), ("tail", "r")):
         sizes = cuts.groupBy("lang", side).agg(F.count("*").alias("rows_of_key"))
         cuts = spread_join(cuts, counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), ["lang", side], sizes)
-    n = found.filter("phrase = ''").select("lang", F.col("f").alias("n"))  # a row per language
+    n = found.filter("phrase = ''").select("lang", F.col("f").alias("n"))  # a row per language, with many phrases each
+    cuts = spread_join(cuts, n, ["lang"], cuts.groupBy("lang").agg(F.count("*").alias("rows_of_key")))
     whole = lambda c: F.col(c).cast("decimal(19,0)")
-    scored = cuts.join(n, "lang").withColumns({c: whole(c) for c in "alrn"}).withColumn("score", F.expr("(1000 * a * n) div (l * r)"))
+    scored = cuts.withColumns({c: whole(c) for c in "alrn"}).withColumn("score", F.expr("(1000 * a * n) div (l * r)"))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("cut")).select("lang", "phrase", "cut.*")
     ranges = [(i, m) for m in range(2, longest) for i in range(1, longest - m + 2)]
     inner = F.filter(

@@ -56,10 +56,10 @@ def fixture_status(fx: DataFrame, history: DataFrame, scope: list[str]) -> DataF
     sides = unpivot_sides(open_fx, [*scope, *KEEP])
     span = history.groupBy(*scope, "team").agg(F.min("game_date").alias("_first"))
     cutoff = history.groupBy(*scope).agg(F.max("game_date").alias("_cutoff"))
-    # A team's unplayed days: one row per team and day, so the list is bounded by the open schedule.
+    # A team's unplayed days are one list; a fixture holds the length of its part of the list, which is cut out at the end.
     days = sides.select(*scope, "team", "game_date").distinct()
-    w = Window.partitionBy(*scope, "team").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("pending", F.collect_list(F.col("game_date").cast("string")).over(w))
+    lists = days.groupBy(*scope, "team").agg(F.transform(F.array_sort(F.collect_list("game_date")), lambda d: d.cast("string")).alias("_days"))
+    days = days.withColumn("earlier", F.row_number().over(Window.partitionBy(*scope, "team").orderBy("game_date")) - 1)
     j = (
         sides.join(span, [*scope, "team"], "left")
         .join(cutoff, scope, "left")
@@ -67,7 +67,7 @@ def fixture_status(fx: DataFrame, history: DataFrame, scope: list[str]) -> DataF
     )
     code = (
         F.when(F.coalesce(F.col("_first") >= F.col("game_date"), F.lit(True)), "season_opener")
-        .when(F.size("pending") > 0, "previous_game_pending")
+        .when(F.col("earlier") > 0, "previous_game_pending")
     )
     per = j.withColumn("code", code).groupBy("game_id").agg(
         F.count_if(F.col("_first").isNull()).alias("_unknown"),
@@ -81,21 +81,25 @@ def fixture_status(fx: DataFrame, history: DataFrame, scope: list[str]) -> DataF
                         "side",
                         F.col("team").alias("franchise_id"),
                         "code",
-                        F.when(F.col("code") == "season_opener", F.array().cast("array<string>"))
-                        .otherwise(F.col("pending"))
-                        .alias("pending"),
+                        F.when(F.col("code") == "season_opener", 0).otherwise(F.col("earlier")).alias("earlier"),
                     ),
                 )
             )
         ).alias("_b"),
     )
     out = open_fx.join(per, "game_id", "left")
+    for side in ("home", "away"):
+        mine = lists.select(*scope, F.col("team").alias(f"{side}_team"), F.col("_days").alias(f"_{side}_days"))
+        out = out.join(mine, [*scope, f"{side}_team"], "left")
     whole = (
         F.when(F.col("home_team") == F.col("away_team"), "same_team")
         .when(F.col("_unknown") > 0, "unknown_team")
         .when(F.col("game_date") <= F.col("_cutoff"), "date_out_of_range")
     )
-    blocked = F.transform("_b", lambda x: x.dropFields("o"))
+    own_days = lambda x: F.when(x["side"] == "home", F.col("_home_days")).otherwise(F.col("_away_days"))
+    blocked = F.transform(
+        "_b", lambda x: F.struct(x["side"].alias("side"), x["franchise_id"].alias("franchise_id"), x["code"].alias("code"), F.slice(own_days(x), 1, x["earlier"]).alias("pending"))
+    )
     first_code = F.get(F.col("_b"), F.lit(0))["code"]
     return out.select(
         *fx.columns,

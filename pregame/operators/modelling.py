@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pregame.functions.scalar import log_odds
 from pregame.operators.order_stats import exact_quantiles
 from pregame.operators.stats import bootstrap_mean, bootstrap_ratio_change, per_row_loss
+from pregame.session import cut_lineage
 
 # ---- preparation --------------------------------------------------------------------------------
 
@@ -86,6 +90,38 @@ def fit_gbt(
     return Pipeline(stages=[*_features(cols, True, False), model]).fit(train.dropna(subset=[y]))
 
 
+def staged_losses(model: PipelineModel, rows: DataFrame, classification: bool) -> list[float]:
+    """Mean loss on ``rows`` of every prefix of the ensemble, from one pass over them."""
+    ready = PipelineModel(model.stages[:-1]).transform(rows)
+    last = model.stages[-1]
+    return list(last.evaluateEachIteration(ready) if classification else last.evaluateEachIteration(ready, "squared"))
+
+
+def stopping_point(losses: list[float], patience: int) -> int:
+    """Number of trees at the lowest loss seen before ``patience`` trees in a row brought no lower one."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit_refit_gbt(
+    rows: DataFrame, held: str, cols: list[str], y: str, classification: bool, depth: int = 3, trees: int = 200, step: float = 0.1, patience: int = 20, seed: int = 7,
+) -> tuple[PipelineModel, int]:
+    """Boosted trees with the number of trees that early stopping found, refitted on all rows.
+
+    A probe is fitted on the rows that are not ``held`` (a boolean expression); its prefixes are scored on the held ones. The model
+    returned is of the same kind, with that many trees, on held rows too.
+    """
+    known = rows.dropna(subset=[y]).withColumn("_held", F.coalesce(F.expr(held), F.lit(False)))
+    probe = fit_gbt(known.filter("NOT _held"), cols, y, classification, depth, trees, step, seed=seed)
+    count = stopping_point(staged_losses(probe, known.filter("_held"), classification), patience)
+    return fit_gbt(known, cols, y, classification, depth, count, step, seed=seed), count
+
+
 def predict(model: PipelineModel, df: DataFrame, out: str = "prediction_value") -> DataFrame:
     """Probability of the positive class, or the predicted value."""
     scored = model.transform(df)
@@ -110,16 +146,108 @@ def apply_platt(model: PipelineModel, df: DataFrame, p: str, out: str = "calibra
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
-def fit_isotonic(df: DataFrame, p: str, y: str):
-    """Monotone step function. Rows are first merged per probability with their count as weight."""
-    rows = df.groupBy(F.col(p).alias("_p")).agg(F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w").fit(rows)
+def _violators(block: pd.DataFrame) -> pd.DataFrame:
+    """Pools adjacent violators of one block; rows are pools (lo, hi, total, weight) in order."""
+    block = block.sort_values("lo")
+    out: list[list[float]] = []
+    for lo, hi, total, weight in block[["lo", "hi", "total", "weight"]].itertuples(index=False):
+        out.append([lo, hi, total, weight])
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            last = out.pop()
+            out[-1][1:] = [last[1], out[-1][2] + last[2], out[-1][3] + last[3]]
+    return pd.DataFrame(out, columns=["lo", "hi", "total", "weight"]).assign(block=block["block"].iloc[0])
+
+
+_POOLS = "lo double, hi double, total double, weight double, block int"
+
+
+def _block_of(x: Column, bounds: list[float]) -> Column:
+    """Number of sorted bounds at or below the value."""
+    if not bounds:
+        return F.lit(0)
+    held = np.array(bounds)
+
+    @F.pandas_udf("int")
+    def block(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held, v.to_numpy(), side="right").astype("int32"))
+
+    return block(x)
 
 
-def apply_isotonic(model, df: DataFrame, p: str, out: str = "calibrated", eps: float = 1e-6) -> DataFrame:
-    scored = model.transform(df.withColumn("_p", F.col(p)))
-    clipped = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("prediction")))
-    return scored.select(*df.columns, clipped.alias(out))
+@dataclass
+class Isotonic:
+    """Pools of an isotonic fit (lo, hi, value, next_lo, next_value, block) and the bounds of its blocks."""
+
+    pools: DataFrame
+    bounds: list[float]
+
+
+def fit_isotonic(df: DataFrame, p: str, y: str, block_rows: int = 100_000) -> Isotonic:
+    """Monotone step function by pooling adjacent violators in blocks.
+
+    Rows are first merged per probability. Each round pools the violators inside blocks of consecutive pools; then the blocks are
+    shifted by half, so that what met at a border meets inside, until no two pools at a border violate. Pools of pools are the
+    pools of all rows, so the result does not depend on the blocks. The driver holds three values per block.
+    """
+    points = df.select(F.col(p).cast("double").alias("lo"), F.col(y).cast("double").alias("_y")).dropna().groupBy("lo").agg(
+        F.sum("_y").alias("total"), F.count(F.lit(1)).cast("double").alias("weight")
+    )
+    pools = cut_lineage(points.select("lo", F.col("lo").alias("hi"), "total", "weight"))
+    n = pools.count()
+    blocks = max(1, math.ceil(n / block_rows))
+    bounds = sorted({b for b in exact_quantiles(pools, {"lo": [k / blocks for k in range(1, blocks)]})["lo"] if b is not None}) if blocks > 1 else []
+    while True:
+        pools = cut_lineage(pools.withColumn("block", _block_of(F.col("lo"), bounds)).groupBy("block").applyInPandas(_violators, _POOLS))
+        pool = F.struct("lo", "hi", "total", "weight")
+        ends = pools.groupBy("block").agg(F.min(pool).alias("first"), F.max(pool).alias("last"), F.count(F.lit(1)).alias("n")).orderBy("block").collect()
+        if all(a.last.total * b.first.weight <= b.first.total * a.last.weight for a, b in zip(ends, ends[1:], strict=False)):
+            break
+        # a block of one pool joins the one before, else its border would stay a border
+        middles = _middles(pools)
+        bounds = [middles[r.block] for r in ends if r.n > 1]
+    nxt = {a.block: (b.first.lo, b.first.total / b.first.weight) for a, b in zip(ends, ends[1:], strict=False)}
+    w = Window.partitionBy("block").orderBy("lo")
+    value = F.col("total") / F.col("weight")
+    out = pools.select("block", "lo", "hi", value.alias("value"))
+    after = df.sparkSession.createDataFrame([(k, *v) for k, v in nxt.items()], "block int, _lo double, _value double")
+    out = out.join(F.broadcast(after), "block", "left").select(  # a row per block
+        "block", "lo", "hi", "value", F.coalesce(F.lead("lo").over(w), "_lo").alias("next_lo"), F.coalesce(F.lead("value").over(w), "_value").alias("next_value")
+    )
+    return Isotonic(cut_lineage(out), bounds)
+
+
+def _middles(pools: DataFrame) -> dict[int, float]:
+    """``lo`` of the middle pool of each block."""
+    w = Window.partitionBy("block")
+    at = F.row_number().over(w.orderBy("lo"))
+    placed = pools.select("block", "lo", at.alias("at"), F.count(F.lit(1)).over(w).alias("n"))
+    return {r.block: r.lo for r in placed.filter(F.col("at") == F.floor(F.col("n") / 2) + 1).collect()}
+
+
+def apply_isotonic(model: Isotonic, df: DataFrame, p: str, out: str = "calibrated", eps: float = 1e-6) -> DataFrame:
+    """Value of the pool around each probability; between two pools the line from one to the other, beyond the ends their values.
+
+    Each distinct probability is looked up once, in its block and the pool before the block. A null probability stays null.
+    """
+    pool = F.struct("lo", "hi", "value", "next_lo", "next_value")
+    edges = model.pools.groupBy("block").agg(F.min(pool).alias("first"), F.max(pool).alias("last")).orderBy("block").collect()
+    entry = [(k, *max((r.last for r in edges if r.block < k), default=edges[0].first, key=lambda x: x.lo)) for k in range(len(model.bounds) + 1)] if edges else []
+    entry = df.sparkSession.createDataFrame(entry, "block int, lo double, hi double, value double, next_lo double, next_value double")
+    held = model.pools.unionByName(entry)
+    points = df.select(F.col(p).cast("double").alias("lo")).dropna().distinct().withColumn("block", _block_of(F.col("lo"), model.bounds))
+    seen = held.select("block", F.col("lo").alias("at"), F.struct(*held.columns).alias("pool"), F.lit(0).alias("asked")).unionByName(
+        points.select("block", F.col("lo").alias("at"), F.lit(None).cast(held.select(F.struct(*held.columns).alias("s")).schema["s"].dataType).alias("pool"), F.lit(1).alias("asked"))
+    )
+    # the pool with the greatest lo at or below the value; the entry pool stands first in its block
+    w = Window.partitionBy("block").orderBy("at", "asked")
+    found = seen.withColumn("pool", F.last("pool", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("asked = 1").select("at", "block", "pool.*")
+    found = found.drop("block")
+    line = F.col("value") + (F.col("next_value") - F.col("value")) * (F.col("at") - F.col("hi")) / (F.col("next_lo") - F.col("hi"))
+    value = F.when((F.col("at") <= F.col("hi")) | F.col("next_lo").isNull(), F.col("value")).otherwise(line)
+    first = edges[0].first.value if edges else None
+    clipped = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.coalesce(value, F.lit(first).cast("double"))))
+    looked = found.select(F.col("at").alias("_at"), clipped.alias(out))
+    return df.join(looked, F.col(p).cast("double") == F.col("_at"), "left").select(*[df[c] for c in df.columns], out)
 
 
 # ---- baselines ----------------------------------------------------------------------------------

@@ -251,10 +251,11 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
     Output per suspect: outcome repaired / ambiguous / indeterminate, the choice when it is unique, and the
     number of solutions of its component.
 
-    The search runs one suspect per round for all components at once. A state is what each team of the
-    component still needs; equal states merge (their counts add up), and a team whose last suspect has
-    been decided must need nothing. A field that is not stated (null), or a team that is not listed, asks for nothing.
-    There is no limit on a component's size: large ones take more rounds.
+    The search meets in the middle. Each component's suspects are cut into two halves, whose readings are enumerated one
+    suspect per round, all halves at once: the first half counts down what its teams need, the second what it takes from
+    teams of both. Equal states merge (their counts add up); a team of one half only must need nothing once its last suspect is
+    decided. The halves then meet in an equi-join on what the shared teams still need. So a component of n suspects has at most
+    2^(n/2) states a side. A field that is not stated (null), or a team that is not listed, asks for nothing.
     """
     labels = components(suspects, scope)
     comp = suspects.join(labels.withColumnRenamed("team", "home_team"), [*scope, "home_team"])
@@ -271,9 +272,12 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
     numbered = cut_lineage(
         comp.select(*ckeys, "game_id", "home_team", "away_team", order.alias("i"), F.array(option_a, option_b).alias("options"))
     )
-    # What each team needs from its suspects, and the round after which it must need nothing.
-    touched = numbered.select(*ckeys, "i", F.explode(F.array("home_team", "away_team")).alias("team"))
-    last = touched.groupBy(*ckeys, "team").agg(F.max("i").alias("last"))
+    halved = numbered.withColumn("k", F.max("i").over(Window.partitionBy(*ckeys))).withColumn("half", (2 * F.col("i") > F.col("k") + 1).cast("int"))
+    halved = cut_lineage(halved.withColumn("i", F.col("i") - F.when(F.col("half") == 1, F.floor((F.col("k") + 1) / 2)).otherwise(0)))
+    # What each team needs, and the round of its half after which it must need nothing; a team of both halves is open to the end.
+    hkeys = [*ckeys, "half"]
+    touched = halved.select(*hkeys, "i", F.explode(F.array("home_team", "away_team")).alias("team"))
+    last = touched.groupBy(*ckeys, "team").agg(F.max(F.when(F.col("half") == 0, F.col("i"))).alias("l0"), F.max(F.when(F.col("half") == 1, F.col("i"))).alias("l1"))
     need = [(F.col(f"s.{f}") - F.coalesce(F.col(f"b.{f}"), F.lit(0))).cast("int") for f in STANDING_FIELDS]
     needs = last.alias("l")
     for name, df in (("s", stated), ("b", base)):
@@ -281,15 +285,24 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
         for c in [*scope, "team"]:
             cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"{name}.{c}"))
         needs = needs.join(df.select(*scope, "team", *STANDING_FIELDS).alias(name), cond, "left")
-    start = needs.select(
-        *[F.col(f"l.{c}") for c in [*ckeys, "team", "last"]], F.array(*need).alias("need")
-    ).groupBy(*ckeys).agg(F.array_sort(F.collect_list(F.struct("team", "last", "need"))).alias("state"))
+    shared = F.col("l0").isNotNull() & F.col("l1").isNotNull()
+    here = [F.col("l0").isNotNull(), F.col("l1").isNotNull()]
+
+    def opening(half: int) -> Column:
+        """A team's entry in the first state of a half; what is shared counts from nothing in the second."""
+        start = F.transform("need", lambda v: v - v) if half else F.col("need")
+        value = F.when(shared, start).otherwise(F.col("need"))
+        return F.when(here[half], F.struct("team", F.when(~shared, F.col(f"l{half}")).alias("last"), value.alias("need")))
+
+    asked = needs.select(*[F.col(f"l.{c}") for c in [*ckeys, "team", "l0", "l1"]], F.array(*need).alias("need"))
+    opened = asked.groupBy(*ckeys).agg(*[F.array_sort(F.collect_list(opening(h))).alias(f"s{h}") for h in (0, 1)])
+    start = opened.select(*ckeys, F.posexplode(F.array("s0", "s1")).alias("half", "state"))
     states = cut_lineage(start.withColumns({"ways": F.lit(1).cast("bigint"), "picks": F.lit("")}))
-    rounds = numbered.agg(F.max("i").alias("n")).first()["n"] or 0
+    rounds = halved.agg(F.max("i").alias("n")).first()["n"] or 0
     for i in range(1, rounds + 1):
-        game = numbered.filter(F.col("i") == i).select(*ckeys, "home_team", "away_team", "options")
-        j = states.join(game, ckeys, "left").select(
-            *ckeys, "state", "ways", "picks", "home_team", "away_team",
+        game = halved.filter(F.col("i") == i).select(*hkeys, "home_team", "away_team", "options")
+        j = states.join(game, hkeys, "left").select(
+            *hkeys, "state", "ways", "picks", "home_team", "away_team",
             F.explode_outer("options").alias("o"),
         )
 
@@ -302,15 +315,22 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
             return F.struct(x["team"].alias("team"), x["last"].alias("last"), moved.alias("need"))
 
         moved = j.select(
-            *ckeys,
+            *hkeys,
             F.transform("state", less).alias("state"),
             "ways",
             F.concat("picks", F.coalesce(F.col("o.pick"), F.lit(""))).alias("picks"),
         )
-        open_ = F.exists("state", lambda x: (x["last"] <= i) & F.exists(x["need"], lambda v: F.coalesce(v != 0, F.lit(False))))
-        merged = moved.filter(~open_).groupBy(*ckeys, "state").agg(F.sum("ways").alias("ways"), F.min("picks").alias("picks"))
+        done = lambda x: F.coalesce(x["last"] <= i, F.lit(False)) & F.exists(x["need"], lambda v: F.coalesce(v != 0, F.lit(False)))
+        merged = moved.filter(~F.exists("state", done)).groupBy(*hkeys, "state").agg(F.sum("ways").alias("ways"), F.min("picks").alias("picks"))
         states = cut_lineage(merged) if i % 4 == 0 else merged
-    solved = states.groupBy(*ckeys).agg(F.sum("ways").alias("solutions"), F.min("picks").alias("picks"))
+    # First half: what the shared teams still need. Second half: what it gives them.
+    common = F.filter("state", lambda x: x["last"].isNull())
+    sign = F.when(F.col("half") == 0, 1).otherwise(-1)
+    left = F.transform(common, lambda x: F.struct(x["team"].alias("team"), F.transform(x["need"], lambda v: F.coalesce(v, F.lit(0)) * sign).alias("need")))
+    ends = cut_lineage(states.select(*hkeys, left.alias("open"), "ways", "picks"))
+    first, second = (ends.filter(F.col("half") == h).select(*ckeys, "open", F.col("ways").alias(f"w{h}"), F.col("picks").alias(f"p{h}")) for h in (0, 1))
+    met = first.join(second, [*ckeys, "open"])
+    solved = met.groupBy(*ckeys).agg(F.sum(F.col("w0") * F.col("w1")).alias("solutions"), F.min(F.concat("p0", "p1")).alias("picks"))
     out = numbered.join(solved, ckeys, "left")
     n = F.coalesce("solutions", F.lit(0))
     outcome = F.when(n == 1, "repaired").when(n > 1, "ambiguous").otherwise("indeterminate")

@@ -340,6 +340,61 @@ def _gbt_equation(spark, sf_dir):
     return M.predict(model, df, "fitted").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("fitted"), "mean_fitted"))
 
 
+STUMPS, STEP, PATIENCE, CELLS = 25, 0.3, 4, 16
+
+
+def stump_ctes(name: str, where: str, trees: str) -> str:
+    """Boosted stumps on the cells of p: state is the prediction per cell after each tree. A cell is a value of the only feature."""
+    return f"""{name}c AS (SELECT list(n ORDER BY cell) AS n, list(s ORDER BY cell) AS s, list(cell ORDER BY cell) AS v FROM
+        (SELECT cell, COUNT(*)::DOUBLE AS n, SUM(margin)::DOUBLE AS s FROM cells WHERE {where} GROUP BY cell)),
+    {name}r AS (SELECT 0 AS k, list_transform(n, lambda x: 0::DOUBLE) AS f FROM {name}c
+      UNION ALL SELECT k + 1, list_transform(f, lambda x, i: x + w * CASE WHEN i <= t THEN l ELSE r END) FROM
+        (SELECT k, f, w, t, list_sum(g[:t]) / list_sum(n[:t]) AS l, list_sum(g[t + 1:]) / list_sum(n[t + 1:]) AS r FROM
+          (SELECT *, list_position(gain, list_max(gain)) AS t FROM
+            (SELECT *, list_transform(range(1, LEN(n)), lambda j: POW(list_sum(g[:j]), 2) / list_sum(n[:j]) + POW(list_sum(g[j + 1:]), 2) / list_sum(n[j + 1:])) AS gain FROM
+              (SELECT k, f, n, CASE WHEN k = 0 THEN 1.0 ELSE {STEP} END::DOUBLE AS w, list_transform(s, lambda x, i: CASE WHEN k = 0 THEN 1 ELSE 2 END * (x - n[i] * f[i])) AS g
+               FROM {name}r, {name}c WHERE k < {trees})))))"""
+
+
+@query(
+    "boosted_refit",
+    "M-05",
+    sql(f""", cells AS (SELECT *, FLOOR(p * {CELLS}) AS cell FROM scored),
+    {stump_ctes('a', 'season < 1998', str(STUMPS))},
+    loss AS (SELECT k, AVG(POW(margin - f[list_position(v, cell)], 2)) AS loss FROM cells, ar, ac WHERE season = 1998 AND k > 0 AND list_contains(v, cell) GROUP BY k),
+    lows AS (SELECT k, loss, ARG_MIN(k, (loss, k)) OVER (ORDER BY k) AS best FROM loss),
+    stop AS (SELECT COALESCE((SELECT best FROM lows WHERE k - best >= {PATIENCE} ORDER BY k LIMIT 1), (SELECT best FROM lows ORDER BY k DESC LIMIT 1)) AS trees),
+    {stump_ctes('b', 'season <= 1998', '(SELECT trees FROM stop)')}
+    SELECT row_id, CAST(trees AS INT) AS trees, ROUND(f[list_position(v, cell)], 6) AS predicted FROM cells, stop, br, bc WHERE k = trees AND season IN (1999, 2000) AND list_contains(v, cell)""", recursive=True),
+)
+def _refit(spark, sf_dir):
+    """Stumps on one feature of few values, so every split can be checked."""
+    df = scored(spark, sf_dir).withColumn("cell", F.floor(F.col("p") * CELLS).cast("double"))
+    model, trees = M.fit_refit_gbt(df.filter(FIT), "season = 1998", ["cell"], "margin", False, depth=1, trees=STUMPS, step=STEP, patience=PATIENCE)
+    known = df.filter(FIT).select("cell").distinct()
+    out = M.predict(model, df.filter(TEST).join(known, "cell", "left_semi"), "predicted")
+    return out.select("row_id", F.lit(trees).alias("trees"), r6("predicted"))
+
+
+@query(
+    "isotonic_values",
+    "ST-06 ST-12",
+    sql(""", t AS (SELECT ROUND(p, 3) AS x, SUM(y)::DOUBLE AS s, COUNT(*)::DOUBLE AS w FROM scored WHERE season < 1998 GROUP BY ALL),
+    c AS (SELECT x, ROW_NUMBER() OVER (ORDER BY x) AS i, s, w, SUM(s) OVER (ORDER BY x) AS cs, SUM(w) OVER (ORDER BY x) AS cw FROM t),
+    least_mean AS (SELECT a.i AS a, b.i AS b, MIN((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m FROM c a JOIN c b ON b.i >= a.i),
+    v AS (SELECT b AS i, MAX(m) AS v FROM least_mean GROUP BY b),
+    k AS (SELECT x, v, LEAD(x) OVER (ORDER BY x) AS nx, LEAD(v) OVER (ORDER BY x) AS nv FROM c JOIN v USING (i)),
+    q AS (SELECT row_id, ROUND(p, 4) AS p FROM scored WHERE season IN (1999, 2000))
+    SELECT row_id, ROUND(GREATEST(1e-6, LEAST(1 - 1e-6, CASE WHEN k.x IS NULL THEN (SELECT ARG_MIN(v, x) FROM k) WHEN nx IS NULL THEN v ELSE v + (nv - v) * (q.p - k.x) / (nx - k.x) END)), 6) AS calibrated
+    FROM q ASOF LEFT JOIN k ON q.p >= k.x"""),
+)
+def _isotonic_values(spark, sf_dir):
+    """Every calibrated value, against the largest of the least means of the runs around it."""
+    df = scored(spark, sf_dir)
+    model = M.fit_isotonic(df.filter(TRAIN).withColumn("p", F.round("p", 3)), "p", "y", block_rows=50)
+    return M.apply_isotonic(model, df.filter(TEST).withColumn("p", F.round("p", 4)), "p").select("row_id", r6("calibrated"))
+
+
 @query("isotonic_mean_equation", "ST-06", sql("SELECT COUNT(*) AS n, ROUND(AVG(y), 5) AS mean_calibrated FROM scored WHERE season < 1998"))
 def _isotonic_equation(spark, sf_dir):
     """Pooling adjacent violators keeps the weighted mean."""

@@ -213,13 +213,13 @@ def _localise(spark, sf_dir):
 # ---- repair -------------------------------------------------------------------------------------
 
 
-def repair_inputs(spark, sf_dir):
-    """Suspects, settled totals and stated standings per competition of a thousand consecutive games.
+def repair_inputs(spark, sf_dir, games: int = 1000):
+    """Suspects, settled totals and stated standings per competition of ``games`` consecutive games.
 
     Copy A is true, so every component has a solution, unless the stated goals were raised (every fifth
     competition, team 10).
     """
-    ended = views.ended_games(spark, sf_dir).withColumn("round", F.floor(F.col("game_id") / 1000))
+    ended = views.ended_games(spark, sf_dir).withColumn("round", F.floor(F.col("game_id") / games))
     scope = ["league", "round"]
     k = F.col("game_id")
     pair, single = (k % 97 == 0), (k % 89 == 0)
@@ -243,11 +243,46 @@ def repair_inputs(spark, sf_dir):
     return suspects, base, stated, scope
 
 
-@query("standings_repair", "Q-40 Q-35 V-01", None)
+def repair_sql(games: int) -> str:
+    """Every reading of every component, suspect by suspect. Goals only ever add up, so a state that needs less than none is left."""
+    vec = lambda own, other: f"[({own} > {other})::INT, ({own} < {other} AND game_end = 'REG')::INT, ({own} < {other} AND game_end <> 'REG')::INT, {own}::INT, {other}::INT]"
+    return f""", e AS (SELECT *, CAST(game_id // {games} AS BIGINT) AS round, game_id % 97 = 0 OR game_id % 89 = 0 AS suspect FROM ended_games),
+    sd AS (SELECT league, round, suspect, home_team AS team, {vec('home_pts', 'away_pts')} AS v FROM e UNION ALL SELECT league, round, suspect, away_team, {vec('away_pts', 'home_pts')} FROM e),
+    f AS (SELECT *, UNNEST(range(1, 6)) AS k FROM sd),
+    need AS (SELECT league, round, team, k, SUM(v[k]) - COALESCE(SUM(v[k]) FILTER (NOT suspect), 0) + CASE WHEN k = 4 AND round % 5 = 4 AND team = 10 THEN 1 ELSE 0 END AS n FROM f GROUP BY league, round, team, k),
+    sus AS (SELECT league, round, game_id, home_team, away_team, UNNEST(['A', 'B']) AS pick, game_id % 89 = 0 AS single, home_pts, away_pts + (pick = 'B')::INT AS ap, game_end FROM e WHERE suspect),
+    o AS (SELECT league, round, game_id, home_team, away_team, pick, CASE WHEN single AND pick = 'B' THEN [0, 0, 0, 0, 0] ELSE {vec('home_pts', 'ap')} END AS eh,
+        CASE WHEN single AND pick = 'B' THEN [0, 0, 0, 0, 0] ELSE {vec('ap', 'home_pts')} END AS ea FROM sus),
+    ed AS (SELECT DISTINCT league, round, home_team AS u, away_team AS v FROM o UNION SELECT DISTINCT league, round, away_team, home_team FROM o),
+    reach AS (SELECT league, round, u, v FROM ed UNION SELECT r.league, r.round, r.u, ed.v FROM reach r JOIN ed ON ed.league = r.league AND ed.round = r.round AND ed.u = r.v),
+    lab AS (SELECT league, round, u AS team, LEAST(u, MIN(v)) AS label FROM reach GROUP BY league, round, u),
+    tm AS (SELECT league, round, label, list(team ORDER BY team) AS teams FROM lab GROUP BY ALL),
+    num AS (SELECT o.*, label, DENSE_RANK() OVER (PARTITION BY o.league, o.round, label ORDER BY game_id) AS i FROM o JOIN lab ON lab.league = o.league AND lab.round = o.round AND lab.team = home_team),
+    st AS (SELECT league, round, label, list(n ORDER BY team, k) AS need FROM need JOIN lab USING (league, round, team) GROUP BY ALL),
+    walk AS (SELECT league, round, label, 0::BIGINT AS i, need::BIGINT[] AS need, '' AS picks FROM st
+      UNION ALL SELECT w.league, w.round, w.label, n.i, w.need2, w.picks || n.pick FROM
+        (SELECT w.*, n.i AS ni, n.pick AS np, list_transform(w.need, lambda x, j: x - CASE teams[(j + 4) // 5] WHEN n.home_team THEN n.eh[(j + 4) % 5 + 1] WHEN n.away_team THEN n.ea[(j + 4) % 5 + 1] ELSE 0 END) AS need2
+         FROM walk w JOIN num n ON n.league = w.league AND n.round = w.round AND n.label = w.label AND n.i = w.i + 1 JOIN tm ON tm.league = w.league AND tm.round = w.round AND tm.label = w.label) w,
+        LATERAL (SELECT w.ni AS i, w.np AS pick) n WHERE list_min(need2) >= 0),
+    size AS (SELECT league, round, label, MAX(i) AS k FROM num GROUP BY ALL),
+    sol AS (SELECT w.league, w.round, w.label, COUNT(*) AS solutions, MIN(picks) AS picks FROM walk w JOIN size z ON z.league = w.league AND z.round = w.round AND z.label = w.label AND z.k = w.i
+      WHERE list_max(need) = 0 GROUP BY ALL)
+    SELECT n.league, n.round, n.label, n.game_id, CASE WHEN solutions = 1 THEN 'repaired' WHEN solutions > 1 THEN 'ambiguous' ELSE 'indeterminate' END AS outcome,
+    COALESCE(solutions, 0) AS solutions, CASE WHEN solutions = 1 THEN picks[n.i] END AS pick
+    FROM (SELECT DISTINCT league, round, label, game_id, i FROM num) n LEFT JOIN sol ON sol.league = n.league AND sol.round = n.round AND sol.label = n.label"""
+
+
+@query("standings_repair", "Q-40 Q-35 V-01", oracle("ended_games", repair_sql(1000), recursive=True))
 def _repair(spark, sf_dir):
     return recon.repair(*repair_inputs(spark, sf_dir))
 
 
+@query("standings_repair_large", "Q-40 Q-35", oracle("ended_games", repair_sql(5000), recursive=True))
+def _repair_large(spark, sf_dir):
+    """Longer competitions, so components of many suspects."""
+    return recon.repair(*repair_inputs(spark, sf_dir, 5000))
+
+
 @query(
     "neutral_sites",
     "Q-41 A-11",

@@ -28,8 +28,8 @@ def scored(spark, sf_dir):
     )
 
 
-def sql(body: str) -> str:
-    return oracle("decided", f", {SCORED_SQL}{body if body.startswith(',') else ' ' + body}")
+def sql(body: str, recursive: bool = False) -> str:
+    return oracle("decided", f", {SCORED_SQL}{body if body.startswith(',') else ' ' + body}", recursive)
 
 
 def ll(p: str) -> str:

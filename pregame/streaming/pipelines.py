@@ -147,28 +147,45 @@ def sessions(stream: DataFrame, ts: str, by: list[str], gap: str, delay: str) ->
     )
 
 
-def upsert_batches(stream: DataFrame, keys: list[str], fields: list[str], newest: str) -> DataFrame:
-    """Idempotent upsert: each batch is merged with the latest version into a new version folder.
+def upsert_batches(stream: DataFrame, keys: list[str], fields: list[str], newest: str, buckets: int = 64, base: str | None = None) -> DataFrame:
+    """Idempotent upsert: each batch rewrites the buckets that its keys fall into, and a manifest of which version each bucket has.
 
-    The row with the greatest ``newest`` (one of ``fields``) wins, in whichever order rows arrive. A
-    version is written whole before the next reads it, and a repeated batch rewrites its own version.
+    The row with the greatest ``newest`` (one of ``fields``) wins, in whichever order rows arrive. Buckets and
+    manifest of a version are written whole before the next reads them, and a repeated batch rewrites its own version.
+    What a batch writes follows the batch, not the store. With the ``base`` of an earlier run the store is continued.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "bucket int, version long").write.mode("ignore").parquet(f"{base}/manifest/epoch=-1")
     schema = T.StructType([stream.schema[c] for c in (*keys, *fields)])
     order = [newest, *[f for f in fields if f != newest]]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
         rows = batch.select(*keys, *fields)
-        if epoch > 0:
-            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{base}/v{epoch - 1}"))
-        best = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("r")).select(*keys, "r.*")
-        best.select(*keys, *fields).write.mode("overwrite").parquet(f"{base}/v{epoch}")
-
-    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
-    q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress), default=0)
-    return spark.read.schema(schema).parquet(f"{base}/v{last}")
+        touched = [r.b for r in rows.select(bucket.alias("b")).distinct().collect()]  # one per bucket at most
+        held = _manifest(s, base, epoch - 1)
+        old = [f"{base}/v{held[b]}/b={b}" for b in touched if b in held]
+        if old:
+            rows = rows.unionByName(s.read.schema(schema).parquet(*old))
+        best = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("r")).select(*keys, "r.*").select(*keys, *fields, bucket.alias("b"))
+        best.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{base}/v{epoch}")
+        state = sorted((held | dict.fromkeys(touched, epoch)).items())
+        s.createDataFrame(state, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/epoch={epoch}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    held = _manifest(spark, base, None)
+    paths = [f"{base}/v{v}/b={b}" for b, v in held.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _manifest(spark: SparkSession, base: str, until: int | None) -> dict[int, int]:
+    """Version of each bucket in the newest manifest, up to the epoch ``until``."""
+    epochs = spark.read.schema("bucket int, version long, epoch long").parquet(f"{base}/manifest")
+    epochs = epochs if until is None else epochs.filter(F.col("epoch") <= until)
+    last = epochs.agg(F.max("epoch")).first()[0]
+    return {r.bucket: r.version for r in epochs.filter(F.col("epoch") == last).collect()} if last is not None else {}
 
 
 # ---- stateful processors ------------------------------------------------------------------------

@@ -168,3 +168,27 @@ def test_quarantine_report(spark):
     prev = spark.createDataFrame([(1,), (2,)], "game_id int")
     now = spark.createDataFrame([(2,)], "game_id int")
     assert [r["game_id"] for r in recon.left_quarantine(prev, now, ["game_id"]).collect()] == [1]
+
+
+def test_repair_of_forty_suspects_among_three_teams(spark):
+    """A dense component: no team is settled early, so one walk over all suspects would hold up to 2^40 states."""
+    rnd = random.Random(9)
+    sus, truth = [], {}
+    for i in range(40):
+        h, a = rnd.sample([1, 2, 3], 2)
+        # totals that identify the reading: powers of two apart, copy B gives other goals
+        row = ("L", 1, i, h, a, "pair", float(3**12 + i), float(rnd.randrange(3**11)), "REG", float(3**12 + rnd.randrange(3**11)), float(rnd.randrange(3**11)), "REG")
+        sus.append(row)
+        use = row[6:9] if rnd.random() < 0.5 else row[9:12]
+        for t, v in ((h, _vec(use[0], use[1], use[2])), (a, _vec(use[1], use[0], use[2]))):
+            truth[t] = tuple(x + y for x, y in zip(truth.get(t, (0,) * 5), v, strict=True))
+        sus[-1] = (*row, "A" if use == row[6:9] else "B")
+    schema = (
+        "league string, round int, game_id bigint, home_team int, away_team int, kind string, a_home double, a_away double, a_end string, "
+        "b_home double, b_away double, b_end string, truth string"
+    )
+    df = spark.createDataFrame(sus, schema)
+    st = spark.createDataFrame([("L", 1, t, *v) for t, v in truth.items()], "league string, round int, team int, win int, loss int, otl int, gf int, ga int")
+    out = {r["game_id"]: r for r in recon.repair(df.drop("truth"), st.limit(0), st, ["league", "round"]).collect()}
+    assert all(r["solutions"] == 1 for r in out.values())
+    assert [out[i]["pick"] for i in range(40)] == [s[-1] for s in sus]

@@ -99,3 +99,21 @@ def test_late_drift_compares_named_keys_only(spark):
     served = spark.createDataFrame([(1, 2000, 5.0), (2, 2000, 9.0), (3, 2000, 4.0)], "id long, season int, pts double")
     got = P.late_drift(late, served, ["id"])
     assert rows(got, "season", "change") == [(1999, "added"), (2000, "changed")]
+
+
+def test_upsert_rewrites_touched_buckets_only_and_continues(spark, tmp_path):
+    path, base = str(tmp_path / "in"), str(tmp_path / "store")
+    spark.createDataFrame([(i, "a", 1, float(i)) for i in range(400)], "k int, s string, at int, v double").write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    run = lambda: P.upsert_batches(P.file_stream(spark, path, schema), ["k", "s"], ["at", "v"], "at", buckets=16, base=base)
+    assert run().count() == 400
+    spark.createDataFrame([(7, "a", 2, -1.0), (8, "a", 0, -1.0), (None, None, 5, 9.0)], "k int, s string, at int, v double").write.mode("append").parquet(path)
+    out = run()
+    assert rows(out.filter("k IN (7, 8) OR k IS NULL")) == [(7, "a", 2, -1.0), (8, "a", 1, 8.0), (None, None, 5, 9.0)]
+    assert out.count() == 401
+    held = P._manifest(spark, base, None)
+    touched = [b for b, v in held.items() if v > 0]
+    assert len(held) == 16 and 1 <= len(touched) <= 3
+    written = spark.read.parquet(f"{base}/v{max(held.values())}").count()
+    assert written < 401 / 16 * 6
+    assert run().count() == 401

@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import materialise, spread_join, table
+from pregame.llm.common import arrow_rows, materialise, spread_join, table
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
 #: One document in ``SAMPLE`` is mined for the proposal, with this share of the threshold that its size calls for.
 SAMPLE, LOWERED = 10, 0.4
 FILTER_BITS = 1 << 26
-SLICE_BYTES = 2_000_000
+SLICE_BYTES, BATCH_ROWS = 1_000_000, 2_000
+#: Border windows are added up in a worker until so many keys are held.
+HELD_KEYS = 1_000_000
 
 _C = np.arange(256)
 _BREAK = np.isin(_C, [ord(c) for c in ".,;:!?"]) | ((_C >= 10) & (_C <= 13))
@@ -183,6 +185,14 @@ def _count_all(longest: int, known: Broadcast, before: Broadcast | None):
             second = pa.nulls(n, pa.string()) if keys is None else pa.array(keys, pa.binary()).cast(pa.string())
             return pa.RecordBatch.from_arrays([first, second, pa.array(counts.astype(np.int64))], names=["border", "key", "f"])
 
+        border: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added_up() -> pa.RecordBatch:
+            keys, counts = (np.concatenate(x) for x in zip(*border, strict=True))
+            key, place = np.unique(keys, return_inverse=True)
+            border.clear()
+            return batch_of(key, None, np.bincount(place, weights=counts))
+
         for batch in batches:
             for w, langs, salt in _slices(batch):
                 heads = {lang: f"{lang}\t".encode() for lang in set(langs)}
@@ -191,11 +201,15 @@ def _count_all(longest: int, known: Broadcast, before: Broadcast | None):
                     yield batch_of(None, [heads[x] for x in found], n)
                 for size, first, keys, has in _windows(w, salt, longest, now, old):
                     if not has.all():
-                        yield batch_of(*(lambda u: (u[0], None, u[1]))(np.unique(keys[~has], return_counts=True)))
+                        border.append(np.unique(keys[~has], return_counts=True))
                     if has.any():
                         _, at, count = np.unique(keys[has], return_index=True, return_counts=True)
                         at = first[has][at]
                         yield batch_of(None, [heads[x] + t for x, t in zip(langs[at], w.phrases(at, size), strict=True)], count)
+                if sum(len(k) for k, _ in border) > HELD_KEYS:
+                    yield added_up()
+        if border:
+            yield added_up()
 
     return run
 
@@ -237,20 +251,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     drawn = F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0
     part = materialise(base.filter(drawn).select("lang", "text"), "sample")
     base = base.select("lang", "text")
-    bits = propose(part, max(1, int(least / sample * LOWERED)), longest)
-    before, found = None, None
-    while True:
-        known = spark.sparkContext.broadcast(bits)
-        counts = base.mapInArrow(_count_all(longest, known, before), _COUNTS).groupBy("border", "key").agg(F.sum("f").alias("f"))
-        counted = materialise(counts.filter((F.col("f") >= least) | F.col("key").endswith("\t")), "counted")
-        # phrases hold no tab
-        lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
-        phrases = counted.filter("key IS NOT NULL").select(lang.alias("lang"), F.substring_index("key", "\t", -1).alias("phrase"), "f")
-        found = phrases if found is None else found.unionByName(phrases)
-        failed = counted.filter("border IS NOT NULL").select(F.col("border").alias("key"))
-        if not failed.limit(1).count():
-            return found
-        before, bits = known, _filter_of(failed, bits)
+    with arrow_rows(spark, BATCH_ROWS):
+        bits = propose(part, max(1, int(least / sample * LOWERED)), longest)
+        before, found = None, None
+        while True:
+            known = spark.sparkContext.broadcast(bits)
+            counts = base.mapInArrow(_count_all(longest, known, before), _COUNTS).groupBy("border", "key").agg(F.sum("f").alias("f"))
+            counted = materialise(counts.filter((F.col("f") >= least) | F.col("key").endswith("\t")), "counted")
+            # phrases hold no tab
+            lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
+            phrases = counted.filter("key IS NOT NULL").select(lang.alias("lang"), F.substring_index("key", "\t", -1).alias("phrase"), "f")
+            found = phrases if found is None else found.unionByName(phrases)
+            failed = counted.filter("border IS NOT NULL").select(F.col("border").alias("key"))
+            if not failed.limit(1).count():
+                return found
+            before, bits = known, _filter_of(failed, bits)
 
 
 def _parts(of: str, first: str, count: str) -> str:

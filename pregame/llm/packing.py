@@ -5,13 +5,12 @@ blocks, so that a common length is no single task). The sweeps run on classes: p
 sequences with one gap. A class table has at most one row per possible length, whatever the number of documents, so
 all rounds take one small task; the numbering before and the placing after are spread over the cluster.
 
-A round is a handful of running sums over the classes sorted by size:
-1. from large to small, a piece is taken if a gap of at least its length is still free above it (larger pieces first);
-2. from small to large, each taken class moves to its successor, the smallest free gap that holds it. Where classes
-   meet at a gap they are placed by rank, each behind the one before (a running maximum);
-3. a gap takes several pieces of a class where the class has more pieces than gaps;
-4. gaps shrink, runs split, and the next round starts. When nothing fits, new sequences are opened with the largest
-   pieces left, as many as their total length needs.
+A round takes one length, larger ones first:
+1. its pieces go to their successor, the smallest gap that holds them; gaps are sorted, runs of equal gaps are one row;
+2. where pieces meet at a run they are placed by rank, as many behind each other in a sequence as it still holds;
+3. gaps shrink, runs split or join the run they continue, and what is left of the length goes to the next successor. When no
+   gap is left, as many new sequences are opened as the rest of the length fills.
+Every piece thus goes where best fit would put it one by one, in as many rounds as there are lengths.
 
 A null or empty text is its end token alone. Rows with a repeated or null id are packed like any other row.
 An empty table gives no rows. Every piece appears once; offsets in a sequence are gapless from 0.
@@ -100,77 +99,94 @@ def _ranked(pieces: DataFrame, lengths: DataFrame) -> DataFrame:
     return cut.withColumn("number", number).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("number") - 1).drop("block", "number", "before")
 
 
-def _sweep(gaps: np.ndarray, pieces: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round on classes. ``gaps``: rows size, n, first sequence; ``pieces``: rows size, n, numbers used.
+class Gaps:
+    """Open sequences as runs of one gap each: consecutive numbers, smallest gap that holds a size found by the lowest set bit."""
 
-    Returns the gaps and pieces left and the placements: size, n, first number, times, first sequence, offset.
+    def __init__(self, capacity: int) -> None:
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.open = 0
+
+    def successor(self, size: int) -> int:
+        """Smallest gap of at least ``size``, 0 if there is none."""
+        above = self.open >> size
+        return size + (above & -above).bit_length() - 1 if above else 0
+
+    def take(self, gap: int) -> tuple[int, int]:
+        run = self.runs[gap].pop()
+        if not self.runs[gap]:
+            self.open &= ~(1 << gap)
+        return run
+
+    def put(self, gap: int, first: int, n: int) -> None:
+        """A run that goes on where the last one of its gap ends joins it."""
+        if not gap or not n:
+            return
+        held = self.runs[gap]
+        if held and sum(held[-1]) == first:
+            first, n = held[-1][0], held[-1][1] + n
+            held.pop()
+        held.append((first, n))
+        self.open |= 1 << gap
+
+
+def _sweep(gaps: Gaps, size: int, n: int, capacity: int, sequences: int) -> tuple[list[tuple[int, ...]], int]:
+    """One round: the ``n`` pieces of one size go to successor after successor, as many to a sequence as it holds, by rank.
+
+    Returns the placements (length, run, at, times, sequence, first) and the number of sequences.
     """
-    gaps, pieces = gaps[np.lexsort((gaps[:, 2], gaps[:, 0]))], pieces[np.argsort(pieces[:, 0])]
-    g, p = len(gaps), len(pieces)
-    size = np.concatenate([gaps[:, 0], pieces[:, 0]])
-    change = np.concatenate([gaps[:, 1], -pieces[:, 1]])
-    down = np.lexsort((np.arange(g + p) >= g, -size))
-    lost = np.maximum.accumulate(np.maximum(0, -np.cumsum(change[down])))
-    lost = np.diff(lost, prepend=0)
-    taken = pieces[:, 1].copy()
-    taken[down[down >= g] - g] -= lost[down >= g]
-    place = np.cumsum(gaps[:, 1]) - gaps[:, 1]
-    some = np.flatnonzero(taken)
-    free = np.append(place, gaps[:, 1].sum())[np.searchsorted(gaps[:, 0], pieces[some, 0], side="left")]
-    before = np.cumsum(taken[some]) - taken[some]
-    lo = before + np.maximum.accumulate(free - before)
-    hi = lo + taken[some]
-    points = np.unique(np.concatenate([place, lo, hi, [gaps[:, 1].sum()]]))
-    at, n = points[:-1], np.diff(points)
-    gap = gaps[np.searchsorted(place, at, side="right") - 1]
-    sequence = gap[:, 2] + at - place[np.searchsorted(place, at, side="right") - 1]
-    own = np.searchsorted(lo, at, side="right") - 1
-    filled = (own >= 0) & (at < hi[np.maximum(own, 0)]) if len(some) else np.zeros(len(at), dtype=bool)
-    kind = some[own[filled]] if len(some) else np.zeros(0, dtype=np.int64)
-    length = pieces[kind, 0]
-    times = np.zeros(len(at), dtype=np.int64)
-    times[filled] = np.minimum(1 + (pieces[kind, 1] - taken[kind]) // taken[kind], gap[filled, 0] // length)
-    spent = n[filled] * times[filled]
-    run = np.cumsum(spent) - spent
-    start = np.zeros(p, dtype=np.int64)
-    first = np.flatnonzero(np.diff(kind, prepend=-1))
-    start[kind[first]] = run[first]
-    number = pieces[kind, 2] + run - start[kind]
-    put = np.stack([length, n[filled], number, times[filled], sequence[filled], capacity - gap[filled, 0]], axis=1)
-    left = gap[:, 0].copy()
-    left[filled] -= times[filled] * length
-    used = np.zeros(p, dtype=np.int64)
-    np.add.at(used, kind, spent)
-    pieces = pieces + np.stack([np.zeros(p, dtype=np.int64), -used, used], axis=1)
-    return np.stack([left, n, sequence], axis=1), pieces[pieces[:, 1] > 0], put
+    put, at = [], 0
+    while at < n:
+        gap = gaps.successor(size)
+        if gap:
+            first, run = gaps.take(gap)
+        else:
+            gap, first, run = capacity, sequences, -(-(n - at) // (capacity // size))
+            sequences += run
+        times = min(gap // size, n - at)
+        used = min(run, (n - at) // times)
+        put.append((size, used, at, times, first, capacity - gap))
+        at += used * times
+        gaps.put(gap, first + used, run - used)
+        gaps.put(gap - times * size, first, used)
+    return put, sequences
 
 
 def _fit(capacity: int):
-    """Rounds over the class table: at most ``capacity`` rows come in, however many pieces they stand for."""
+    """Rounds over the class table, larger sizes first: at most ``capacity`` rows come in, however many pieces they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), np.zeros(len(b), dtype=np.int64)], axis=1) for b in batches]
-        pieces = np.concatenate(rows) if rows else np.zeros((0, 3), dtype=np.int64)
-        gaps = np.zeros((0, 3), dtype=np.int64)
-        sequences = 0
-        while len(pieces):
-            gaps = gaps[gaps[:, 0] >= pieces[:, 0].min()]
-            if len(gaps):
-                gaps, pieces, put = _sweep(gaps, pieces, capacity)
-            else:
-                pieces = pieces[np.argsort(-pieces[:, 0])]
-                large = pieces[pieces[:, 0] * 2 > capacity, 1].sum()
-                count = max(-(-int((pieces[:, 0] * pieces[:, 1]).sum()) // capacity), int(large))
-                before = np.cumsum(pieces[:, 1]) - pieces[:, 1]
-                m = np.clip(count - before, 0, pieces[:, 1])
-                some = m > 0
-                sequence = sequences + before[some]
-                put = np.stack([pieces[some, 0], m[some], pieces[some, 2], np.ones(some.sum(), dtype=np.int64), sequence, np.zeros(some.sum(), dtype=np.int64)], axis=1)
-                gaps = np.stack([capacity - pieces[some, 0], m[some], sequence], axis=1)
-                pieces = np.stack([pieces[:, 0], pieces[:, 1] - m, pieces[:, 2] + m], axis=1)
-                pieces = pieces[pieces[:, 1] > 0]
-                sequences += count
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in put.T], names=["length", "run", "at", "times", "sequence", "first"])
+        classes = sorted(((size, n) for b in batches for size, n in zip(*(c.to_pylist() for c in b.columns), strict=True)), reverse=True)
+        gaps, sequences = Gaps(capacity), 0
+        for size, n in classes:
+            put, sequences = _sweep(gaps, size, n, capacity, sequences)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*put, strict=True)], names=_LEDGER)
+
+    return run
+
+
+_LEDGER = ["length", "run", "at", "times", "sequence", "first"]
+
+
+def _place(ledger: pa.Table):
+    """Sequence and offset of each ranked piece, from the ledger row its length and rank fall into."""
+    held = ledger.sort_by([("length", "ascending"), ("at", "ascending")])
+    length, run_, at, times, sequence, first = (held.column(c).to_numpy() for c in _LEDGER)
+    starts = np.searchsorted(length, length)
+    ends = np.searchsorted(length, length, side="right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = {int(length[a]): (int(a), int(b)) for a, b in zip(starts, ends, strict=True)}
+        for batch in batches:
+            size, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            row = np.zeros(len(size), dtype=np.int64)
+            for x in np.unique(size):
+                a, b = bounds[int(x)]
+                mine = np.flatnonzero(size == x)
+                row[mine] = a + np.searchsorted(at[a:b], rank[mine], side="right") - 1
+            past = rank - at[row]
+            out = [sequence[row] + past % run_[row], first[row] + past // run_[row] * size]
+            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, out)], names=[*kept, "sequence_id", "offset"])
 
     return run
 
@@ -193,15 +209,9 @@ def pack_documents(
     )
     lengths = materialise(pieces.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("n")).coalesce(1), "lengths")
     ledger = materialise(best_fit(lengths, capacity), "ledger")
-    past = F.col("rank") - F.col("at")
-    # the ledger has at most as many rows as lengths and rounds allow, whatever the number of documents
-    return (
-        _ranked(pieces, lengths).join(F.broadcast(ledger), "length")
-        .filter((past >= 0) & (past < F.col("run") * F.col("times")))
-        .select(
-            "doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + past % F.col("run")).alias("sequence_id"),
-            (F.col("first") + F.floor(past / F.col("run")).cast("long") * F.col("length")).alias("offset"),
-        )
+    # a row per length and run of sequences it meets: some ten thousand for any number of documents, capacity squared / 2 at worst
+    return _ranked(pieces, lengths).mapInArrow(
+        _place(ledger.toArrow()), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import zlib
 
@@ -169,11 +170,27 @@ def packed_ok(rows, texts, capacity):
     return used
 
 
+def best_fit_decreasing(lengths, capacity):
+    """Sequences of placing piece by piece, largest first, each into the smallest gap that holds it."""
+    gaps = []
+    sequences = 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, x)
+        if k == len(gaps):
+            sequences += 1
+            gap = capacity
+        else:
+            gap = gaps.pop(k)
+        bisect.insort(gaps, gap - x)
+    return sequences
+
+
 def test_packing_is_whole_and_tight(spark, odd, none):
     rng = random.Random(1)
     texts = [(i, " ".join(rng.choice(["the", "of", "thing", "Ünder."]) for _ in range(rng.choice([0, 1, 3, 20, 70, 300])))) for i in range(600)]
-    used = packed_ok(packing.pack_documents(frame(spark, texts), WORD, 128).collect(), texts, 128)
-    assert len(used) <= 1.02 * sum(used.values()) / 128 + 2
+    rows = packing.pack_documents(frame(spark, texts), WORD, 128).collect()
+    used = packed_ok(rows, texts, 128)
+    assert len(used) == best_fit_decreasing([r.length for r in rows], 128)
     same = [(i, "") for i in range(500)] + [(900, "the the")]
     used = packed_ok(packing.pack_documents(frame(spark, same), WORD, 64).collect(), same, 64)
     assert len(used) == -(-sum(used.values()) // 64)
@@ -181,21 +198,25 @@ def test_packing_is_whole_and_tight(spark, odd, none):
     assert packing.pack_documents(none, WORD).count() == 0
 
 
-def test_sweep_places_every_piece_once():
+def test_rounds_open_as_many_sequences_as_best_fit_decreasing():
     rng = np.random.default_rng(3)
-    for _ in range(30):
-        size = rng.choice(np.arange(1, 65), size=rng.integers(1, 40), replace=False)
-        pieces = np.stack([size, rng.integers(1, 50, len(size)), np.zeros(len(size), dtype=np.int64)], axis=1)
-        gap = rng.integers(1, 65, rng.integers(1, 30))
-        n = rng.integers(1, 20, len(gap))
-        gaps = np.stack([gap, n, np.cumsum(n) - n], axis=1)
-        left, rest, put = packing._sweep(gaps, pieces, 64)
-        assert (left[:, 0] >= 0).all() and left[:, 1].sum() == n.sum()
-        placed = {s: 0 for s in size.tolist()}
-        for s, k, _, times, _, _ in put.tolist():
-            placed[s] += k * times
-        after = dict(zip(rest[:, 0].tolist(), rest[:, 1].tolist(), strict=True))
-        assert all(placed[s] + after.get(s, 0) == k for s, k, _ in pieces.tolist())
+    for capacity in (10, 64, 1000):
+        for _ in range(20):
+            size = rng.choice(np.arange(1, capacity + 1), size=rng.integers(1, min(40, capacity)), replace=False)
+            n = rng.integers(1, 60, len(size))
+            gaps, sequences, room, placed = packing.Gaps(capacity), 0, {}, 0
+            for x, k in sorted(zip(size.tolist(), n.tolist(), strict=True), reverse=True):
+                put, sequences = packing._sweep(gaps, x, k, capacity, sequences)
+                at = 0
+                for length, run, start, times, first, offset in put:
+                    assert (length, start) == (x, at)
+                    at += run * times
+                    for q in range(first, first + run):
+                        assert room.get(q, 0) == offset
+                        room[q] = offset + times * length
+                placed += at
+            assert placed == n.sum() and max(room.values()) <= capacity
+            assert len(room) == sequences == best_fit_decreasing(np.repeat(size, n).tolist(), capacity)
 
 
 def test_filters_decide_by_row(spark):

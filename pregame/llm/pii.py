@@ -38,25 +38,42 @@ IDENTIFIER = r"^(?=(?:[^0-9]*+[0-9]){4})[A-Za-z0-9#/_.:-]{6,64}$"
 SPAN = "array<struct<start:bigint,end:bigint,value:string,l:string,r:string>>"
 NEAR = "array<struct<start:bigint,end:bigint,value:string,one:string,two:string,after:string>>"
 BEFORE, AFTER = 80, 40
+#: Matches that are placed by one running sum.
+PLACED = 200
+#: Spans meet the tokens that share a stretch of so many code points.
+STRETCH = 64
 
 
 def _cuts(text: Column, pattern: str) -> Column:
     """Matches with their places and the text beside them, left to right."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("last"), F.array().cast(SPAN).alias("spans"))
+    count = F.size(found)
+    zero = lambda at: F.struct(at.cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["p"])
         end = start + F.char_length(x["f"])
-        left = F.right(F.concat(acc["last"], x["p"]), F.lit(BEFORE))
+        left = F.right(F.concat(x["q"], x["p"]), F.lit(BEFORE))
         span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["f"].alias("value"), left.alias("l"), x["r"].alias("r"))
-        return F.struct(end.cast("long").alias("at"), F.right(x["f"], F.lit(BEFORE)).alias("last"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    count = F.size(found)
+    # f: match, p: piece before it, q: end of the match before, r: text after it
+    previous = F.transform(F.slice(F.concat(F.array(F.lit("")), found), F.lit(1), count), lambda f: F.right(f, F.lit(BEFORE)))
     right = F.zip_with(F.slice(pieces, F.lit(2), count), F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), count), lambda p, f: F.left(F.concat(F.left(p, F.lit(AFTER)), F.left(f, F.lit(AFTER))), F.lit(AFTER)))
+    ends = F.zip_with(previous, right, lambda q, r: F.struct(q.alias("q"), r.alias("r")))
     pairs = F.zip_with(found, F.slice(pieces, F.lit(1), count), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
-    pairs = F.zip_with(pairs, right, lambda x, r: F.struct(x["f"].alias("f"), x["p"].alias("p"), r.alias("r")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    pairs = F.zip_with(pairs, ends, lambda x, e: F.struct(x["f"].alias("f"), x["p"].alias("p"), e["q"].alias("q"), e["r"].alias("r")))
+
+    def placed(pairs: Column) -> Column:
+        # arrays grow by copying, so matches are placed in blocks, each from the length of the blocks before it
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(pairs) / F.lit(PLACED)).cast("int") - 1)), lambda b: F.slice(pairs, b * PLACED + 1, F.lit(PLACED)))
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + F.char_length(x["p"]) + F.char_length(x["f"])))
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+        before = F.aggregate(lengths, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.aggregate(b, zero(at), step, lambda acc: acc["spans"])))
+
+    # bound once as the only element of an array, so that it is not evaluated again for each block
+    return F.get(F.transform(F.array(pairs), placed), F.lit(0))
 
 
 def _digits(value: Column) -> Column:
@@ -145,15 +162,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "pii",
     )
     base = F.concat(*(F.col(k) for k in kinds))
-    tokens = seen.filter("size(tokens) > 0").select("row", base.alias("base"), F.explode("tokens").alias("t")).select("row", "base", "t.*").filter("value <> ''")
+    tokens = seen.filter("size(tokens) > 0").select("row", F.explode("tokens").alias("t")).select("row", "t.*").filter("value <> ''")
     whole = lambda *c: F.concat_ws(" ", *c)
     wordy = [
         F.when(F.col("one") != "", whole(F.lit("1"), F.col("one"))),
         F.when((F.col("one") != "") & (F.col("two") != ""), whole(F.lit("2"), F.col("two"), F.col("one"))),
         F.when((F.col("one") != "") & (F.col("after") != ""), whole(F.lit("3"), F.col("one"), F.lit("_"), F.col("after"))),
     ]
-    covered = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    placed = tokens.filter(~covered).select("row", "start", "end", "value", F.array_compact(F.array(*wordy)).alias("patterns"))
+    stretches = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))).alias("stretch")
+    spans = seen.select("row", F.explode(base).alias("t")).select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    spans = spans.select("row", F.col("start").alias("a"), F.col("end").alias("b"), stretches)
+    covered = tokens.select("row", "start", "end", stretches).join(spans, ["row", "stretch"]).filter("a < end AND b > start").select("row", "start").distinct()
+    placed = tokens.join(covered, ["row", "start"], "left_anti").select("row", "start", "end", "value", F.array_compact(F.array(*wordy)).alias("patterns"))
     seeds = seen.select(F.explode(base).alias("t")).select("t.*").select("value", F.array_compact(F.array(*wordy)).alias("patterns"))
     edges = placed.select("value", F.lit(False).alias("seed"), F.explode("patterns").alias("pattern")).unionByName(
         seeds.select("value", F.lit(True).alias("seed"), F.explode("patterns").alias("pattern"))

@@ -304,3 +304,17 @@ def test_spans_with_spaces_are_seeds_and_chains_go_to_their_end(spark):
         got.setdefault(r.doc_id, []).append(r.n_id)
     assert got[100] == [1] and got[300] == [1] and got[2001] == [0]
     assert [got[1000 + 10 * s + j] for s in (1, 5, 12) for j in (0, 1)] == [[1, 1]] * 4 + [[1]] * 2
+
+
+def test_pii_places_of_one_text_with_many_tokens(spark):
+    """Places stay right over many blocks of matches, and the work follows the text (40,000 tokens; 98 s for 32,000 before)."""
+    parts, want, at = [], [], 0
+    for k in range(20_000):
+        word = ["u{0}@b.com", "id{0}x", "10.{1}.2.3", "plain"][k % 4].format(k, k % 256)
+        if k % 4 in (0, 2):
+            want.append(("email" if k % 4 == 0 else "ip", at, at + len(word)))
+        parts.append(word)
+        at += len(word) + 1
+    got = pii.find_pii(frame(spark, [(1, " ".join(parts)), (2, "x")])).orderBy("doc_id").collect()
+    want = [":".join(map(str, w)) for kind in ("email", "ip") for w in want if w[0] == kind]
+    assert got[0].spans.split(",")[: len(want)] == want and (got[0].n_email, got[0].n_ip, got[1].spans) == (5_000, 5_000, "")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import ROW_KEY, components, materialise, partitions, with_row_key, without_ids
+from pregame.llm.common import ROW_KEY, components, materialise, partitions, spread_join, with_row_key, without_ids
 
 FRAGMENT_BYTES = 16_000_000
 _EMIT = "frag int, doc_id long, n long, key long, keys binary, counts binary, values binary"
@@ -253,9 +253,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = first.unionByName(materialise(_verified(across, pieces), "links"))
     labels = components(links)
 
-    home = rows.filter("key IS NOT NULL").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = home.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = home.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    held = rows.filter("key IS NOT NULL")
+    home = spread_join(held, labels.withColumnRenamed("id", "key"), ["key"], held.groupBy("key").agg(F.count("*").alias("rows_of_key")), "left")
+    home = home.withColumn("component", F.coalesce("component", "key"))
+    names = home.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows_of_key"))
+    out = spread_join(home, names.drop("rows_of_key"), ["component"], names.drop("component_id")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.filter("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone), links, rows.filter("key IS NOT NULL").select("doc_id", F.col("key").alias("class"))
 
@@ -275,7 +277,8 @@ def one_row_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = materialise(counted.join(keyed.select(ROW_KEY, F.col(id_col).alias("id")).distinct(), ROW_KEY), "rows")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW_KEY)).alias("first")
     firsts = named.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1").select("component_id", F.col(f"first.{ROW_KEY}").alias("stays"))
-    other = named.join(firsts, "component_id").filter(F.col(ROW_KEY) != F.col("stays")).select(F.col(ROW_KEY).alias("doc_id"))
+    sizes = named.groupBy("component_id").agg(F.count("*").alias("rows_of_key"))
+    other = spread_join(named, firsts, ["component_id"], sizes).filter(F.col(ROW_KEY) != F.col("stays")).select(F.col(ROW_KEY).alias("doc_id"))
     left = without_ids(keyed, other, ROW_KEY)
     # rows equal in all columns share their key: only those go through a shuffle
     repeated = materialise(named.filter("copies > 1").select(F.col(ROW_KEY).alias("doc_id")), "repeated")

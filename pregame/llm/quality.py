@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import ROW_KEY, materialise, table, with_row_key, without_ids
+from pregame.llm.common import ROW_KEY, materialise, spread_join, table, with_row_key, without_ids
 
 SAMPLE = 50_000
 FIGURES = [
@@ -136,10 +136,14 @@ def quality_scores(
     path = paths.join(host, "host").select("host", "path", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
     evidence = sum((F.col(c) * w for c, w in zip(FIGURES, weights, strict=True)), F.lit(intercept))
     odds = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) + F.col("evidence")
-    return (
-        seen.select("doc_id", "host", "path", evidence.alias("evidence"))
-        .join(host, "host", "left").join(path, ["host", "path"], "left")
+    sizes = seen.groupBy("host", "path").agg(F.count("*").alias("rows_of_key"))
+    # the rates of each host and path are joined once, and rows of a large site are dealt to several tasks
+    rates = (
+        sizes.select("host", "path").join(host, "host", "left").join(path, ["host", "path"], "left")
         .withColumn("host_rate", F.coalesce("host_rate", F.lit(rate))).withColumn("path_rate", F.coalesce("path_rate", "host_rate"))
+    )
+    return (
+        spread_join(seen.select("doc_id", "host", "path", evidence.alias("evidence")), rates, ["host", "path"], sizes)
         .withColumn("score", 1 / (1 + F.exp(-odds)))
         .select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("keep"))
     )

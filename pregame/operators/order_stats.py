@@ -3,7 +3,8 @@
 An exact percentile in one aggregate keeps every distinct value in one buffer. Here each round counts the rows per cell of
 the ranges that still hold a wanted rank, with the smallest and largest value of each cell, and keeps the cells the
 ranks fall into. All columns and ranks share a round. What comes to the driver is at most ``cells`` rows per range and,
-at the end, ``few`` values per range; two or three rounds serve billions of rows.
+at the end, ``few`` values per range; two or three rounds serve billions of rows. Values spread over many powers of ten take a
+round for every three or so of them.
 """
 
 from __future__ import annotations

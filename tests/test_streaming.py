@@ -84,6 +84,15 @@ def test_live_pairing_equals_the_batch_operator(spark):
     assert want.filter("slot IS NULL").count() > 20 and want.filter("slot LIKE '%next%'").count() > 20
 
 
+def test_pairing_timer_that_settles_nothing(spark):
+    """The watermark is past the day of a single row, but not past the next day, on which its twin may still come."""
+    data = [("x", 1, 2, 1, "A", DAY + dt.timedelta(days=10), dt.datetime(2020, 1, 11)), ("x", 3, 4, 2, "A", DAY + dt.timedelta(days=12), dt.datetime(2020, 1, 13, 12))]
+    c = spark.createDataFrame(data, "league string, home_team int, away_team int, game_id long, copy string, copy_date date, ts timestamp")
+    twin = spark.createDataFrame([("x", 1, 2, 3, "B", DAY + dt.timedelta(days=11), dt.datetime(2020, 1, 12, 18))], c.schema)
+    live = P.run_in_slices([c, twin], lambda s: P.live_pairing(s, "1 day"), stateful=True, ts="ts")
+    assert rows(live, "game_id", "slot") == [(1, "18272:next:1"), (2, None), (3, "18272:next:1")]
+
+
 def test_late_rows_are_kept_apart_batch_by_batch(spark, tmp_path):
     path = str(tmp_path / "in")
     for seasons in ([2001], [2004, None], [2002, 2003, 2004], [2002, 2005], [2003]):

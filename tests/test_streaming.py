@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -93,6 +94,28 @@ def test_pairing_timer_that_settles_nothing(spark):
     assert rows(live, "game_id", "slot") == [(1, "18272:next:1"), (2, None), (3, "18272:next:1")]
 
 
+def test_alarms_of_a_bucket_come_at_their_time(spark):
+    """Buckets hold several games: results before, after and without their fixture, repeated fixtures, a result after the alarm."""
+    at = lambda d, h=0: dt.datetime(2020, 1, d, h)
+    first = [(1, at(1), "fixture"), (1, at(1), "fixture"), (2, at(1), "fixture"), (2, at(1, 2), "result"), (3, at(2), "result"), (4, at(5), "fixture"), (4, at(6), "fixture"), (5, at(4), "fixture"), (9, at(4), "result")]
+    second = [(3, at(9), "fixture"), (5, at(9), "result"), (6, at(9), "fixture"), (7, at(9), "fixture"), (1, at(9), "result"), (7, at(9, 1), "result")]
+    slices = [spark.createDataFrame(x, "game_id long, ts timestamp, kind string") for x in (first, second)]
+    out = P.run_in_slices(slices, lambda s: P.missing_result_alarm(s, 5, "1 day", buckets=2), stateful=True, ts="ts")
+    ms = lambda d: d * P.DAY_MS + (DAY - P.EPOCH_DAY).days * P.DAY_MS - P.DAY_MS
+    assert rows(out, "game_id", "kickoff_ms") == [(1, ms(1)), (4, ms(5)), (4, ms(6)), (5, ms(4)), (6, ms(9))]
+
+
+def test_alarms_call_for_state_by_the_bucket(spark):
+    """More games than anybody calls for one at a time in a test."""
+    day = F.timestamp_seconds(F.lit(1577836800) + F.col("id") % 40 * 86400)
+    data = spark.range(60_000).select(F.col("id").alias("game_id"), day.alias("ts"), F.lit("fixture").alias("kind"))
+    data = data.unionByName(data.filter("game_id % 100 <> 0").withColumn("kind", F.lit("result")))
+    begun = time.monotonic()
+    out = P.run_in_slices([data], lambda s: P.missing_result_alarm(s, 5, "1 hour", buckets=64), stateful=True, ts="ts")
+    assert out.count() == 600 and out.filter("game_id % 100 = 0").distinct().count() == 600
+    assert time.monotonic() - begun < 60
+
+
 def test_late_rows_are_kept_apart_batch_by_batch(spark, tmp_path):
     path = str(tmp_path / "in")
     for seasons in ([2001], [2004, None], [2002, 2003, 2004], [2002, 2005], [2003]):

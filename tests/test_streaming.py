@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.operators import ratings, recon
 from pregame.operators.ratings import EloParams
 from pregame.streaming import pipelines as P
-from tests.conftest import rows
+from tests.conftest import SMALL, rows
 
 DAY = dt.date(2020, 1, 1)
 
@@ -57,6 +60,57 @@ def test_shuffled_arrival_gives_the_batch_ratings(spark):
     assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
 
 
+def test_live_elo_keeps_a_chunk_of_a_day_without_reading_the_day(monkeypatch):
+    """Rows of a day that come in many Arrow batches are neither read back nor written again before the day is played."""
+    calls: list[tuple] = []
+
+    class Map(dict):
+        def updateValue(self, k, v):
+            calls.append(("write", len(v[0]) if isinstance(v[0], list) else 0))
+            self[k] = v
+
+        def getValue(self, k):
+            calls.append(("read", k))
+            return self[k]
+
+        def containsKey(self, k):
+            return k in self
+
+        def removeKey(self, k):
+            del self[k]
+
+    class Value:
+        v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    handle = SimpleNamespace(getMapState=lambda *_: Map(), getValueState=lambda *_: Value(), registerTimer=lambda at: None)
+    live = P.EloProcessor(EloParams())
+    live.init(handle)
+    days = [18262 + d for d in range(20)]
+    batch = lambda b: pd.DataFrame([(DAY + dt.timedelta(days=d - days[0]), d, 100 * b + d, 2020, 1, 2, 1, 3.0, 1.0) for d in days], columns=["game_date", "day", "game_id", "season", "home_team", "away_team", "won", "home_pts", "away_pts"])
+    assert not list(live.handleInputRows(("x",), (batch(b) for b in range(50)), None))
+    assert sum(n for kind, n in calls if kind == "write") == 50 * 20 * 5 and len(calls) == 20
+    calls.clear()
+    monkeypatch.setattr(P, "ELO_BUFFER", 100)
+    assert not list(live.handleInputRows(("x",), (batch(b) for b in range(50, 60)), None))
+    assert len(calls) == 40 and all(kind == "write" for kind, _ in calls)
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: (days[-1] + 1) * P.DAY_MS)
+    played = pd.concat(list(live.handleExpiredTimer(("x",), late, None)))
+    assert len(played) == 60 * 20 and not live.open
+    assert pd.concat(list(live.handleInputRows(("x",), iter([batch(70)]), None)))["late"].all()
+
+
 def test_rows_behind_the_watermark_change_no_rating(spark):
     gm = games(spark, 60, 2)
     late = gm.filter("game_id % 10 = 0 AND game_date < '2020-01-20'")
@@ -101,7 +155,7 @@ def test_alarms_of_a_bucket_come_at_their_time(spark):
     second = [(3, at(9), "fixture"), (5, at(9), "result"), (6, at(9), "fixture"), (7, at(9), "fixture"), (1, at(9), "result"), (7, at(9, 1), "result")]
     slices = [spark.createDataFrame(x, "game_id long, ts timestamp, kind string") for x in (first, second)]
     out = P.run_in_slices(slices, lambda s: P.missing_result_alarm(s, 5, "1 day", buckets=2), stateful=True, ts="ts")
-    ms = lambda d: d * P.DAY_MS + (DAY - P.EPOCH_DAY).days * P.DAY_MS - P.DAY_MS
+    ms = lambda d: ((DAY - P.EPOCH_DAY).days + d - 1) * P.DAY_MS
     assert rows(out, "game_id", "kickoff_ms") == [(1, ms(1)), (4, ms(5)), (4, ms(6)), (5, ms(4)), (6, ms(9))]
 
 
@@ -126,6 +180,29 @@ def test_late_rows_are_kept_apart_batch_by_batch(spark, tmp_path):
     assert rows(applied, "batch") == [(0,), (1,), (1,), (2,), (2,), (3,)]
 
 
+def test_late_split_continues_and_takes_a_batch_of_several_files(spark, tmp_path):
+    path, base = str(tmp_path / "in"), str(tmp_path / "split")
+    for seasons in ([2001], [2004, 2003, 2004], [2002, 2003, 2004, None]):
+        spark.createDataFrame([(s, i) for i, s in enumerate(seasons)], "season int, id long").repartition(3).write.mode("append").parquet(path)
+        applied, late = P.split_late(P.file_stream(spark, path, spark.read.parquet(path).schema), base=base)
+    assert rows(late, "season", "batch") == [(2002, 2)]
+    assert rows(applied, "batch") == [(0,), (1,), (1,), (1,), (2,), (2,), (2,)]
+
+
+def test_corrections_are_joined_in_no_single_task(spark):
+    """The corrections of an arrival are written by as many tasks as hold them."""
+    from pregame.plans.stream_queries import _late_corrections
+
+    split = []
+    write = DataFrame.coalesce
+    DataFrame.coalesce = lambda df, n: split.append(n) or write(df, n)
+    try:
+        _late_corrections(spark, SMALL)
+    finally:
+        DataFrame.coalesce = write
+    assert not split
+
+
 def test_late_drift_compares_named_keys_only(spark):
     late = spark.createDataFrame([(1, 2000, 5.0, 3), (1, 2000, 6.0, 4), (2, 2000, 9.0, 3), (7, 1999, 1.0, 3)], "id long, season int, pts double, batch long")
     served = spark.createDataFrame([(1, 2000, 5.0), (2, 2000, 9.0), (3, 2000, 4.0)], "id long, season int, pts double")

@@ -50,3 +50,21 @@ def test_null_keys_survive_the_block_path(spark, tiny_blocks):
     df = spark.sql("SELECT CAST(NULL AS INT) AS k, DATE '2020-01-01' AS game_date, id AS game_id FROM range(20)")
     out = skew.running_sums(df, ["k"], "game_date", ["game_id"], {"n": F.lit(1)}, inclusive=True)
     assert sorted(r["n"] for r in out.collect()) == list(range(1, 21))
+
+
+def test_shuffles_start_from_partitions_by_the_size_of_the_tables(spark, tmp_path, monkeypatch):
+    """A task's rows do not grow with the input while the session's own number of partitions stays."""
+    from pregame import session
+
+    monkeypatch.setattr(session, "PARTITION_BYTES", 20_000)
+    monkeypatch.setattr(session, "_table_bytes", {})
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.range(50_000).select(F.rand(1).alias("x")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(50_000).select(F.rand(2).alias("x")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    session.spread(spark, str(tmp_path))
+    begun = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    assert 400_000 / 20_000 <= begun < 600_000 / 20_000
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
+    load()["key_coverage"].build(spark, SMALL)
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) < begun
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(session.ADVISORY_BYTES)

@@ -68,3 +68,13 @@ def test_shuffles_start_from_partitions_by_the_size_of_the_tables(spark, tmp_pat
     load()["key_coverage"].build(spark, SMALL)
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) < begun
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(session.ADVISORY_BYTES)
+
+
+def test_windows_of_a_player_share_one_count_and_one_shuffle(spark):
+    from pregame.plans.feature_queries import weighted_players
+
+    known = len(skew._seen)
+    plan = weighted_players(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    by_player = {line.strip(" :+-*") for line in plan.splitlines() if "Exchange hashpartitioning(player_id" in line}
+    assert len(by_player) == 1
+    assert len(skew._seen) <= known + 1

@@ -61,7 +61,8 @@ class Parts:
         return table
 
     def encode(self, parts: list[str]) -> list:
-        return [self.value(e) for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        # ids alone: the library keeps no offsets then
+        return [self.value(e) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 class WordParts(Parts):
@@ -78,7 +79,8 @@ class WordParts(Parts):
 
     def encode(self, parts: list[str]) -> list:
         words = [p for p in parts if p.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        (joined,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(joined.ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return super().encode(parts)
@@ -92,7 +94,8 @@ class WordParts(Parts):
 
 #: A full stop or comma behind a letter or digit and before white space is a part of its own either way.
 MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
-CLUSTER = re.compile(r"[^\w\s][.,]|_[.,]")
+#: A full stop or comma behind a mark. The search looks for the stop first, which most characters are not.
+CLUSTER = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.))")
 
 
 def words(text: str) -> list[str]:

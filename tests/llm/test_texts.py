@@ -9,11 +9,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pregame.llm import language_id, pii, quality, secret_scan, token_counts, tokens, toxicity
 from pregame.llm import words as W
+from pregame.llm.common import TEXT_ROWS, materialise
 from tests.llm.conftest import frame
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -66,7 +68,6 @@ def test_languages(spark, odd, none):
 
 
 def test_trigrams_of_each_text():
-    import pyarrow as pa
 
     texts = ["ab  c", "", "Zz9", "ééé", None, "  x"]
     (p,) = W.parts(pa.array(texts))
@@ -208,7 +209,6 @@ def test_sparse_sites_shrink_to_their_prior(spark):
 
 
 def test_figures_of_a_text_do_not_depend_on_its_slice(spark):
-    import pyarrow as pa
 
     texts = ["Ab, cd! x|y\nzz 12", "", "the the the", None, "a b c d e f g"]
     (s,) = W.slices(pa.array(texts))
@@ -318,3 +318,27 @@ def test_pii_places_of_one_text_with_many_tokens(spark):
     got = pii.find_pii(frame(spark, [(1, " ".join(parts)), (2, "x")])).orderBy("doc_id").collect()
     want = [":".join(map(str, w)) for kind in ("email", "ip") for w in want if w[0] == kind]
     assert got[0].spans.split(",")[: len(want)] == want and (got[0].n_email, got[0].n_ip, got[1].spans) == (5_000, 5_000, "")
+
+
+def test_words_are_encoded_without_offsets():
+    class Fast:
+        """Only the call that keeps no offsets."""
+
+        def encode_batch_fast(self, parts, add_special_tokens):
+            return tokens.load(WORD).encode_batch_fast(parts, add_special_tokens=add_special_tokens)
+
+    table = tokens.WordParts(WORD)
+    table.tokenizer = Fast()
+    texts = "the house, stands. on_a hill!! x#., ab1 _. end."
+    known = table.learn(set(tokens.words(texts)))
+    assert b"".join(known[p] for p in tokens.words(texts)) == np.array(tokens.load(WORD).encode(texts, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_texts_come_in_small_batches_and_slices(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = spark.range(0, 5_000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"]) for b in batches), "n long")
+    found = [r.n for r in materialise(sizes, "sizes", TEXT_ROWS).collect()]
+    assert sum(found) == 5_000 and max(found) <= TEXT_ROWS
+    assert spark.conf.get(name) == before
+    assert max(len(s.data) for s in W.slices(pa.array(["a b " * 25_000] * 30))) <= 1_000_000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+#: Rows of a worker's batch of whole texts. Spark's 10,000 texts are held several times over, in the executor and in the worker.
+TEXT_ROWS = 1_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors. ``rows``: of a worker's batch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, rows) if rows else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,7 +61,7 @@ BROADCAST_IDS = 1_000_000
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose id is in ``ids`` (column doc_id). Texts are shuffled only where the ids, counted first,
     are too many to be broadcast. All columns stay; rows with a null id stay."""
-    gone = materialise(ids.select(F.col("doc_id").cast("long").alias("gone_id")).dropna().distinct(), "gone")
+    gone = materialise(ids.select(F.col("doc_id").cast("long").alias("gone_id")).dropna().distinct(), "gone", TEXT_ROWS)
     small = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("gone_id"), "left_anti").select(*docs.columns)
 

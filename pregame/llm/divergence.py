@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import materialise, table
+from pregame.llm.common import TEXT_ROWS, arrow_rows, materialise, table
 
 CANDIDATES, COMMON = 500, 50
 #: Largest distances: of any text that is tested, and of texts of ``LONG_CHARS`` and ``LONG_WORDS`` at least.
@@ -259,7 +259,7 @@ def references_of(features: DataFrame) -> References:
     total = rows.agg(F.sum("rows")).first()[0] or 0
     used = rows.filter(F.col("rows") * RARE >= total).join(texts.groupBy("lang").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MIN_TEXTS), "lang").select("lang")
     texts = texts.join(F.broadcast(used), "lang")  # RARE rows at most
-    away = materialise(with_distances(texts, _means(texts, texts), kept), "away")
+    away = materialise(with_distances(texts, _means(texts, texts), kept), "away", TEXT_ROWS)
     near = lambda c: away.join(F.broadcast(_middle(away, c)), "lang").filter(F.floor(F.col(c) * 1000) <= F.col("middle"))
     return _means(near("class_distance"), near("word_distance"))
 
@@ -281,9 +281,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("texts"), "word"))
     best = seen.groupBy("lang", "word").agg(F.sum("texts").alias("texts")).withColumn("rank", rank).filter(F.col("rank") <= CANDIDATES)
     words_of: dict[str, list[str]] = {}
-    for r in best.select("lang", "word", "rank").orderBy("lang", "rank").collect():
-        words_of.setdefault(r.lang, []).append(r.word)
-    features = materialise(base.withColumn("text_key", F.xxhash64("text")).select("doc_id", "lang", "text_key", "text").mapInArrow(_features(words_of), _FEATURES), "features")
+    with arrow_rows(base.sparkSession, TEXT_ROWS):
+        for r in best.select("lang", "word", "rank").orderBy("lang", "rank").collect():
+            words_of.setdefault(r.lang, []).append(r.word)
+    features = materialise(base.withColumn("text_key", F.xxhash64("text")).select("doc_id", "lang", "text_key", "text").mapInArrow(_features(words_of), _FEATURES), "features", TEXT_ROWS)
     judged = with_distances(features, references_of(features), ["doc_id", *FIGURES])
     classes_far = F.when(F.col("word_chars") >= LONG_CHARS, LONG_FAR_CLASSES).otherwise(FAR_CLASSES)
     words_far = F.when(F.col("n_words") >= LONG_WORDS, LONG_FAR_WORDS).otherwise(FAR_WORDS)

@@ -2,7 +2,7 @@
 
 A word is a run of bytes outside space and \\x09-\\x0D; A-Z are lower-cased. Every word gets a 64-bit
 value from running sums over the bytes, so a batch is hashed without a Python step per word. Texts are
-taken in slices of a few megabytes, which bounds the arrays; a text is never cut.
+taken in slices of a megabyte, which bounds the arrays; a text is never cut.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Odd multipliers of the hash; any odd numbers do, all executors must use the same.
 BASE = 0x9E3779B97F4A7C15
 STEPS = np.array([(BASE * (2 * k + 1) ** 3) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(1, 9)], dtype=np.uint64)

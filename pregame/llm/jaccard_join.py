@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import ROW_KEY, components, materialise, partitions, spread_join, with_row_key, without_ids
+from pregame.llm.common import ROW_KEY, TEXT_ROWS, components, materialise, partitions, spread_join, with_row_key, without_ids
 
 FRAGMENT_BYTES = 16_000_000
 _EMIT = "frag int, doc_id long, n long, key long, keys binary, counts binary, values binary"
@@ -202,7 +202,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = int(max(partitions(spark), -(-total // FRAGMENT_BYTES)))
     found = materialise(
-        base.mapInArrow(_emit(fragments, size), _EMIT).repartition(fragments, "frag").mapInArrow(_count, _SHARED), "shingles"
+        base.mapInArrow(_emit(fragments, size), _EMIT).repartition(fragments, "frag").mapInArrow(_count, _SHARED), "shingles", TEXT_ROWS
     )
     rows = found.filter("shared IS NULL").select("doc_id", "n", "key")
     segments = found.filter("shared IS NOT NULL").select("key", "values", "freqs")

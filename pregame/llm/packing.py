@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pregame.llm import tokens as T
-from pregame.llm.common import materialise, table
+from pregame.llm.common import TEXT_ROWS, materialise, table
 
 GROUP_CHARS = 2_000_000
 BLOCK = 20_000
@@ -205,7 +205,7 @@ def pack_documents(
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialise(
-        rows.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces"
+        rows.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces", TEXT_ROWS
     )
     lengths = materialise(pieces.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("n")).coalesce(1), "lengths")
     ledger = materialise(best_fit(lengths, capacity), "ledger")

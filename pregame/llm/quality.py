@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import ROW_KEY, materialise, spread_join, table, with_row_key, without_ids
+from pregame.llm.common import ROW_KEY, TEXT_ROWS, materialise, spread_join, table, with_row_key, without_ids
 
 SAMPLE = 50_000
 FIGURES = [
@@ -119,7 +119,7 @@ def quality_scores(
         F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("\0")).alias("path"),
     )
     schema = "doc_id long, host string, path string, " + ", ".join(f"{c} double" for c in FIGURES)
-    seen = materialise(base.mapInArrow(_figures, schema), "quality")
+    seen = materialise(base.mapInArrow(_figures, schema), "quality", TEXT_ROWS)
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).dropna()
     marks = marks.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     known = materialise(seen.join(marks, "doc_id"), "quality")

@@ -3,9 +3,11 @@
 1. A sample of the documents is mined level by level at a lowered threshold. Its frequent phrases are the proposal.
 2. A full pass counts every word, every proposed phrase and the negative border: windows that are not proposed though
    both their parts without the last and without the first word are. All counts are exact.
-3. A border phrase that reaches the threshold joins the proposal, and another pass counts it and the windows that it brings into the
-   border. Passes end when no border phrase is frequent; then no phrase can be missing, as every part of a frequent phrase is
-   frequent. At most one pass more than the phrase length follows the first.
+3. A border phrase that reaches the threshold joins the proposal, and another pass counts it. A frequent phrase that is still missing
+   holds such a phrase, as every part of a frequent phrase is frequent. Where they are few (``AHEAD`` of the words), this pass also counts
+   all windows that hold one and whose other parts are not known to be rare, by their text, and is the last. Where they are many, it
+   counts the windows that they bring into the border; passes end when no border phrase is frequent, at most one more than the phrase
+   length after the first.
 
 Workers test membership of the proposal in a Bloom filter of fixed size (``FILTER_BITS``), whatever the number of phrases. A false
 positive only has more windows counted. Proposed phrases are grouped by their text, so their counts are exact; the many of the border
@@ -40,6 +42,8 @@ FILTER_BITS = 1 << 26
 SLICE_BYTES, BATCH_ROWS = 1_000_000, 2_000
 #: Border windows are added up in a worker until so many keys are held.
 HELD_KEYS = 1_000_000
+#: Share of all words up to which the occurrences of failed border phrases count as few. One of them lies in at most 14 longer windows of up to five words.
+AHEAD = 0.05
 
 _C = np.arange(256)
 _BREAK = np.isin(_C, [ord(c) for c in ".,;:!?"]) | ((_C >= 10) & (_C <= 13))
@@ -106,10 +110,13 @@ class Filter:
         return found
 
 
-def _windows(w: Words, salt: np.ndarray, longest: int, known: Filter | None, before: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(
+    w: Words, salt: np.ndarray, longest: int, known: Filter | None, before: Filter | None, ahead: bool = False
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Size, first words, keys of the windows to count, and which of them are ``known``: all words, and windows whose two parts are known.
 
-    With ``before``, only what became known since, or came into the border since. ``salt`` holds each word's language.
+    With ``before``, only what became known since, or came into the border since; ``ahead`` takes what came into the border as known,
+    so that the windows around it come too. ``salt`` holds each word's language.
     """
     sums = np.zeros(len(w.value), dtype=np.uint64)
     in_known = in_before = None
@@ -129,6 +136,8 @@ def _windows(w: Words, salt: np.ndarray, longest: int, known: Filter | None, bef
         fresh = np.ones(len(now), dtype=bool)
         if before is not None:
             old = allowed(in_before)[now]
+            if ahead:
+                has |= ~old
             had = np.zeros(len(now), dtype=bool)
             kept = np.flatnonzero(old & has)  # what is in ``before`` is known too
             had[kept] = before.has(keys[kept])
@@ -172,7 +181,7 @@ def _count_sample(size_wanted: int, known: Broadcast | None):
 _COUNTS = "border long, key string, f long"
 
 
-def _count_all(longest: int, known: Broadcast, before: Broadcast | None):
+def _count_all(longest: int, known: Broadcast, before: Broadcast | None, ahead: bool = False):
     """Counts per slice: known phrases as language, a tab and the text; those of the border by their key alone, which says enough for
     them. The empty phrase has the number of words, in the first pass."""
 
@@ -199,7 +208,7 @@ def _count_all(longest: int, known: Broadcast, before: Broadcast | None):
                 if old is None:
                     found, n = np.unique(langs.astype(str), return_counts=True)
                     yield batch_of(None, [heads[x] for x in found], n)
-                for size, first, keys, has in _windows(w, salt, longest, now, old):
+                for size, first, keys, has in _windows(w, salt, longest, now, old, ahead):
                     if not has.all():
                         border.append(np.unique(keys[~has], return_counts=True))
                     if has.any():
@@ -253,18 +262,23 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     base = base.select("lang", "text")
     with arrow_rows(spark, BATCH_ROWS):
         bits = propose(part, max(1, int(least / sample * LOWERED)), longest)
-        before, found = None, None
+        before, found, words, ahead = None, None, None, False
         while True:
             known = spark.sparkContext.broadcast(bits)
-            counts = base.mapInArrow(_count_all(longest, known, before), _COUNTS).groupBy("border", "key").agg(F.sum("f").alias("f"))
+            counts = base.mapInArrow(_count_all(longest, known, before, ahead), _COUNTS).groupBy("border", "key").agg(F.sum("f").alias("f"))
             counted = materialise(counts.filter((F.col("f") >= least) | F.col("key").endswith("\t")), "counted")
             # phrases hold no tab
             lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
             phrases = counted.filter("key IS NOT NULL").select(lang.alias("lang"), F.substring_index("key", "\t", -1).alias("phrase"), "f")
             found = phrases if found is None else found.unionByName(phrases)
-            failed = counted.filter("border IS NOT NULL").select(F.col("border").alias("key"))
-            if not failed.limit(1).count():
+            if ahead:
+                return found
+            sums = counted.agg(F.sum(F.when(F.col("border").isNotNull(), F.col("f"))).alias("failed"), F.sum(F.when(F.col("key").endswith("\t"), F.col("f"))).alias("words")).first()
+            if sums.failed is None:
                 return found
+            words = sums.words if words is None else words
+            ahead = sums.failed <= AHEAD * words
+            failed = counted.filter("border IS NOT NULL").select(F.col("border").alias("key"))
             before, bits = known, _filter_of(failed, bits)
 
 

@@ -80,6 +80,20 @@ def test_expansion_passes_run(spark, monkeypatch):
     assert 2 < len(passes) <= 6
 
 
+def test_few_failures_are_closed_by_one_pass(spark, monkeypatch):
+    """Phrases of five words that the sample misses whole: one more pass, not one per level."""
+    rows, langs = texts(6)
+    missed = [(1_000 + i, f"r1 r2  r3 r4 r5 w{i % 3}, r4 r5 r1 r2") for i in range(9)]
+    langs |= {i: "en" for i, _ in missed}
+    passes = []
+    count_all, propose = C._count_all, C.propose
+    monkeypatch.setattr(C, "_count_all", lambda *a: passes.append(1) or count_all(*a))
+    monkeypatch.setattr(C, "propose", lambda sample, *a: propose(sample.filter("text NOT LIKE 'r1 r2%'"), *a))
+    got = sorted(map(tuple, C.collocations(frame(spark, rows + missed, langs), least=8, sample=1).collect()))
+    assert got == plain([(t, langs[i]) for i, t in rows + missed], 8)
+    assert any(p == "r1 r2 r3 r4 r5" for _, _, p, *_ in got) and len(passes) == 2
+
+
 def test_full_filter_counts_more_and_finds_the_same(spark, monkeypatch):
     rows, langs = texts(5)
     monkeypatch.setattr(C, "propose", lambda *_: np.full(C.FILTER_BITS >> 3, 255, np.uint8))

@@ -243,6 +243,45 @@ def _effect(home: Column, away: Column, end: Column) -> tuple[Column, Column]:
     return vec(home, away), vec(away, home)
 
 
+def _with_reach(halved: DataFrame, asked: DataFrame, shared: Column, ckeys: list[str]) -> DataFrame:
+    """Adds to each suspect, for either team, the least and most per field that the suspects undecided after it can give the team.
+
+    Undecided are the later ones of the half and all of the other half. The second half counts a shared team from nothing, so its
+    need is taken off there. No bound (null) for a team with an unknown effect.
+    """
+    side = lambda team, x, role: F.struct(F.col(team).alias("team"), F.lit(role).alias("role"), *[F.col("options")[k][x].alias(o) for k, o in enumerate("pq")])
+    # a game of a team against itself counts as its home game
+    sides = halved.select(*ckeys, "half", "i", F.explode(F.array(side("home_team", "h", "home"), side("away_team", "a", "away"))).alias("x"), (F.col("home_team") == F.col("away_team")).alias("_own"))
+    sides = sides.filter(~(F.coalesce("_own", F.lit(False)) & (F.col("x.role") == "away"))).select(*ckeys, "half", "i", "x.*")
+    whole = Window.partitionBy(*ckeys, "team")
+    later = Window.partitionBy(*ckeys, "team", "half").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    bounds = []
+    for f in range(len(STANDING_FIELDS)):
+        p, q = F.col("p")[f], F.col("q")[f]
+        known = F.min(p.isNotNull() & q.isNotNull()).over(whole)
+
+        def rest(c: Column) -> Column:
+            left = F.sum(c).over(later)
+            beyond = F.when(F.col("half") == 0, F.sum(F.when(F.col("half") == 1, c)).over(whole)).otherwise(F.sum(F.when(F.col("half") == 0, c)).over(whole))
+            return F.coalesce(left, F.lit(0)) + F.coalesce(beyond, F.lit(0))
+
+        bounds.append(F.when(known, F.struct(rest(F.least(p, q)).alias("lo"), rest(F.greatest(p, q)).alias("hi"))))
+    reach = sides.select(*ckeys, "half", "i", "role", "team", F.array(*bounds).alias("reach"))
+    reach = reach.join(asked.withColumn("_shared", shared), [*ckeys, "team"])
+    off = lambda v: F.when((F.col("half") == 1) & F.col("_shared"), v).otherwise(0)
+    shifted = F.zip_with("reach", "need", lambda b, v: F.struct((b["lo"] - off(v)).alias("lo"), (b["hi"] - off(v)).alias("hi")))
+    per = reach.select(*ckeys, "half", "i", "role", shifted.alias("reach")).groupBy(*ckeys, "half", "i").agg(
+        *[F.first(F.when(F.col("role") == r, F.col("reach")), True).alias(f"{r}_reach") for r in ("home", "away")]
+    )
+    return halved.join(per, [*ckeys, "half", "i"], "left")
+
+
+def _out_of_reach(x: Column) -> Column:
+    """Whether a team of the game just decided needs what the undecided cannot give it."""
+    reach = F.when(x["team"] == F.col("home_team"), F.col("home_reach")).when(x["team"] == F.col("away_team"), F.col("away_reach"))
+    return F.coalesce(F.exists(F.zip_with(x["need"], reach, lambda v, b: F.coalesce((v < b["lo"]) | (v > b["hi"]), F.lit(False))), lambda out: out), F.lit(False))
+
+
 def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[str]) -> DataFrame:
     """Choose a reading of every suspect game so that its teams' totals equal the standings.
 
@@ -255,8 +294,10 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
     suspect per round, all halves at once: the first half counts down what its teams need, the second what it takes from
     teams of both. Equal states merge (their counts add up); a team of one half only must need nothing once its last suspect is
     decided. The halves then meet in an equi-join on what the shared teams still need. So a component of n suspects has at most
-    2^(n/2) states a side. A field that is not stated (null), or a team that is not listed, asks for nothing.
+    2^(n/2) states a side. A state goes as soon as a team needs less or more than its undecided suspects, of both halves, can give. A
+    field that is not stated (null), or a team that is not listed, asks for nothing.
     """
+    suspects = cut_lineage(suspects)
     labels = components(suspects, scope)
     comp = suspects.join(labels.withColumnRenamed("team", "home_team"), [*scope, "home_team"])
     ckeys = [*scope, "label"]
@@ -273,7 +314,7 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
         comp.select(*ckeys, "game_id", "home_team", "away_team", order.alias("i"), F.array(option_a, option_b).alias("options"))
     )
     halved = numbered.withColumn("k", F.max("i").over(Window.partitionBy(*ckeys))).withColumn("half", (2 * F.col("i") > F.col("k") + 1).cast("int"))
-    halved = cut_lineage(halved.withColumn("i", F.col("i") - F.when(F.col("half") == 1, F.floor((F.col("k") + 1) / 2)).otherwise(0)))
+    halved = halved.withColumn("i", F.col("i") - F.when(F.col("half") == 1, F.floor((F.col("k") + 1) / 2)).otherwise(0))
     # What each team needs, and the round of its half after which it must need nothing; a team of both halves is open to the end.
     hkeys = [*ckeys, "half"]
     touched = halved.select(*hkeys, "i", F.explode(F.array("home_team", "away_team")).alias("team"))
@@ -294,15 +335,16 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
         value = F.when(shared, start).otherwise(F.col("need"))
         return F.when(here[half], F.struct("team", F.when(~shared, F.col(f"l{half}")).alias("last"), value.alias("need")))
 
-    asked = needs.select(*[F.col(f"l.{c}") for c in [*ckeys, "team", "l0", "l1"]], F.array(*need).alias("need"))
+    asked = cut_lineage(needs.select(*[F.col(f"l.{c}") for c in [*ckeys, "team", "l0", "l1"]], F.array(*need).alias("need")))
+    halved = cut_lineage(_with_reach(halved, asked, shared, ckeys))
     opened = asked.groupBy(*ckeys).agg(*[F.array_sort(F.collect_list(opening(h))).alias(f"s{h}") for h in (0, 1)])
     start = opened.select(*ckeys, F.posexplode(F.array("s0", "s1")).alias("half", "state"))
     states = cut_lineage(start.withColumns({"ways": F.lit(1).cast("bigint"), "picks": F.lit("")}))
     rounds = halved.agg(F.max("i").alias("n")).first()["n"] or 0
     for i in range(1, rounds + 1):
-        game = halved.filter(F.col("i") == i).select(*hkeys, "home_team", "away_team", "options")
+        game = halved.filter(F.col("i") == i).select(*hkeys, "home_team", "away_team", "options", "home_reach", "away_reach")
         j = states.join(game, hkeys, "left").select(
-            *hkeys, "state", "ways", "picks", "home_team", "away_team",
+            *hkeys, "state", "ways", "picks", "home_team", "away_team", "home_reach", "away_reach",
             F.explode_outer("options").alias("o"),
         )
 
@@ -317,11 +359,12 @@ def repair(suspects: DataFrame, base: DataFrame, stated: DataFrame, scope: list[
         moved = j.select(
             *hkeys,
             F.transform("state", less).alias("state"),
+            "home_team", "away_team", "home_reach", "away_reach",
             "ways",
             F.concat("picks", F.coalesce(F.col("o.pick"), F.lit(""))).alias("picks"),
         )
         done = lambda x: F.coalesce(x["last"] <= i, F.lit(False)) & F.exists(x["need"], lambda v: F.coalesce(v != 0, F.lit(False)))
-        merged = moved.filter(~F.exists("state", done)).groupBy(*hkeys, "state").agg(F.sum("ways").alias("ways"), F.min("picks").alias("picks"))
+        merged = moved.filter(~F.exists("state", done) & ~F.exists("state", _out_of_reach)).groupBy(*hkeys, "state").agg(F.sum("ways").alias("ways"), F.min("picks").alias("picks"))
         states = cut_lineage(merged) if i % 4 == 0 else merged
     # First half: what the shared teams still need. Second half: what it gives them.
     common = F.filter("state", lambda x: x["last"].isNull())

@@ -192,3 +192,31 @@ def test_repair_of_forty_suspects_among_three_teams(spark):
     out = {r["game_id"]: r for r in recon.repair(df.drop("truth"), st.limit(0), st, ["league", "round"]).collect()}
     assert all(r["solutions"] == 1 for r in out.values())
     assert [out[i]["pick"] for i in range(40)] == [s[-1] for s in sus]
+
+
+def test_repair_drops_states_that_cannot_be_met(spark, monkeypatch):
+    """Copy B always gives more goals than are stated: no state but the true one outlives its round (2^12 a half without bounds)."""
+    rnd = random.Random(3)
+    sus, truth = [], {}
+    for i in range(24):
+        h, a = rnd.sample([1, 2, 3], 2)
+        more = float(4**10 + rnd.randrange(4**10))
+        sus.append(("L", 1, i, h, a, "pair", 9e6, 5.0 + i, "REG", 9e6, 5.0 + i + more, "REG"))
+        for t, v in ((h, _vec(9e6, 5.0 + i, "REG")), (a, _vec(5.0 + i, 9e6, "REG"))):
+            truth[t] = tuple(x + y for x, y in zip(truth.get(t, (0,) * 5), v, strict=True))
+    schema = (
+        "league string, round int, game_id bigint, home_team int, away_team int, kind string, a_home double, a_away double, a_end string, "
+        "b_home double, b_away double, b_end string"
+    )
+    st = spark.createDataFrame([("L", 1, t, *v) for t, v in truth.items()], "league string, round int, team int, win int, loss int, otl int, gf int, ga int")
+    sizes, cut = [], recon.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count() if "ways" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(recon, "cut_lineage", counted)
+    out = recon.repair(spark.createDataFrame(sus, schema), st.limit(0), st, ["league", "round"]).collect()
+    assert {(r["outcome"], r["solutions"], r["pick"]) for r in out} == {("repaired", 1, "A")}
+    assert max(sizes) == 2

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pregame.llm import decontaminate, jaccard_join, packing, quality, secret_scan
 from pregame.llm.common import materialise, table
 
+#: Words that a worker of the packing remembers, and characters it takes at once. Workers are kept for the next stages, and so is what they once took.
+KEPT_WORDS, GROUP_CHARS = 200_000, 500_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -37,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their place in sequences of 4096 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=KEPT_WORDS, group=GROUP_CHARS)
 
 
 STAGES = [

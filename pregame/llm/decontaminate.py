@@ -26,6 +26,8 @@ from pregame.llm.common import ROW_KEY, table, with_row_key, without_ids
 BINS = 64
 #: Shingles of items in one block: about 16 MB on the driver and in a task.
 BLOCK_SHINGLES = 2_000_000
+#: Text of one search step; it bounds a worker's arrays.
+SEARCH_BYTES = 250_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -91,7 +93,7 @@ def _search(shared, size: int, threshold: float):
         index = Index(*shared.value)
         for batch in batches:
             ids = batch.column(0)
-            for s in W.slices(batch.column(1)):
+            for s in W.slices(batch.column(1), SEARCH_BYTES):
                 value, doc = W.shingles(s, size)
                 if not len(value):
                     continue

@@ -33,7 +33,7 @@ GROUP_CHARS = 2_000_000
 BLOCK = 20_000
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, kept: int = T.KEPT, group: int = GROUP_CHARS):
     end = np.uint32(end_id).astype("<u4").tobytes()
     step = 4 * capacity
 
@@ -43,7 +43,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             yield k, at // 4, len(part) // 4, zlib.crc32(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = T.WordParts(path)
+        parts = T.WordParts(path, kept=kept)
         for batch in batches:
             text = batch.column(1).cast(pa.large_string()).fill_null("")
             owner: list[int] = []
@@ -68,7 +68,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     continue
                 held.append((i, T.words(t)))
                 chars += len(t)
-                if chars > GROUP_CHARS:
+                if chars > group:
                     flush()
                     held, chars = [], 0
             flush()
@@ -200,12 +200,14 @@ def best_fit(lengths: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", kept: int = T.KEPT,
+    group: int = GROUP_CHARS,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece. ``kept``, ``group``: words a worker remembers and characters it takes at once,
+    memory against time."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialise(
-        rows.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces", TEXT_ROWS
+        rows.mapInArrow(_pieces(tokenizer, capacity, end_id, kept, group), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces", TEXT_ROWS
     )
     lengths = materialise(pieces.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("n")).coalesce(1), "lengths")
     ledger = materialise(best_fit(lengths, capacity), "ledger")

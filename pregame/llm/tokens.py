@@ -36,16 +36,16 @@ def plain(text: str) -> bool:
 
 
 class Parts:
-    """Values of parts; ``value`` turns an encoding into what is kept. ``fixed`` parts are never dropped."""
+    """Values of parts; ``value`` turns an encoding into what is kept, ``kept`` of them at most. ``fixed`` parts are never dropped."""
 
-    def __init__(self, path: str, value, fixed: dict | None = None) -> None:
-        self.tokenizer, self.value, self.fixed = load(path), value, fixed or {}
+    def __init__(self, path: str, value, fixed: dict | None = None, kept: int = KEPT) -> None:
+        self.tokenizer, self.value, self.fixed, self.kept = load(path), value, fixed or {}, kept
         self.known = dict(self.fixed)
 
     def learn(self, parts: set[str]) -> dict:
         """The table with all of ``parts`` in it; long parts are merged for this call only."""
         new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > KEPT + len(self.fixed):
+        if len(self.known) + len(new) > self.kept + len(self.fixed):
             self.known = dict(self.fixed)
             new = [p for p in parts if p not in self.known]
         table = self.known
@@ -71,8 +71,8 @@ class WordParts(Parts):
     Words of letters alone are encoded many at a time and cut at the marked tokens.
     """
 
-    def __init__(self, path: str, ending: str = "</w>") -> None:
-        super().__init__(path, lambda e: np.array(e.ids, dtype="<u4").tobytes())
+    def __init__(self, path: str, ending: str = "</w>", kept: int = KEPT) -> None:
+        super().__init__(path, lambda e: np.array(e.ids, dtype="<u4").tobytes(), kept=kept)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True

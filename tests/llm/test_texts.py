@@ -342,3 +342,20 @@ def test_texts_come_in_small_batches_and_slices(spark):
     assert sum(found) == 5_000 and max(found) <= TEXT_ROWS
     assert spark.conf.get(name) == before
     assert max(len(s.data) for s in W.slices(pa.array(["a b " * 25_000] * 30))) <= 1_000_000
+
+
+def test_packing_with_few_kept_words_gives_the_same_pieces(spark, odd):
+    """The table of known words stays under its bound over many groups; ids, pieces and lengths do not depend on it."""
+    import public_tokenizers
+
+    from pregame.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    parts = tokens.WordParts(path, kept=40)
+    for k in range(30):
+        some = {f"word{j}" for j in range(7 * k, 7 * k + 20)}
+        known = parts.learn(some)
+        assert len(parts.known) <= 40
+        assert all(known[p] == np.array(parts.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in some)
+    cut = lambda **x: sorted(map(repr, packing.pack_documents(odd, path, **x).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert cut(kept=5, group=10) == cut()

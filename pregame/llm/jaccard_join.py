@@ -29,47 +29,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pregame.llm import words as W
-from pregame.llm.common import ROW_KEY, TEXT_ROWS, components, materialise, partitions, spread_join, with_row_key, without_ids
+from pregame.llm.common import ROW_KEY, components, materialise, partitions, spread_join, with_row_key, without_ids
 
 FRAGMENT_BYTES = 16_000_000
+#: Bytes of text whose segments are emitted together, and those whose shingles are worked out at once; shingles that are sorted or sent at once;
+#: rows of a worker's batch. They bound a worker's memory, whatever the texts.
+GROUP_BYTES, PART_BYTES, SORTED_VALUES, BATCH_ROWS = 1_000_000, 250_000, 250_000, 250
 _EMIT = "frag int, doc_id long, n long, key long, keys binary, counts binary, values binary"
 _SHARED = "doc_id long, n long, key long, shared long, values binary, freqs binary"
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """Ids, keys, set sizes, shingles and their texts of some ``GROUP_BYTES`` of consecutive texts, worked out ``PART_BYTES`` at a time."""
+    held: list[tuple] = []
+    texts = taken = 0
+    for batch in batches:
+        for s in W.slices(batch.column(1), PART_BYTES):
+            value, doc = W.shingle_sets(s, size)
+            held.append((batch.column(0).slice(s.first, s.n), W.sequence_hash(s).view(np.int64), np.bincount(doc, minlength=s.n), value, doc + texts))
+            texts, taken = texts + s.n, taken + len(s.data)
+            if taken >= GROUP_BYTES:
+                ids, *rest = zip(*held, strict=True)
+                yield pa.concat_arrays(ids), *map(np.concatenate, rest)
+                held, texts, taken = [], 0, 0
+    if held:
+        ids, *rest = zip(*held, strict=True)
+        yield pa.concat_arrays(ids), *map(np.concatenate, rest)
+
+
 def _emit(fragments: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [("frag", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("keys", pa.binary()),
              ("counts", pa.binary()), ("values", pa.binary())]
         )
-        for batch in batches:
-            ids = batch.column(0)
-            for s in W.slices(batch.column(1)):
-                value, doc = W.shingle_sets(s, size)
-                sizes = np.bincount(doc, minlength=s.n)
-                keys = W.sequence_hash(s).view(np.int64)
-                none = pa.nulls(s.n, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.arange(s.n) + s.first) % fragments, pa.int32()), ids.slice(s.first, s.n), pa.array(sizes, pa.int64()),
-                     pa.array(keys, pa.int64(), mask=sizes == 0), none, none, none],
-                    schema=schema,
-                )
-                if not len(value):
-                    continue
-                frag = ((value >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(frag, kind="stable")
-                value, frag, doc = value[order], frag[order], doc[order]
-                edges = np.searchsorted(frag, np.arange(fragments + 1))
-                full = np.flatnonzero(np.diff(edges))
-                segs = []
-                for f in full:
-                    own, count = np.unique(doc[edges[f] : edges[f + 1]], return_counts=True)
-                    segs.append((keys[own].tobytes(), count.astype(np.uint32).tobytes(), value[edges[f] : edges[f + 1]].tobytes()))
-                nulls = pa.nulls(len(full), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), nulls, nulls, nulls, *(pa.array(x, pa.binary()) for x in zip(*segs, strict=True))],
-                    schema=schema,
-                )
+        for ids, keys, sizes, value, doc in _grouped(batches, size):
+            none = pa.nulls(len(keys), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(keys)) % fragments, pa.int32()), ids, pa.array(sizes, pa.int64()),
+                 pa.array(keys, pa.int64(), mask=sizes == 0), none, none, none],
+                schema=schema,
+            )
+            if not len(value):
+                continue
+            frag = ((value >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(frag, kind="stable")
+            value, frag, doc = value[order], frag[order], doc[order]
+            edges = np.searchsorted(frag, np.arange(fragments + 1))
+            full = np.flatnonzero(np.diff(edges))
+            segs = []
+            for f in full:
+                own, count = np.unique(doc[edges[f] : edges[f + 1]], return_counts=True)
+                segs.append((keys[own].tobytes(), count.astype(np.uint32).tobytes(), value[edges[f] : edges[f + 1]].tobytes()))
+            nulls = pa.nulls(len(full), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), nulls, nulls, nulls, *(pa.array(x, pa.binary()) for x in zip(*segs, strict=True))],
+                schema=schema,
+            )
 
     return run
 
@@ -96,41 +112,66 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.filter(batch.column("keys").is_valid())
         for frag, *seg in zip(*(rows.column(c).to_pylist() for c in ("frag", "keys", "counts", "values")), strict=True):
             held.setdefault(frag, []).append(tuple(seg))
+        del batch, doc_rows, rows
     for frag in list(held):
-        segs = held.pop(frag)
-        key = np.concatenate([np.frombuffer(s[0], np.int64) for s in segs])
-        count = np.concatenate([np.frombuffer(s[1], np.uint32) for s in segs]).astype(np.int64)
-        value = np.concatenate([np.frombuffer(s[2], np.uint64) for s in segs])
-        del segs
-        first = np.zeros(len(key), dtype=bool)
-        first[np.unique(key, return_index=True)[1]] = True
-        value = value[np.repeat(first, count)]
-        key, count = key[first], count[first]
-        owner = np.repeat(np.arange(len(key), dtype=np.int32), count)
-        order = np.argsort(value, kind="stable")
-        sorted_ = value[order]
-        new = np.ones(len(sorted_), dtype=bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
-        starts = np.flatnonzero(new)
-        freq = np.diff(np.append(starts, len(sorted_)))
-        freq = np.repeat(freq, freq)
-        many = freq > 1
-        value, freq, owner = sorted_[many], freq[many].astype(np.uint32), owner[order[many]]
-        del sorted_, order, new
+        key, value, owner = _one_per_class(held.pop(frag))
+        value, freq, owner = _shared(value, owner)
         order = np.argsort(owner, kind="stable")
-        value, freq, owner = value[order], freq[order], owner[order]
+        owner = owner[order]
         edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
         for i in range(0, len(edges), 20_000):
             j = min(i + 20_000, len(edges))
             lo, hi = edges[i], edges[j] if j < len(edges) else len(owner)
             at = np.append(edges[i:j], hi) - lo
             none = pa.nulls(j - i, pa.int64())
+            mine = order[lo:hi]
             yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array(key[owner[edges[i:j]]], pa.int64()), pa.array(np.diff(at), pa.int64()), _packed(value[lo:hi], at), _packed(freq[lo:hi], at)],
+                [none, none, pa.array(key[owner[edges[i:j]]], pa.int64()), pa.array(np.diff(at), pa.int64()), _packed(value[mine], at), _packed(freq[mine], at)],
                 schema=schema,
             )
 
 
+def _one_per_class(segs: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, shingles and the place of their class among the keys, each class once. Empties ``segs``, so that nothing is held twice."""
+    key = np.concatenate([np.frombuffer(s[0], np.int64) for s in segs])
+    count = np.concatenate([np.frombuffer(s[1], np.uint32) for s in segs]).astype(np.int64)
+    first = np.zeros(len(key), dtype=bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    value = np.empty(count[first].sum(), np.uint64)
+    filled, at = len(value), len(key)
+    while segs:
+        own, _, raw = segs.pop()
+        at -= len(own) // 8
+        here = slice(at, at + len(own) // 8)
+        kept = np.frombuffer(raw, np.uint64)[np.repeat(first[here], count[here])]
+        value[filled - len(kept) : filled] = kept
+        filled -= len(kept)
+    return key[first], value, np.repeat(np.arange(first.sum(), dtype=np.int32), count[first])
+
+
+def _shared(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that more than one class holds, their frequencies and owners. Every shingle falls into one of several shares by its
+    low bits; these are sorted one after the other, so that the arrays of a sort are small."""
+    shares = 1 << max(0, (len(value) - 1) // SORTED_VALUES).bit_length()
+    found = []
+    for k in range(shares):
+        own = np.flatnonzero((value & np.uint64(shares - 1)) == np.uint64(k))
+        own = own[np.argsort(value[own], kind="stable")]
+        sorted_ = value[own]
+        new = np.ones(len(sorted_), dtype=bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        freq = np.diff(np.append(np.flatnonzero(new), len(sorted_)))
+        freq = np.repeat(freq, freq)
+        many = freq > 1
+        found.append((sorted_[many], freq[many].astype(np.uint32), owner[own[many]]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int64()))
+
+
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by class, its size first and then its segments: one row for each class that shares enough of its
     set to link, with its shared shingles in the global order, cut into pieces."""
@@ -144,29 +185,37 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = max(0, n - (3 * n + 3) // 4 + 1 - (n - len(value)))
         octave = np.frexp(freq.astype(np.float64))[1].astype(np.int64)
         edges = np.flatnonzero(np.append(True, octave[1:] != octave[:-1]))
-        cuts = np.append(edges, len(octave))
         signed = value.view(np.int64)
-        return key, n, len(value), signed[:prefix].tolist(), octave[edges].tolist(), [signed[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return key, n, len(value), signed[:prefix], octave[edges], np.split(signed, edges[1:])
 
     done: list[tuple] = []
-    now, size, segs = None, 0, []
-    def end() -> None:
+    now, size, segs, waiting = None, 0, [], 0
+
+    def end() -> int:
         if segs and 4 * sum(len(s[0]) for s in segs) >= 3 * 8 * size:
             done.append(close(now, size, segs))
+            return done[-1][2]
+        return 0
+
+    def closed() -> pa.RecordBatch:
+        key, n, shared, prefix, parts, pieces = zip(*done, strict=True)
+        ends = np.cumsum([0, *map(len, pieces)])
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _lists([x for p in pieces for x in p]))
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, n, shared)), _lists(prefix), _lists(parts), listed], schema=schema)
 
     for batch in batches:
         for key, n, value, freq in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "values", "freqs")), strict=True):
             if n is not None:
-                end()
+                waiting += end()
                 now, size, segs = key, n, []
             else:
                 segs.append((value, freq))
-            if len(done) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
-                done = []
+            if len(done) >= 500 or waiting >= SORTED_VALUES:
+                yield closed()
+                done, waiting = [], 0
     end()
     if done:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+        yield closed()
 
 
 def _possible(n_a, rest_a, n_b, rest_b):
@@ -202,7 +251,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = int(max(partitions(spark), -(-total // FRAGMENT_BYTES)))
     found = materialise(
-        base.mapInArrow(_emit(fragments, size), _EMIT).repartition(fragments, "frag").mapInArrow(_count, _SHARED), "shingles", TEXT_ROWS
+        base.mapInArrow(_emit(fragments, size), _EMIT).repartition(fragments, "frag").mapInArrow(_count, _SHARED), "shingles", BATCH_ROWS
     )
     rows = found.filter("shared IS NULL").select("doc_id", "n", "key")
     segments = found.filter("shared IS NOT NULL").select("key", "values", "freqs")

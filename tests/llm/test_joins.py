@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import bisect
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +172,44 @@ def packed_ok(rows, texts, capacity):
     return used
 
 
+def test_a_fragment_takes_few_times_its_bytes():
+    """Classes meet in a fragment: the arrays of the count stay small against the shingles themselves, which are counted right."""
+    rng = np.random.default_rng(1)
+    rows, sets = [], {}
+    for first in range(0, 2_000, 100):
+        keys = np.arange(first, first + 100, dtype=np.int64)
+        found = [np.unique(rng.integers(0, 1 << 63, 497, dtype=np.uint64)) for _ in keys]
+        found = [np.unique(np.append(v, np.uint64(k % 50))) for k, v in zip(keys, found, strict=True)]
+        sets |= dict(zip(keys.tolist(), found, strict=True))
+        rows.append((0, None, None, None, keys.tobytes(), np.array([len(v) for v in found], np.uint32).tobytes(), np.concatenate(found).tobytes()))
+    rows.append(rows[0])
+    names = ["frag", "doc_id", "n", "key", "keys", "counts", "values"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, types, strict=True)], names=names) for r in rows]
+    size = sum(map(len, sets.values())) * 8
+    tracemalloc.start()
+    out = pa.Table.from_batches(jaccard_join._count(iter(batches))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {r["key"]: (r["shared"], np.frombuffer(r["values"], np.uint64)[0], np.frombuffer(r["freqs"], np.uint32)[0]) for r in out} == {k: (1, k % 50, 40) for k in sets}
+    assert peak < 5 * size
+
+
+def test_classes_of_many_shingles_are_sent_few_at_a_time():
+    """A batch of sets is bounded by its shingles, not by its classes."""
+    n = 5_000
+    values, freqs = np.arange(n, dtype=np.uint64).tobytes(), np.repeat(np.array([2, 9], np.uint32), n // 2).tobytes()
+    rows = [r for k in range(300) for r in ((k, n, None, None), (k, None, values, freqs))]
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("values", pa.binary()), ("freqs", pa.binary())])
+    batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    out = list(jaccard_join._ordered(iter([batch])))
+    assert max(sum(b.column("shared").to_pylist()) for b in out) < 300_000
+    assert [k for b in out for k in b.column("key").to_pylist()] == list(range(300))
+    last = out[-1].slice(out[-1].num_rows - 1).to_pylist()[0]
+    assert (last["n"], last["shared"], last["prefix"]) == (n, n, list(range(1251)))
+    assert (last["parts"], last["pieces"]) == ([2, 4], [list(range(n // 2)), list(range(n // 2, n))])
+
+
 def best_fit_decreasing(lengths, capacity):
     """Sequences of placing piece by piece, largest first, each into the smallest gap that holds it."""
     gaps = []

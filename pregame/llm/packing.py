@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ def _pieces(path: str, capacity: int, end_id: int, kept: int = T.KEPT, group: in
             yield k, at // 4, len(part) // 4, zlib.crc32(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = T.WordParts(path, kept=kept)
+        parts = T.word_parts(path, kept)
         for batch in batches:
             text = batch.column(1).cast(pa.large_string()).fill_null("")
             owner: list[int] = []
@@ -57,7 +58,7 @@ def _pieces(path: str, capacity: int, end_id: int, kept: int = T.KEPT, group: in
                 rows.extend(own)  # noqa: B023
 
             def flush() -> None:
-                known = parts.learn(set().union(*(set(h) for _, h in held)))  # noqa: B023
+                known = parts.learn(set(chain.from_iterable(h for _, h in held)))  # noqa: B023
                 for i, found in held:  # noqa: B023
                     close(i, b"".join(map(known.__getitem__, found)))
 

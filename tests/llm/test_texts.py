@@ -359,3 +359,44 @@ def test_packing_with_few_kept_words_gives_the_same_pieces(spark, odd):
         assert all(known[p] == np.array(parts.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in some)
     cut = lambda **x: sorted(map(repr, packing.pack_documents(odd, path, **x).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
     assert cut(kept=5, group=10) == cut()
+
+
+def test_words_of_a_task_are_known_to_the_next(monkeypatch):
+    """A worker's table of words outlives a task; long words go, and a full table is emptied."""
+    from pregame.llm import packing
+
+    tokens.word_parts.cache_clear()
+    encoded, encode = [], tokens.WordParts.encode
+    monkeypatch.setattr(tokens.WordParts, "encode", lambda self, parts: encoded.append(set(parts)) or encode(self, parts))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words, " + "long" * 30, "x%%% it's 42"])], names=["doc_id", "text"])
+    task = lambda: [b.to_pydict() for b in packing._pieces(WORD, 4096, 1)(iter([batch]))]
+    first = task()
+    assert task() == first and encoded == [{"some", "words", ",", "long" * 30, "x%%%", "it's", "42"}, {"long" * 30}]
+    parts = tokens.word_parts(WORD, tokens.KEPT)
+    parts.learn({"other"})
+    assert "long" * 30 not in parts.known and "words" in parts.known
+    tokens.word_parts.cache_clear()
+
+
+def test_words_of_letters_and_marks_are_encoded_as_in_place():
+    """Words are split by the file's pattern and encoded in one call, known or not; a special string stays one id."""
+    rng = random.Random(3)
+    chars = [c for c in map(chr, range(0x21, 0x180)) if tokens.plain(c)]
+    words = {"".join(rng.choices(chars, k=rng.choice([1, 2, 5, 70]))) for _ in range(400)} | {"it's", "a'll've", "%%%", "x<|endoftext|>y", "<|startoftext|>", "1²½", "'", "ªº"}
+    words |= {f"{a}{b}" for a in ("house", "Ünder", "42") for b in ("%%%", ".", "'s", "-house")}
+    words = {w.lower() for w in words}
+    calls, tokenizer = [], tokens.load(WORD)
+    table = tokens.WordParts(WORD)
+    for part in (words, {w + "%%%" for w in words}):
+        known = table.learn(part)
+        for w in part:
+            assert known[w] == np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes(), w
+
+    class Counted:
+        def encode_batch_fast(self, parts, add_special_tokens):
+            calls.extend(parts)
+            return tokenizer.encode_batch_fast(parts, add_special_tokens=add_special_tokens)
+
+    table.tokenizer = Counted()
+    table.learn({f"word{k}%%%" for k in range(50)} | {"z<|endoftext|>"})
+    assert calls == ["z<|endoftext|>"]

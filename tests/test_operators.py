@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from math import exp
 
 import pytest
 from conftest import SMALL, rows
@@ -11,6 +13,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pregame.operators import asof, fixtures, joins, modelling, projections, quality, ratings, rest_travel, rolling, sets, stats
+from pregame.plans import model_queries
+from pregame.plans.catalog import load
 from pregame.plans.feature_queries import game_features, side_features
 from pregame.plans.util import TEAM_SEASON
 from pregame.sources import files, views
@@ -271,6 +275,39 @@ def test_isotonic_has_no_inversions(spark):
     assert stats.inversions(cal, "p", "calibrated").first()["inversions"] == 0
 
 
+@pytest.mark.parametrize("classification", [True, False])
+def test_early_stopping_waits_for_a_lower_loss(spark, classification):
+    rng = random.Random(3)
+    data = [(x := rng.random(), z := rng.random(), float(rng.random() < x * z + 0.2), i % 2 == 0) for i in range(240)]
+    df = frame(spark, data, "a double, b double, y double, stop boolean").coalesce(1).persist()
+    whole = modelling.fit_gbt(df.filter("NOT stop"), ["a", "b"], "y", classification, depth=1, trees=12)
+    losses = modelling.staged_losses(whole, df.filter("stop"), classification)
+    for patience in (1, 12):
+        got = modelling.fit_gbt(df, ["a", "b"], "y", classification, depth=1, trees=12, early_stop="stop", patience=patience)
+        want = modelling.stopping_point(losses, patience)
+        assert want > 1 and modelling.staged_losses(got, df.filter("stop"), classification) == pytest.approx(losses[:want], abs=1e-9)
+
+
+def test_boosted_winner_model_fits_every_cell(spark, monkeypatch):
+    """Sixteen cells of four features, and a stopping season with the rates that eight trees lead to."""
+    rates, led, data = [0.1 + 0.05 * (7 * k % 16) for k in range(16)], [], []
+    for rate in rates:
+        f = 2 * rate - 1
+        for _ in range(7):
+            f += 0.05 * 4 * (rate - 1 / (1 + exp(-2 * f)))
+        led.append(1 / (1 + exp(-2 * f)))
+    for k in range(16):
+        x = [float(k >> b & 1) for b in range(4)]
+        for season, rate in ((1997, rates[k]), (1998, led[k])):
+            data += [(season, 1000 * k + i, *x, float(i < round(100 * rate))) for i in range(100)]
+        data.append((1999, k, *x, 0.0))
+    df = frame(spark, data, f"season int, game_id long, {', '.join(f'{c} double' for c in model_queries.FEATURES)}, home_win double").coalesce(1).persist()
+    monkeypatch.setattr(model_queries, "model_table", lambda spark, sf_dir: df)
+    got = {r.game_id: r.p_home for r in load()["boosted_winner_model"].build(spark, SMALL).collect()}
+    assert sorted(got) == list(range(16)) and len(set(got.values())) == 16
+    assert all(abs(got[k] - led[k]) < 0.01 for k in range(16))
+
+
 # ---- plans --------------------------------------------------------------------------------------
 
 
